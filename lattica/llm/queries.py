@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import secret_scan, token_files
+from lattica.llm import external_shuffle, fingerprint, secret_scan, token_files
 from lattica.llm.common import Scratch, read
 
 
@@ -22,12 +22,23 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents(spark, root, manifest)
 
 
+def op4_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_report(read(spark, sf_dir, "documents"))
+
+
+def op8_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = Scratch(spark, "op8").path("shards")
+    return external_shuffle.digest(*external_shuffle.shuffle_into(read(spark, sf_dir, "documents"), root))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(read(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
+    "op4_merkle_fingerprint": op4_merkle_fingerprint,
+    "op8_external_shuffle": op8_external_shuffle,
     "op9_secret_scan": op9_secret_scan,
 }
 
