@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import external_shuffle, fingerprint, secret_scan, token_files
+from lattica.llm import external_shuffle, fingerprint, mixing, packing, secret_scan, token_files
 from lattica.llm.common import Scratch, read
 
 
@@ -26,6 +26,14 @@ def op4_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_report(read(spark, sf_dir, "documents"))
 
 
+def op5_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(read(spark, sf_dir, "documents"))
+
+
 def op8_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = Scratch(spark, "op8").path("shards")
     return external_shuffle.digest(*external_shuffle.shuffle_into(read(spark, sf_dir, "documents"), root))
@@ -38,9 +46,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_merkle_fingerprint": op4_merkle_fingerprint,
+    "op5_length_buckets": op5_length_buckets,
+    "op6_pareto_mixing": op6_pareto_mixing,
     "op8_external_shuffle": op8_external_shuffle,
     "op9_secret_scan": op9_secret_scan,
 }
 
 #: DuckDB SQL by query; the others are held against brute force in tests/llm.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_pareto_mixing": mixing.ORACLE,
+}
