@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -162,3 +163,47 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component"))
     ).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def groups(batches: Iterator[pa.RecordBatch], by: int = 0) -> Iterator[tuple[int, pa.Table]]:
+    """The runs of equal values of a sorted integer column, whole, one after
+    the other; only one run is held at a time."""
+    held: list[pa.RecordBatch] = []
+    current = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(by).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            key = int(ids[lo])
+            if held and key != current:
+                yield current, pa.Table.from_batches(held)
+                held = []
+            current = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield current, pa.Table.from_batches(held)
+
+
+class Forest:
+    """Union-find over hashable items; ``join`` tells whether it linked anew."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def find(self, x):
+        up = self.up
+        root = x
+        while (above := up.get(root, root)) != root:
+            root = above
+        while x != root:
+            up[x], x = root, up.get(x, x)
+        return root
+
+    def join(self, x, y) -> bool:
+        a, b = self.find(x), self.find(y)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True

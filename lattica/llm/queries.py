@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import external_shuffle, fingerprint, mixing, packing, secret_scan, token_files
+from lattica.llm import embedding_dedup, external_shuffle, fingerprint, mixing, packing, secret_scan, token_files
 from lattica.llm.common import Scratch, read
 
 
@@ -43,6 +43,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(read(spark, sf_dir, "documents")))
 
 
+def op10_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_merkle_fingerprint": op4_merkle_fingerprint,
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pareto_mixing": op6_pareto_mixing,
     "op8_external_shuffle": op8_external_shuffle,
     "op9_secret_scan": op9_secret_scan,
+    "op10_sorted_projections": op10_sorted_projections,
 }
 
 #: DuckDB SQL by query; the others are held against brute force in tests/llm.
