@@ -20,7 +20,9 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,61 +38,76 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
+#: Fixed rule of byte-level vocabularies: printable bytes of Latin-1 stand for
+#: themselves, the others, in order, for the characters from U+0100 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+_BYTE_CHARS = {b: chr(b) if b in _PRINTABLE else chr(0x100 + _OTHERS.index(b)) for b in range(256)}
+_BLANK = _BYTE_CHARS[0x20]
+_MARKS = ".,;:!?"
+
+
 class Encoder:
     """Encodes texts with a byte-level BPE file of the tokenizers library.
 
     The library's pre-tokenizer never joins characters across the units of
     ``_UNIT`` (white space, or one optional blank and the characters up to the
-    next white space), so units are encoded once by the library and remembered
-    up to ``most`` units. Units not yet seen go to the library in one call, one
-    unit a line; a file for which that does not hold is encoded text by text.
+    next white space), so each unit is encoded once by the library and
+    remembered, up to ``most`` units; later ones are forgotten after their
+    batch. A unit of letters, with at most one mark after them, is one word (and
+    a mark) to the pre-tokenizer and goes to the library's BPE model directly;
+    every other unit goes through the whole library. A file whose pre-tokenizer
+    or normaliser is another one is encoded text by text.
     """
 
-    def __init__(self, file: str, most: int = 300_000):
+    def __init__(self, file: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
-        self.wide = self.library.get_vocab_size(with_added_tokens=True) > 1 << 16
-        self.dtype = np.dtype("<u4" if self.wide else "<u2")
+        self.dtype = np.dtype("<u4" if self.library.get_vocab_size(with_added_tokens=True) > 1 << 16 else "<u2")
         self.known: dict[str, bytes] = {}
         self.most = most
+        self.bpe = self.library.model.tokenize
         described = str(self.library.pre_tokenizer)
-        line = self.library.encode("a\nb", add_special_tokens=False).ids
-        self.line = line[1] if len(line) == 3 and "ByteLevel(add_prefix_space=False" in described and "use_regex=True" in described and self.library.normalizer is None else None
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
-
-    def _learn(self, units: list[str]) -> None:
-        ids = self._ids("\n".join(units))
-        ends = np.flatnonzero(ids == self.line)
-        if len(ends) != len(units) - 1:
-            for u in units:
-                self.known[u] = self._ids(u).tobytes()
-            return
-        raw, width, start = ids.tobytes(), self.dtype.itemsize, 0
-        for u, end in zip(units, [*(ends * width).tolist(), len(raw)]):
-            self.known[u] = raw[start:end]
-            start = end + width
+        self.by_unit = self.library.normalizer is None and described.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in described
+        self.marks = {m: self._ids(m) for m in _MARKS}
+        self.by_unit &= not any(t.content.strip(" ").isalpha() for t in self.library.get_added_tokens_decoder().values())
+        self.code = "I" if self.dtype.itemsize == 4 else "H"
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        word, mark = unit, b""
+        if unit[-1] in self.marks:
+            word, mark = unit[:-1], self.marks[unit[-1]]
+        if word.lstrip(" ").isalpha():
+            plain = word.replace(" ", _BLANK) if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+            return array(self.code, [t.id for t in self.bpe(plain)]).tobytes() + mark
+        return self._ids(unit)
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """The ids of each text and the end id, as little-endian bytes."""
         tail = np.array([end], dtype=self.dtype).tobytes()
-        if self.line is None:
-            return [(self._ids(t).tobytes() if t else b"") + tail for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        split = [_UNIT.findall(t) if t else [] for t in texts]
+        if not self.by_unit:
+            return [(self._ids(t) if t else b"") + tail for t in texts]
         known = self.known
-        new = list({u for units in split for u in units if u not in known})
-        blank = [u for u in new if u.isspace()]
-        for u in blank:
-            known[u] = self._ids(u).tobytes()
-        for at in range(0, len(new), 20_000):
-            if part := [u for u in new[at : at + 20_000] if u not in known]:
-                self._learn(part)
-        return [b"".join([*map(known.__getitem__, units), tail]) for units in split]
+        split = [_UNIT.findall(t) if t else [] for t in texts]
+        new = set().union(*split).difference(known)
+        for u in new:
+            known[u] = self._unit(u)
+        out = [b"".join([*map(known.__getitem__, units), tail]) for units in split]
+        if len(known) > self.most:
+            for u in new:
+                del known[u]
+        return out
+
+
+@lru_cache(maxsize=2)
+def _encoder(file: str) -> Encoder:
+    """One for each Python worker, so what it remembers outlives a task."""
+    return Encoder(file)
 
 
 def _open(root: str) -> tuple[fs.FileSystem, str]:
@@ -115,7 +132,7 @@ def write(docs: DataFrame, root: str, tokenizer: str, end: int = 2, key: str = "
     root = _uri(root)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         width = encoder.dtype.itemsize
         part, made = TaskContext.get().partitionId(), None
         lengths: list[np.ndarray] = []
