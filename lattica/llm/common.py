@@ -76,8 +76,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def word_count(text: Column) -> Column:
-    """Number of words; 0 for null and empty texts."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Number of words; 0 for null, empty and blank texts. Splitting at white
+    space costs half of what extracting the words does."""
+    inner = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(F.coalesce(inner, F.lit("")) == "", F.lit(0)).otherwise(F.size(F.split(inner, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
 def code_points(text: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.llm.common import shuffle_partitions, word_count
+from lattica.llm.common import Scratch, shuffle_partitions, word_count
 
 MAX_LEN = 2048
 BUCKETS = 16
@@ -59,8 +59,9 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", max_len: int = MAX_LEN) -> DataFrame:
     """(doc_id, piece, first_word, n_tokens) for each piece of each row."""
     n = word_count(F.col(text))
-    last = F.greatest(F.ceil(n / F.lit(float(max_len))) - 1, F.lit(0)).cast("int")
-    got = docs.select(F.col(key).alias("doc_id"), n.alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    last = F.greatest(F.ceil(F.col("n") / F.lit(float(max_len))) - 1, F.lit(0)).cast("int")
+    # The count is a column of its own first, so that it is made once a row.
+    got = docs.select(F.col(key).alias("doc_id"), n.alias("n")).select("doc_id", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     first = (F.col("piece") * F.lit(max_len)).cast("long")
     return got.select("doc_id", "piece", first.alias("first_word"), F.least(F.col("n") - first, F.lit(max_len)).alias("n_tokens"))
 
@@ -68,7 +69,8 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", max_len: in
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", max_len: int = MAX_LEN, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET) -> DataFrame:
     """(doc_id, piece, first_word, n_tokens, bucket, bound, batch, slot, padding)."""
     spark = docs.sparkSession
-    cut = pieces(docs, key, text, max_len)
+    # The texts are read once; all that follows reads the table of pieces.
+    cut = Scratch(spark, "packing").table(pieces(docs, key, text, max_len), "pieces")
     histogram = cut.groupBy("n_tokens").agg(F.count("*").alias("n")).toPandas()  # max_len + 1 rows at most
     bounds = optimal_bounds(histogram["n_tokens"].to_numpy(), histogram["n"].to_numpy(), buckets)
     edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(0).cast("long"))
