@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.llm.common import uniform, word_count
+from lattica.llm.common import Scratch, uniform, word_count
 
 #: Fixed values of the production mix: weights by source order, repeating; the
 #: share of all words; the most copies of a source's words.
@@ -68,16 +68,19 @@ def rated(sized: DataFrame, **parameters) -> DataFrame:
     return t.withColumn("odds", F.col("p") / (1.0 - F.col("p"))).withColumn("left", F.col("target") - F.col("copies") * F.col("source_size"))
 
 
-def plan(docs: DataFrame, seed: int = 11, key: str = "doc_id", text: str = "text", source: str = "source", **parameters) -> DataFrame:
+def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(doc_id, source, size) of every row, as a written table: the texts are
+    read for it once and what follows reads it instead."""
+    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    return Scratch(docs.sparkSession, "mixing").table(sized, "sizes")
+
+
+def plan(sized: DataFrame, seed: int = 11, **parameters) -> DataFrame:
     """The cut of each source: (source, source_size, target, copies, odds,
     cut), where ``cut`` is the highest rank drawn, null if none is."""
-    sized = docs.select(F.col(key).alias("k"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    rates = rated(sized, **parameters)
+    rates = Scratch(sized.sparkSession, "mixing").table(rated(sized, **parameters), "rates")
     named = rates.withColumnRenamed("source", "s")
-    drawn = (
-        sized.join(named, F.col("source").eqNullSafe(F.col("s"))).where("odds > 0 and size > 0")
-        .select("source", "left", "size", uniform(F.col("k"), seed=seed).alias("u"), "odds")
-    )
+    drawn = _beside(sized, named, "source", "s").where("odds > 0 and size > 0").select("source", "left", "size", uniform(F.col("doc_id"), seed=seed).alias("u"), "odds")
     # Rows of equal rank are one unit: they stand or fall together.
     rank = drawn.withColumn("rank", F.col("u") / (1.0 - F.col("u")) / F.col("odds")).withColumn("b", F.floor(F.col("u") * BUCKETS))
     unit = rank.groupBy("source", "b", "rank").agg(F.sum("size").alias("size"), F.first("left").alias("left"))
@@ -91,32 +94,46 @@ def plan(docs: DataFrame, seed: int = 11, key: str = "doc_id", text: str = "text
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("c")))
     cuts = placed.where(F.col("start") + F.col("inner") + F.col("size") / 2.0 <= F.col("left")).groupBy("source").agg(F.max("rank").alias("cut"))
     cuts = cuts.select(F.col("source").alias("s"), "cut")
-    return rates.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "copies", "odds", "cut")
+    got = rates.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "copies", "odds", "cut")
+    return Scratch(sized.sparkSession, "mixing").table(got, "cuts")
+
+
+def _beside(rows: DataFrame, per_source: DataFrame, left: str, right: str, most_bytes: int = 4 << 20, salts: int = 32) -> DataFrame:
+    """Rows joined with what is known of their source. That side is broadcast
+    if its measured size allows it; else its rows are repeated for each salt,
+    so that the rows of a large source meet it in several tasks."""
+    n, wide = per_source.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(right)), F.lit(0))).first()
+    if wide + 64 * n <= most_bytes:
+        return rows.join(F.broadcast(per_source), rows[left].eqNullSafe(per_source[right]))
+    salted = per_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    return dealt.join(salted, dealt[left].eqNullSafe(salted[right]) & (F.col("_deal") == F.col("_salt"))).drop("_salt", "_deal")
 
 
-def with_copies(docs: DataFrame, seed: int = 11, key: str = "doc_id", text: str = "text", source: str = "source", **parameters) -> DataFrame:
-    """The rows with a struct column ``_mix``: size, source_size, target, copies."""
-    cuts = plan(docs, seed, key, text, source, **parameters)
+def _copies(rows: DataFrame, cuts: DataFrame, key: str, source: str, seed: int) -> DataFrame:
+    """The rows with struct ``_mix`` (source_size, target, copies), where
+    ``copies`` is what a row with words is taken."""
     cuts = cuts.select(*[F.col(c).alias(f"_mix_{c}") for c in cuts.columns])
-    u = uniform(docs[key], seed=seed)
+    u = uniform(F.col(key), seed=seed)
     rank = u / (1.0 - u) / F.col("_mix_odds")
-    size = word_count(docs[text])
     drawn = F.coalesce(((F.col("_mix_odds") > 0) & (rank <= F.col("_mix_cut"))).cast("long"), F.lit(0))
-    copies = F.when(size > 0, F.col("_mix_copies") + drawn).otherwise(F.lit(0).cast("long"))
-    mix = F.struct(size.alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), copies.alias("copies"))
-    return docs.join(cuts, docs[source].eqNullSafe(cuts["_mix_source"])).select(*[docs[c] for c in docs.columns], mix.alias("_mix"))
+    mixed = F.struct(F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("_mix_copies") + drawn).alias("copies"))
+    return _beside(rows, cuts, source, "_mix_source").select(*rows.columns, mixed.alias("_mix"))
 
 
-def mix(docs: DataFrame, **parameters) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 11, **parameters) -> DataFrame:
     """The mixed rows: each document as often as it is taken."""
-    taken = with_copies(docs, **parameters)
+    cuts = plan(sizes(docs, key, text, source), seed, **parameters)
+    taken = _copies(docs.where(F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r")) != ""), cuts, key, source, seed)
     return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("_mix.copies").cast("int"))).alias("_copy")).drop("_copy")
 
 
-def report(docs: DataFrame, **parameters) -> DataFrame:
-    got = with_copies(docs.select("doc_id", "text", "source"), **parameters)
+def report(docs: DataFrame, seed: int = 11, **parameters) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of each row."""
+    sized = sizes(docs)
     m = F.col("_mix")
-    return got.select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), (m["copies"] * m["size"]).alias("taken"))
+    got = _copies(sized, plan(sized, seed, **parameters), "doc_id", "source", seed)
+    return got.select("doc_id", "size", m["source_size"].alias("source_size"), m["target"].alias("target"), (m["copies"] * F.col("size")).alias("taken"))
 
 
 #: DuckDB SQL for ``report`` over the view documents.

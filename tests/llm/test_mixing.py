@@ -68,3 +68,19 @@ def test_skewed_sources_nulls_and_empty(documents):
     assert mixed.columns == docs.columns and 400 < mixed.count() < 820
     tied = documents([(1, "x y", "a")] * 10 + [(2, "x", "b")])
     assert mixing.report(tied).count() == 11
+
+
+def test_word_count(spark):
+    from lattica.llm.common import word_count
+
+    texts = [None, "", " ", "\t\n\x0b\x0c\r ", "a", " a  b\n", "a b c", "x y z\x1cq \x85", "é \r\n ü"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(word_count(F.col("t"))).collect()] == [len((t or "").encode().split()) for t in texts]
+
+
+def test_salted_join_is_the_same(documents):
+    docs = documents([(i, "w " * (1 + i % 5), "hot" if i % 3 else None) for i in range(60)])
+    cuts = mixing.plan(mixing.sizes(docs)).withColumnRenamed("source", "s")
+    plain = mixing._beside(docs, cuts, "source", "s").select("doc_id", "cut")
+    salted = mixing._beside(docs, cuts, "source", "s", most_bytes=0).select("doc_id", "cut")
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, salted.collect())) and salted.count() == 60
