@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import embedding_dedup, external_shuffle, fingerprint, mixing, packing, secret_scan, token_files
+from lattica.llm import chosen_path, embedding_dedup, external_shuffle, fingerprint, hidden_markov, mixing, packing, secret_scan, token_files, toxicity
 from lattica.llm.common import Scratch, read
 
 
@@ -16,6 +16,15 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op2_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score_texts(read(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = Scratch(spark, "op3").path("tokens")
     manifest = token_files.write(read(spark, sf_dir, "documents"), root, tokenizer_path())
@@ -34,6 +43,10 @@ def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(read(spark, sf_dir, "documents"))
 
 
+def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op8_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = Scratch(spark, "op8").path("shards")
     return external_shuffle.digest(*external_shuffle.shuffle_into(read(spark, sf_dir, "documents"), root))
@@ -48,10 +61,13 @@ def op10_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_hidden_markov": op2_hidden_markov,
     "op3_token_files": op3_token_files,
     "op4_merkle_fingerprint": op4_merkle_fingerprint,
     "op5_length_buckets": op5_length_buckets,
     "op6_pareto_mixing": op6_pareto_mixing,
+    "op7_chosen_path": op7_chosen_path,
     "op8_external_shuffle": op8_external_shuffle,
     "op9_secret_scan": op9_secret_scan,
     "op10_sorted_projections": op10_sorted_projections,
