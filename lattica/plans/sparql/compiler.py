@@ -260,13 +260,13 @@ class Compiler:
         made = rel.df
         # All variables stay for ORDER BY; only the named ones go on.
         for e, n in items:
-            if not isinstance(e, Var):
+            if e != Var(n):
                 made = made.withColumn(col(n), scope.term(e))
                 scope = Scope(Rel(made, rel.certain, rel.maybe | {n}), self)
                 rel = scope.rel
         none = F.lit(None).cast(TERM)
         keys = [(scope.order(e), up) for e, up in q.order]
-        shown = [(F.col(col(e.name if isinstance(e, Var) else n)) if (e.name if isinstance(e, Var) else n) in rel.names else none).alias(col(n)) for e, n in items]
+        shown = [(F.col(col(n)) if n in rel.names else none).alias(col(n)) for _, n in items]
         sort = [k for k, _ in keys]
         ordered = made.select(*shown, *[k.alias(f"o_{i}_{j}") for i, parts in enumerate(sort) for j, k in enumerate(parts)])
         if q.distinct:

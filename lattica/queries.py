@@ -4,13 +4,20 @@ operators."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lattica.operators import lookups
+from lattica.operators import alignment, extraction, lookups, network
+from lattica.plans import answers
 from lattica.plans.model import DEFAULT_NAMESPACE as V
-from lattica.sources.starkg import NODE, star_graph
+from lattica.plans.routing import route_questions
+from lattica.plans.sparql import select
+from lattica.plans.sparql.texts import Texts
+from lattica.sources.starkg import NODE, node, star_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -208,3 +215,241 @@ ORACLE: dict[str, str] = {
     "fs_pair": _pair_sql(*PAIR, 20, "", False),
     "fs_founder": _template_founder_sql(SCHOOL),
 }
+
+
+# --- SPARQL text -----------------------------------------------------------------
+
+_TEXTS = Texts()
+_HEAD = _TEXTS.v.header()
+_P = _TEXTS.p
+
+
+def _sparql(text: str) -> Query:
+    return lambda spark, sf_dir: select(star_graph(spark, sf_dir), text)
+
+
+#: The lookups from their texts have the lookups' SQL.
+for _name, _slots in {
+    "person_labels": (HUNDRED,), "courtesy_name": (TEN,), "art_name": (TEN,), "birth_death": (TEN,), "teacher_relations": (TEN,), "family_relations": (TEN,),
+    "social_relations": (TEN,), "school_membership": (TEN,), "school_founder": (SCHOOL,), "pair_relations": PAIR, "related_people": (TEN,),
+    "fs_courtesy": (TEN,), "fs_art": (TEN,), "fs_birth_death": (TEN,), "fs_pair": PAIR, "fs_founder": (SCHOOL,),
+}.items():
+    QUERIES[f"sparql_{_name}"] = _sparql(getattr(_TEXTS, _name)(*_slots))
+    ORACLE[f"sparql_{_name}"] = ORACLE[_name]
+
+
+def _ad_hoc(name: str, text: str, sql: str) -> None:
+    QUERIES[name] = _sparql(f"{_HEAD}\n{text}")
+    ORACLE[name] = _sql(sql)
+
+
+_ad_hoc(
+    "sparql_order_agg",
+    f"SELECT ?type (COUNT(?f) AS ?n) (COUNT(DISTINCT ?t) AS ?targets) WHERE {{ ?f a {_P}:Relation ; {_P}:relationType ?type ; {_P}:sourceEntity ?s ; {_P}:targetEntity ?t }} GROUP BY ?type HAVING (COUNT(?f) > 120) ORDER BY DESC(?n) LIMIT 5",
+    'SELECT rel_type AS "type", count(*)::VARCHAR AS n, count(DISTINCT target)::VARCHAR AS targets FROM facts GROUP BY 1 HAVING count(*) > 120 ORDER BY count(*) DESC, 1 LIMIT 5',
+)
+_ad_hoc(
+    "sparql_minus",
+    f"SELECT ?p ?l WHERE {{ ?p a {_P}:Person ; rdfs:label ?l MINUS {{ ?f {_P}:relationType {_P}:hasFriend ; {_P}:sourceEntity ?p ; {_P}:targetEntity ?q }} }}",
+    f"SELECT node AS p, label AS l FROM persons WHERE node NOT IN (SELECT source FROM facts WHERE rel_type = '{V}hasFriend')",
+)
+_ad_hoc(
+    "sparql_exists",
+    f"SELECT ?p WHERE {{ ?p a {_P}:Person FILTER EXISTS {{ ?f {_P}:relationType {_P}:foundsSchool ; {_P}:sourceEntity ?p ; {_P}:targetEntity ?s }} FILTER NOT EXISTS {{ ?g {_P}:relationType {_P}:belongsToSchool ; {_P}:sourceEntity ?p ; {_P}:targetEntity ?t }} }}",
+    f"SELECT node AS p FROM persons WHERE node IN (SELECT source FROM facts WHERE rel_type = '{V}foundsSchool') AND node NOT IN (SELECT source FROM facts WHERE rel_type = '{V}belongsToSchool')",
+)
+_ad_hoc(
+    "sparql_values",
+    f"SELECT ?s ?l ?m WHERE {{ VALUES (?l ?m) {{ ('NATION_1' 'one') ('NATION_2' UNDEF) ('none' 'x') }} ?s a {_P}:School ; rdfs:label ?l }}",
+    "SELECT l.node AS s, l.label AS l, coalesce(m, '') AS m FROM labels l JOIN (VALUES ('NATION_1', 'one'), ('NATION_2', NULL), ('none', 'x')) v(l, m) ON l.label = v.l",
+)
+_ad_hoc(
+    "sparql_strings",
+    f"SELECT ?l ?u ?n ?after WHERE {{ ?s a {_P}:School ; rdfs:label ?l FILTER(REGEX(?l, '^nation_1\\\\d$', 'i')) BIND(LCASE(?l) AS ?u) BIND(STRLEN(?l) AS ?n) BIND(STRAFTER(?l, '_') AS ?after) }}",
+    "SELECT label AS l, lower(label) AS u, length(label)::VARCHAR AS n, split_part(label, '_', 2) AS after FROM labels WHERE regexp_matches(label, '^NATION_1[0-9]$')",
+)
+#: The father tree, whose steps a path follows, as direct statements.
+_TREE = f"{NODE}customer/1"
+
+
+def _descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kg = star_graph(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    step = kg.facts_of("fatherOf").select(F.col("source").alias("s"), F.lit("iri").alias("s_kind"), F.lit(V + "childOf").alias("p"), F.col("target").alias("o"), F.lit("iri").alias("o_kind"), none.alias("o_datatype"), none.alias("o_lang"))
+    tree = replace(kg, others=kg.others.unionByName(step))
+    return select(tree, f"{_HEAD}\nSELECT ?d WHERE {{ <{_TREE}> {_P}:childOf+ ?d }}")
+
+
+QUERIES["sparql_path_plus"] = _descendants
+ORACLE["sparql_path_plus"] = (
+    "WITH RECURSIVE down AS (SELECT c_custkey AS k FROM customer WHERE c_custkey // 2 = 1 AND c_custkey >= 1"
+    " UNION SELECT c.c_custkey FROM customer c JOIN down d ON c.c_custkey // 2 = d.k AND c.c_custkey >= 1)"
+    f" SELECT '{NODE}customer/' || k::VARCHAR AS d FROM down"
+)
+
+# --- questions and answers --------------------------------------------------------
+
+#: Questions and their routes.
+GOLDEN = (
+    ("文彭是谁？", "tool", "person_labels", ("文彭",)), ("文彭的字是什么？", "tool", "courtesy_name", ("文彭",)), ("文彭的号是什么？", "tool", "art_name", ("文彭",)),
+    ("文彭的生卒年是什么？", "tool", "birth_death", ("文彭",)), ("文徵明与文彭是什么关系？", "tool", "pair_relations", ("文徵明", "文彭")),
+    ("文彭的师承是？", "tool", "teacher_relations", ("文彭",)), ("谁开创了吴门印派？", "tool", "school_founder", ("吴门印派",)),
+    ("某人的师承关系是什么？", "tool", "teacher_relations", ("关系是什么",)), ("某人属于什么流派？", "tool", "school_membership", ("某人",)),
+    ("某人的交游圈有哪些人？", "tool", "social_relations", ("某人的",)), ("文彭字是什么", "tool", "courtesy_name", ("是什么",)),
+    ("文彭的老师是谁", "tool", "person_labels", ("文彭的老师",)), ("文彭的生卒年", "tool", "person_labels", ("文彭的生卒年",)), ("介绍文彭", "tool", "person_labels", ("文彭",)),
+    ("谁创立了某流派", "tool", "school_membership", ("谁创立了某",)), ("谁开创了", "tool", "school_founder", ("谁",)),
+    ("文徵明与文彭是什么关系呢请说明", "generated_sparql", "fs_pair", ("文徵明", "文彭")), ("？", "fallback", "", ()), ("", "empty", "", ()),
+    ("请比较不同时期人物活动地点的变化", "fallback", "", ()),
+)
+
+
+def _route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routed = route_questions(spark.createDataFrame([(q,) for q, *_ in GOLDEN], "question string"))
+    return routed.select("question", "route_type", F.coalesce("intent", F.lit("")).alias("intent"), F.array_join("slots", "|").alias("slots"))
+
+
+QUERIES["route_questions"] = _route
+ORACLE["route_questions"] = "SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{t}', '{i}', '{'|'.join(s)}')" for q, t, i, s in GOLDEN) + ") g(question, route_type, intent, slots)"
+
+
+def _answer(function, intent: str, *slots: str) -> Query:
+    return lambda spark, sf_dir: answers.answer(function(star_graph(spark, sf_dir), *slots), intent, list(slots))
+
+
+def _answer_sql(rows: str, order: str, value: str, name: str, once: bool, *slots: str) -> str:
+    slot = "、".join(slots)
+    placed = f"SELECT {value} AS v, row_number() OVER (ORDER BY {order}) AS i FROM ({rows})"
+    kept = f"SELECT v, min(i) AS i FROM ({placed}) WHERE v IS NOT NULL GROUP BY v" if once else f"SELECT v, i FROM ({placed}) WHERE v IS NOT NULL"
+    return f"SELECT '“{slot}”的{name}信息包括：' || string_agg(v, '、' ORDER BY i) AS answer FROM (SELECT * FROM ({kept}) ORDER BY i LIMIT 10)"
+
+
+QUERIES["answer_values"] = _answer(lookups.courtesy_name, "courtesy_name", TEN)
+ORACLE["answer_values"] = _answer_sql(ORACLE["courtesy_name"], "person, label, courtesyNode, courtesyLabel, courtesyName", "nullif(courtesyName, '')", "字", True, TEN)
+QUERIES["answer_birth_death"] = _answer(lookups.birth_death, "birth_death", TEN)
+ORACLE["answer_birth_death"] = _answer_sql(ORACLE["birth_death"], "person, label, birthYear, deathYear", "CASE WHEN birthYear <> '' OR deathYear <> '' THEN trim(birthYear || ' - ' || deathYear, ' -') END", "生卒年", False, TEN)
+QUERIES["answer_family"] = _answer(lookups.family_relations, "family_relations", TEN)
+ORACLE["answer_family"] = _answer_sql(ORACLE["family_relations"], "person, label, relative, relativeLabel, relationType", "CASE WHEN relativeLabel <> '' THEN relationType || '：' || relativeLabel END", "亲属关系对象", False, TEN)
+QUERIES["answer_pair"] = _answer(lookups.pair_relations, "pair_relations", *PAIR)
+ORACLE["answer_pair"] = _answer_sql(ORACLE["pair_relations"], "sourceLabel, targetLabel, relation, relationLabel, direction", "direction || '：' || coalesce(nullif(relationLabel, ''), relation)", "人物关系", False, *PAIR)
+
+# --- property graphs -----------------------------------------------------------------
+
+
+def _network(part: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        graph = network.property_graph(lookups.family_relations(star_graph(spark, sf_dir), TEN), "family")
+        if part == "nodes":
+            return graph.nodes.drop("first")
+        if part == "layout":
+            return network.circular_layout(graph.nodes).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+        if part == "meta":
+            return graph.meta.withColumn("warnings", F.array_join("warnings", "|"))
+        return graph.edges
+
+    return run
+
+
+_ROWS = f"SELECT *, row_number() OVER (ORDER BY person, label, relative, relativeLabel, relationType) AS i FROM ({ORACLE['family_relations']})"
+_NODES = f"SELECT id, min(pos) AS first FROM (SELECT label AS id, 2 * i AS pos FROM ({_ROWS}) UNION ALL SELECT relativeLabel, 2 * i + 1 FROM ({_ROWS})) WHERE id <> '' GROUP BY id"
+_EDGES = f"SELECT DISTINCT label AS source, relativeLabel AS target, relationType AS l FROM ({_ROWS}) WHERE label <> relativeLabel"
+for _part in ("nodes", "edges", "meta", "layout"):
+    QUERIES[f"graph_{_part}"] = _network(_part)
+ORACLE["graph_nodes"] = f"SELECT id, id AS label, 'person' AS type, 'person' AS \"group\", 22 AS size FROM ({_NODES})"
+ORACLE["graph_edges"] = f"SELECT source || '::' || target || '::' || l AS id, source, target, l AS label, l AS relationType FROM ({_EDGES})"
+ORACLE["graph_meta"] = f"SELECT 'family' AS source, (SELECT count(*) FROM ({_ROWS})) AS rowCount, (SELECT count(*) FROM ({_NODES})) AS nodeCount, (SELECT count(*) FROM ({_EDGES})) AS edgeCount, '' AS warnings"
+ORACLE["graph_layout"] = (
+    f"SELECT id, round(380 + 138 * cos(pi() * 2 * k / n - pi() / 2), 6) AS x, round(210 + 138 * sin(pi() * 2 * k / n - pi() / 2), 6) AS y"
+    f" FROM (SELECT id, row_number() OVER (ORDER BY first) - 1 AS k, count(*) OVER () AS n FROM ({_NODES}))"
+)
+
+# --- extraction ------------------------------------------------------------------------
+
+
+class _Stub:
+    """A client whose response derives from the record: fenced for even ids."""
+
+    def invoke(self, prompt: str) -> str:
+        tail = prompt.split("记录编号：", 1)[1]
+        record_id, rest = tail.split("\n", 1)
+        name, lang, source = rest.split("\n", 1)[0].removeprefix("人物名：").split("|")
+        body = json.dumps({
+            "entities": [{"name": name, "category": "PERSON", "evidence": name}],
+            "attributes": [{"subject": name, "attribute": "lang", "value": lang}, {"subject": name, "attribute": "source", "value": source, "evidence": source}],
+            "relations": [{"source": name, "relation": "from", "target": source}],
+        })
+        return f"```json\n{body}\n```" if int(record_id) % 2 == 0 else body
+
+
+def _extract(part: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        named = F.concat_ws("|", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), "lang", "source")
+        records = docs.select(F.col("doc_id").cast("string").alias("record_id"), named.alias("person_name"), F.col("text").alias("source_text"), F.col("n_chars").alias("text_length"))
+        return extraction.flatten(extraction.extract(records, _Stub), part)
+
+    return run
+
+
+for _part in ("entities", "attributes", "relations"):
+    QUERIES[f"extract_{_part}"] = _extract(_part)
+_DOC = "doc_id::VARCHAR AS record_id"
+_WHO = "'doc-' || doc_id::VARCHAR"
+ORACLE["extract_entities"] = f"SELECT {_DOC}, 0 AS position, {_WHO} AS name, 'PERSON' AS category, {_WHO} AS evidence FROM documents"
+ORACLE["extract_attributes"] = (
+    f"SELECT {_DOC}, 0 AS position, {_WHO} AS subject, 'lang' AS attribute, lang AS value, '' AS evidence FROM documents"
+    f" UNION ALL SELECT {_DOC}, 1, {_WHO}, 'source', source, source FROM documents"
+)
+ORACLE["extract_relations"] = f"SELECT {_DOC}, 0 AS position, {_WHO} AS source, 'from' AS relation, source AS target, '' AS evidence FROM documents"
+
+# --- alignment and scans -----------------------------------------------------------------
+
+
+def _screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.screen(star_graph(spark, sf_dir))
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.status_counts(alignment.screen(star_graph(spark, sf_dir))).withColumn("share", F.round("share", 6))
+
+
+def _aligned_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Persons, the external table and the regions of places."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    none = F.lit(None).cast("string")
+    base = c.select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("courtesy"), "c_nationkey", none.alias("birth"), none.alias("death"))
+    people = base.select(node("customer", "c_custkey").alias("node"), "name", "courtesy", F.col("c_nationkey").alias("place"), "birth", "death")
+    kind = F.col("c_custkey") % 4
+    place = F.when(kind == 0, F.col("c_nationkey")).when(kind == 1, (F.col("c_nationkey") + 5) % 25).otherwise((F.col("c_nationkey") + 1) % 25)
+    external = base.where(kind != 3).select(F.concat(F.lit("ext/"), F.col("c_custkey").cast("string")).alias("ext_id"), "name", "courtesy", place.alias("place"), "birth", "death")
+    regions = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("place"), F.col("n_regionkey").alias("region"))
+    return people, external, regions
+
+
+def _match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.resolve(alignment.match(*_aligned_tables(spark, sf_dir))).select("node", "status", "tier", F.coalesce("ext_id", F.lit("")).alias("ext_id"), F.array_join("candidates", ",").alias("candidates"), "check_by_hand")
+
+
+QUERIES |= {"align_screen": _screen, "align_counts": _counts, "align_match": _match}
+_STATUS = f"SELECT node, CASE WHEN node IN (SELECT source FROM facts WHERE rel_type IN ('{V}hasCourtesyName', '{V}birthPlace')) THEN 'pending' ELSE 'insufficient_data' END AS status FROM persons"
+ORACLE["align_screen"] = _sql(_STATUS)
+ORACLE["align_counts"] = _sql(f"SELECT status, count(*) AS n, round(count(*) / (SELECT count(*) FROM persons), 6) AS share FROM ({_STATUS}) GROUP BY status")
+ORACLE["align_match"] = (
+    f"SELECT '{NODE}customer/' || c_custkey::VARCHAR AS node, ['aligned', 'aligned', 'partial', 'insufficient_data'][c_custkey % 4 + 1] AS status, (c_custkey % 4 + 1)::INT AS tier,"
+    " CASE WHEN c_custkey % 4 < 3 THEN 'ext/' || c_custkey::VARCHAR ELSE '' END AS ext_id, CASE WHEN c_custkey % 4 < 3 THEN 'ext/' || c_custkey::VARCHAR ELSE '' END AS candidates, c_custkey % 4 = 1 AS check_by_hand FROM customer"
+)
+
+QUERIES["triples_scan"] = lambda spark, sf_dir: star_graph(spark, sf_dir).triples().groupBy("p", "o_kind").agg(F.count("*").alias("n"))
+ORACLE["triples_scan"] = _sql(
+    "SELECT p, o_kind, count(*) AS n FROM ("
+    f"SELECT rel_type, unnest(['http://www.w3.org/1999/02/22-rdf-syntax-ns#type', '{V}relationType', '{V}sourceEntity', '{V}targetEntity']) AS p, 'iri' AS o_kind FROM facts"
+    " UNION ALL SELECT '', 'http://www.w3.org/2000/01/rdf-schema#label', 'literal' FROM labels"
+    " UNION ALL SELECT '', p, 'literal' FROM literals"
+    " UNION ALL SELECT '', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'iri' FROM (SELECT node FROM persons UNION ALL SELECT n_name FROM nation"
+    " UNION ALL SELECT DISTINCT c_mktsegment FROM customer UNION ALL SELECT DISTINCT o_orderpriority FROM orders UNION ALL SELECT DISTINCT year(o_orderdate)::VARCHAR FROM orders)"
+    ") GROUP BY p, o_kind"
+)
+QUERIES["label_union"] = lambda spark, sf_dir: answers.table(lookups.courtesy_name(star_graph(spark, sf_dir), TEN), lookups.school_membership(star_graph(spark, sf_dir), TEN))
+ORACLE["label_union"] = (
+    f"SELECT person, label, courtesyNode, courtesyLabel, courtesyName, '' AS school, '' AS schoolLabel FROM ({ORACLE['courtesy_name']})"
+    f" UNION ALL SELECT person, label, '', '', '', school, schoolLabel FROM ({ORACLE['school_membership']})"
+)

@@ -93,6 +93,7 @@ def test_audit(spark, tmp_path):
 SPARQL = [
     ("SELECT ?l { ?p a kg:Person ; rdfs:label ?l } ORDER BY DESC(?l) LIMIT 2", [("文徵明",), ("文彭",)]),
     ("SELECT ?l { ?p a kg:Person ; rdfs:label ?l } ORDER BY ?l LIMIT 2 OFFSET 1", [("文",), ("文彭",)]),
+    ("SELECT ?t (COUNT(?f) AS ?n) { ?f kg:relationType ?t } GROUP BY ?t ORDER BY DESC(?n) ?t LIMIT 2", [("urn:lattica:kg#hasFriend", "3"), ("urn:lattica:kg#bornIn", "1")]),
     ("SELECT (COUNT(*) AS ?n) (COUNT(DISTINCT ?t) AS ?m) { ?f kg:relationType ?t }", [("9", "7")]),
     ("SELECT ?t (COUNT(?f) AS ?n) { ?f kg:relationType ?t } GROUP BY ?t HAVING (COUNT(?f) > 1)", [("urn:lattica:kg#hasFriend", "3")]),
     ("SELECT ?p { ?p a kg:Person FILTER NOT EXISTS { ?p rdfs:label ?l } }", [("urn:t:nolabel",)]),
