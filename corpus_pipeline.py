@@ -10,22 +10,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lattica.functions.ship import ship
 from lattica.llm import chosen_path, mixing, packing, secret_scan, toxicity
 from lattica.llm.common import Scratch, read
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that score 0.7 or more go; labels are learned from as in op1."""
+    ship(spark)
     return toxicity.reject(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity 0.8 or more; the smallest doc_id stays."""
+    ship(spark)
     return chosen_path.keep_first(docs, width=5, percent=80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of a secret becomes a mask; all rows stay."""
+    ship(spark)
     return secret_scan.redact(docs)
 
 
