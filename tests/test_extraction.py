@@ -60,3 +60,25 @@ def test_flatten_and_response_text(spark):
     df = spark.createDataFrame([("1", json.dumps(GOOD))], "record_id string, response string")
     assert [tuple(r) for r in ex.flatten(ex.parse(df), "entities").collect()] == [("1", 0, "文彭", "PERSON", "文彭")]
     assert ex.response_text({"a": 1}) == "{'a': 1}" and ex.response_text([]) == "[]"
+
+
+def test_command_line_and_clients(spark, tmp_path):
+    from lattica import cli
+    from lattica.operators.clients import LocalModel
+    from lattica.plans.prompts import sparql_prompt
+
+    source = tmp_path / "in.json"
+    source.write_text(json.dumps([{"record_id": f"r{i}0", "person_name": "p", "source_text": "t", "text_length": 1} for i in range(3)]), encoding="utf-8")
+    out = tmp_path / "new" / "out.json"
+    cli.main(["--input", str(source), "--output", str(out), "--model-dir", "none", "--limit", "2"], client=Stub, spark=spark)
+    assert [r["record_id"] for r in json.loads(out.read_text(encoding="utf-8"))] == ["r00", "r10"]
+    cli.main(["--input", str(source), "--output", str(tmp_path / "nd"), "--model-dir", "none"], client=Stub, spark=spark)
+    assert spark.read.json(str(tmp_path / "nd")).count() == 3
+    a = cli.arguments().parse_args(["--input", "a", "--output", "b", "--model-dir", "m", "--load-in-4bit"])
+    assert (a.max_new_tokens, a.temperature, a.device, a.load_in_4bit, a.limit) == (768, 0.1, "auto", True, None)
+    try:
+        import transformers  # noqa: F401
+    except ImportError:
+        with pytest.raises(RuntimeError, match="transformers"):
+            LocalModel("none").invoke("x")
+    assert sparql_prompt("谁？").endswith("问题：谁？\nSPARQL：") and sparql_prompt("谁？").count("SELECT") >= 5
