@@ -9,15 +9,17 @@ its minwise token there. A node of at most ``small`` sets is compared
 exhaustively; larger ones branch on down to ``depth``. A node that is still
 large there holds sets that agree in many minwise tokens; it is dealt out in
 chunks which all hold its smallest document (its pivot), and what does not get
-into the pivot's component is compared with all of the node's chunks.
-
-Comparison is in two steps: estimates over ``COORDINATES`` 16-bit minwise
-tokens, at a threshold that a pair to be linked misses with probability below
-1e-4, then the exact Jaccard similarity on full sets. Each set is first
-verified against the smallest similar document of its node (a star), and then
-every pair whose ends are still in different components; pairs inside a
-component would not change the result, so a group of n copies costs about n
-verifications in place of n^2, and none is left out for its size.
+into the pivot's component is compared with all of the node, in blocks.
+
+Comparison is in two steps: estimates over ``COORDINATES`` 8-bit minwise
+tokens (corrected for chance agreement), at a threshold that a pair to be linked
+misses with probability below 1e-4, then the exact Jaccard similarity on full
+sets. Each set is first
+verified against the smallest similar document of its node (a star), then
+against the most similar one of another component, and at last every pair
+whose ends are still in different components; pairs inside a component would
+not change the result, so a group of n copies costs about n verifications in
+place of n^2, and none is left out for its size.
 
 Defined results: null, empty and blank texts have the empty set and link with
 nothing; rows without an id link with nothing; rows that share an id are one
@@ -36,21 +38,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Scratch, components, groups, rows_of, shuffle_partitions
+from lattica.llm.common import Forest, Scratch, components, groups, rows_of, shuffle_partitions
 
 COORDINATES = 128
 TREES = 10
 DEPTH = 4
 SMALL = 32
 CHUNK = 256
+BLOCK = 65_536
+BEST = 2
 
 
 class _Words(dict):
-    """64-bit hashes of words; remembers up to a million."""
+    """64-bit hashes of words; remembers up to a quarter of a million."""
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1_000_000:
+        if len(self) < 250_000:
             self[word] = h
         return h
 
@@ -145,7 +149,8 @@ def features(docs: DataFrame, width: int, threshold: float, seed: int, key: str
                 h1.append(_signed(xxhash.xxh3_64_intdigest(raw)))
                 h2.append(_signed(xxhash.xxh3_64_intdigest(raw, 1)))
                 sig = minwise(items, seed)
-                sigs.append((sig >> np.uint32(16) ^ sig & np.uint32(0xFFFF)).astype("<u2").tobytes())
+                folded = sig ^ (sig >> np.uint32(16))
+                sigs.append((folded ^ (folded >> np.uint32(8))).astype(np.uint8).tobytes())
                 walks.append(np.array(paths(sig.tolist(), TREES, DEPTH, threshold, seed), np.uint64).astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(walks, pa.binary())],
@@ -185,7 +190,9 @@ def leaves(sets: DataFrame, scratch: Scratch, small: int = SMALL, chunk: int = C
             large = more.select("leaf", F.ceil(F.col("m") / float(chunk)).cast("int").alias("chunks"), "pivot", "rep").distinct()
         else:
             walking = scratch.table(more.select("rep", *deeper), f"walks{d}")
-    return scratch.table(kept.distinct(), "leaves"), scratch.table(large, "large")
+    found = scratch.table(kept.distinct(), "leaves"), scratch.table(large, "large")
+    scratch.release("walks", *[f"walks{d}" for d in range(1, DEPTH)], *[f"counts{d}" for d in range(1, DEPTH + 1)])
+    return found
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -195,7 +202,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         if not batch.num_rows:
             continue
         leaf, rep, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2").reshape(-1, COORDINATES)
+        sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, COORDINATES)
         now = (leaf, rep, label, sig) if held is None else tuple(np.concatenate(x) for x in zip(held, (leaf, rep, label, sig)))
         cut = int(np.searchsorted(now[0], now[0][-1])) if np.all(now[0][:-1] <= now[0][1:]) else len(now[0]) - int(np.argmax((now[0] != now[0][-1])[::-1]))
         if cut:
@@ -205,35 +212,68 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         yield held
 
 
-def _pairs(rows: DataFrame, least: float, star: bool) -> DataFrame:
+def _pairs(rows: DataFrame, least: float, mode: str) -> DataFrame:
     """Estimated pairs (a, b) inside the leaves of (leaf, rep, label, sig): for
-    each set its smallest similar one (star), or all with unequal labels."""
+    each set its smallest similar one or else a larger one (``star``), the most similar one with
+    another label (``best``), or all pairs with unequal labels (``all``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for leaf, rep, label, sig in _signatures(batches):
-            first = np.full(len(leaf), -1)
+            other, later, top = np.full(len(leaf), -1), np.full(len(leaf), -1), np.full(len(leaf), -1.0)
             for s in range(1, len(leaf)):
                 at = np.flatnonzero(leaf[:-s] == leaf[s:])
                 if not len(at):
                     break
-                if not star:
+                if mode != "star":
                     at = at[label[at] != label[at + s]]
                 at = at[rep[at] != rep[at + s]]
                 for lo in range(0, len(at), 16_384):
                     part = at[lo : lo + 16_384]
-                    good = part[(sig[part] == sig[part + s]).mean(axis=1) >= least]
-                    if star:
-                        first[good + s] = good  # shifts grow, so the smallest document stays
+                    near = (sig[part] == sig[part + s]).mean(axis=1)
+                    good, near = part[near >= least], near[near >= least]
+                    if mode == "star":
+                        other[good + s] = good  # shifts grow, so the smallest document stays
+                        later[good] = good + s
+                    elif mode == "best":
+                        for mine, its in ((good, good + s), (good + s, good)):
+                            up = near > top[mine]
+                            top[mine[up]], other[mine[up]] = near[up], its[up]
                     elif len(good):
                         yield pa.RecordBatch.from_arrays([pa.array(rep[good]), pa.array(rep[good + s])], ["a", "b"])
-            if star:
-                found = np.flatnonzero(first >= 0)
-                yield pa.RecordBatch.from_arrays([pa.array(rep[first[found]]), pa.array(rep[found])], ["a", "b"])
+            if mode != "all":
+                other = np.where(other < 0, later, other)  # without a smaller one, a larger one
+                found = np.flatnonzero(other >= 0)
+                ends = rep[other[found]], rep[found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends))], ["a", "b"])
 
     spread = rows.repartition(shuffle_partitions(rows.sparkSession), "leaf").sortWithinPartitions("leaf", "rep")
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame, most_bits: int = 1 << 27) -> DataFrame:
+    """The rows of (rep, text) whose rep is in (w). Most texts are not wanted, so
+    a Bloom filter of one hash, bounded to ``most_bits`` whatever the number of
+    documents, drops them before the join; the join decides."""
+    bits = 1 << 16
+    n = wanted.count()
+    while bits < min(16 * n, most_bits):
+        bits *= 2
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = wanted.select(place("w").alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("mask")).toArrow()
+    filled = np.zeros(bits >> 6, np.uint64)
+    filled[words["word"].to_numpy()] = words["mask"].to_numpy().astype(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(filled)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = shared.value
+        for batch in batches:
+            p = batch.column(2).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array((mask[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+
+    likely = docs.where("rep is not null").select("rep", "text", place("rep").alias("p")).mapInArrow(run, "rep long, text string, p long").drop("p")
+    return likely.join(wanted, F.col("rep") == F.col("w")).drop("w")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union on full sets.
 
@@ -263,7 +303,60 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int, scratch
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     spread = held.repartition(shuffle_partitions(pairs.sparkSession), "cell").sortWithinPartitions("cell")
-    return scratch.table(spread.mapInArrow(run, "a long, b long"), f"{name}-links")
+    found = scratch.table(spread.mapInArrow(run, "a long, b long"), f"{name}-links")
+    scratch.release(f"{name}-pairs", f"{name}-cells")
+    return found
+
+
+def _families(rows: DataFrame, sizes: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) from what is outside the component of its node's pivot to
+    all of the node, on full sets. Large nodes whose pivots are in one component
+    are one family. A cell compares a block of outsiders with a block of the
+    family, each of about ``BLOCK`` shingles, and gives the links that join
+    components only, so neither the memory of a task nor the rows that leave it
+    grow with the family.
+    """
+    heads = labels.select(F.col("node").alias("pivot"), F.col("component").alias("head"))
+    family = rows.join(heads, "pivot", "left").select(F.coalesce("head", "pivot").alias("head"), "rep", "label").distinct()
+    family = scratch.table(family.join(sizes, F.col("rep") == F.col("s")).drop("s"), "families")
+    blocks_of = lambda n: F.ceil(F.sum(n) / float(BLOCK)).cast("int")
+    blocks = family.groupBy("head").agg(blocks_of("n").alias("wide"), blocks_of(F.when(F.col("label") != F.col("head"), F.col("n")).otherwise(0)).alias("high"))
+    blocks = scratch.table(blocks.where("high > 0").withColumnRenamed("head", "h"), "family-blocks")
+    placed = family.join(blocks, F.col("head") == F.col("h"))
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("o")
+    cell = lambda i, j: F.xxhash64("head", i, j).alias("cell")
+    inside = placed.select("head", "rep", "label", block("wide").alias("i"), every("high")).select(cell("i", "o"), F.lit(0).alias("role"), "rep", "label")
+    outside = placed.where("label <> head").select("head", "rep", "label", block("high").alias("j"), every("wide")).select(cell("o", "j"), F.lit(1).alias("role"), "rep", "label")
+    held = inside.unionByName(outside).join(texts, "rep").select("cell", "role", "rep", "label", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in groups(rows_of(batches)):
+            role, rep, label = (table[c].to_numpy() for c in ("role", "rep", "label"))
+            sets = [shingles(t.as_py(), width) for t in table["text"]]
+            at = np.flatnonzero(role == 0)
+            if not len(at):
+                continue
+            sizes = np.array([len(sets[i]) for i in at])
+            flat, owner = np.concatenate([sets[i] for i in at]), np.repeat(np.arange(len(at)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            forest, links = Forest(), []
+            for o in np.flatnonzero(role == 1).tolist():
+                mine = sets[o]
+                lo, hi = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+                n = hi - lo
+                hit = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                shared = np.bincount(owner[hit], minlength=len(at))
+                for i in at[100 * shared >= percent * (sizes + len(mine) - shared)].tolist():
+                    if rep[i] != rep[o] and forest.join(int(label[i]), int(label[o])):
+                        links.append((int(rep[i]), int(rep[o])))
+            if links:
+                a, b = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    spread = held.repartition(shuffle_partitions(rows.sparkSession), "cell").sortWithinPartitions("cell")
+    return scratch.table(spread.mapInArrow(run, "a long, b long"), "family-links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", seed: int = 1) -> DataFrame:
@@ -271,9 +364,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     spark = docs.sparkSession
     scratch = Scratch(spark, "chosen-path")
     threshold = percent / 100
-    least = threshold - 4 * (threshold * (1 - threshold) / COORDINATES) ** 0.5
+    agree = threshold + (1 - threshold) / 256  # equal tokens, or unequal ones of equal bytes
+    least = agree - 4 * (agree * (1 - agree) / COORDINATES) ** 0.5
     seen = scratch.table(features(docs, width, threshold, seed, key, text), "features")
-    sets = seen.where("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("paths").alias("paths"))
+    sets = seen.where("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sig").alias("sig"), F.first("paths").alias("paths"))
     sets = scratch.table(sets, "sets")
     small, large = leaves(sets, scratch)
     signed = sets.select(F.col("rep").alias("r"), "sig")
@@ -287,30 +381,40 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     pivots = large.select("leaf", "pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"))
     pivots = pivots.select(F.xxhash64("leaf", F.col("o").cast("bigint")).alias("leaf"), F.col("pivot").alias("rep")).distinct()
     rows = small.unionByName(own).unionByName(pivots).distinct().withColumn("label", F.lit(0).cast("long"))
-    stars = scratch.table(_pairs(with_sig(rows), least, star=True), "stars")
+    stars = scratch.table(_pairs(with_sig(rows), least, "star"), "stars")
 
-    wanted = stars.select(F.col("a").alias("w")).unionByName(stars.select(F.col("b").alias("w"))).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).cast("string").alias("text")).join(wanted, F.col("rep") == F.col("w")).drop("w")
+    wanted = stars.select(F.col("a").alias("w")).unionByName(stars.select(F.col("b").alias("w"))).unionByName(large.select(F.col("rep").alias("w"))).distinct()
+    wanted = scratch.table(wanted, "wanted")
+    texts = texts_of(docs.select(F.col(key).cast("long").alias("rep"), F.col(text).cast("string").alias("text")), wanted)
     texts = scratch.table(texts, "texts")
+    scratch.release()
     links = verify(stars, texts, width, percent, scratch, "star")
     labels = scratch.table(components(links, scratch), "labels")
 
-    # Every estimated pair whose ends are still apart.
+    near = wanted.withColumnRenamed("w", "rep")
+
     def labelled(rows: DataFrame) -> DataFrame:
         return rows.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
 
-    near = wanted.withColumnRenamed("w", "rep")
-    inside = labelled(large.join(near, "rep"))
-    heads = labels.select(F.col("node").alias("pivot"), F.col("component").alias("head"))
-    apart = inside.join(heads, "pivot", "left").where(F.col("label") != F.coalesce("head", "pivot"))
-    spread = apart.select("leaf", "rep", "label", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")).select(F.xxhash64("leaf", F.col("o").cast("bigint")).alias("leaf"), "rep", "label")
-    rest = labelled(small.join(near, "rep")).unionByName(inside.select(F.xxhash64("leaf", mine).alias("leaf"), "rep", "label")).unionByName(spread).distinct()
-    bridges = _pairs(with_sig(rest), least, star=False)
-    more = verify(bridges, texts, width, percent, scratch, "bridge")
+    # The most similar document of another component, in every node: what is
+    # left in pieces of a large group by its star grows together here.
+    for turn in range(BEST):
+        rows = labelled(small.join(near, "rep").unionByName(own)).distinct()
+        more = verify(_pairs(with_sig(rows), least, "best"), texts, width, percent, scratch, f"best{turn}")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        labels = scratch.table(components(links, scratch), f"labels{turn}")
+
+    # Every estimated pair of a small node whose ends are still apart, and in
+    # large nodes what is outside its pivot's component against all.
+    bridges = _pairs(with_sig(labelled(small.join(near, "rep"))), least, "all")
+    more = verify(bridges, texts, width, percent, scratch, "bridge").unionByName(_families(labelled(large), sets.select(F.col("rep").alias("s"), "n"), labels, texts, width, percent, scratch))
     whole = components(links.unionByName(more), scratch)
 
     known = sets.select("h1", "h2", "rep").join(whole, F.col("rep") == F.col("node"), "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("component", "rep").alias("component"))
     known = scratch.table(known, "known")
+    scratch.release("texts", "stars", "leaves", "large", "wanted", "families")
     mine = seen.select("doc_id", "n", *[F.when(F.col("doc_id").isNotNull(), F.col(h)).alias(h) for h in ("h1", "h2")])
     got = mine.join(known, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
     return got.select(

@@ -4,6 +4,7 @@ shared folder, word splitting, Arrow batch helpers and connected components."""
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,6 +51,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 
@@ -60,6 +62,15 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def release(self, *names: str) -> None:
+        """Delete tables that no later plan reads, and let Spark delete the
+        shuffle files of plans that are done (it does so as the driver collects
+        its garbage)."""
+        for name in names:
+            self.drop(name)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str | None = None) -> None:
         try:
             jvm = self.spark.sparkContext._jvm
@@ -71,6 +82,12 @@ class Scratch:
                 raise
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bound the Arrow batches of the session by bytes: rows are counted by the
+    thousand there, and a thousand long texts would fill a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -133,9 +150,16 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     """
     spark = edges.sparkSession
 
-    def settle(df: DataFrame, step: int) -> tuple[DataFrame, tuple]:
-        out = scratch.table(df, f"cc-{a}{b}-{step % 3}-{uuid.uuid4().hex[:6]}")
+    label, written = uuid.uuid4().hex[:6], []
+
+    def settle(df: DataFrame, about: int | None = None) -> tuple[DataFrame, tuple]:
+        if about is not None:  # no more files than the edges need
+            df = df.coalesce(max(1, min(shuffle_partitions(spark), about // 50_000)))
+        written.append(f"cc-{label}-{len(written)}")
+        out = scratch.table(df, written[-1])
         got = out.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if len(written) > 2:
+            scratch.release(written[-3])
         return out, (got[0], got[1])
 
     e = (
@@ -143,8 +167,8 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct()
     )
-    e, before = settle(e, 0)
-    for step in range(1, 200):
+    e, before = settle(e)
+    for _ in range(200):
         if not before[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -158,7 +182,7 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
             .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
             .distinct()
         )
-        e, now = settle(small, step)
+        e, now = settle(small, 2 * before[0])
         if now == before:
             break
         before = now
