@@ -105,20 +105,20 @@ def birth_death(kg: KnowledgeGraph, name: str) -> DataFrame:
     return final(rows, ["person", "label", "birthYear", "deathYear"], 20, distinct=False)
 
 
-def _either_side(kg: KnowledgeGraph, relation: str | None, other: str, forward: str, backward: str, tag: str) -> DataFrame:
-    """Facts read from both ends: (person, other, rel_type, tag)."""
-    facts = kg.facts if relation is None else kg.facts_of(relation)
-    read = lambda a, b, t: facts.select(F.col(a).alias("person"), F.col(b).alias(other), "rel_type", F.lit(t).alias(tag))
-    return read("source", "target", forward).unionByName(read("target", "source", backward))
+def _both_ways(facts: DataFrame, one: str, other: str, forward: str, backward: str, tag: str) -> DataFrame:
+    """Facts read from both ends, (one, other, tag, rel_type), in one scan."""
+    way = lambda x, y, t: F.struct(F.col(x).alias(one), F.col(y).alias(other), F.lit(t).alias(tag))
+    ends = F.explode(F.array(way("source", "target", forward), way("target", "source", backward)))
+    return facts.select(ends.alias("_end"), "rel_type").select("_end.*", "rel_type")
 
 
 def family_relations(kg: KnowledgeGraph, name: str) -> DataFrame:
-    edges = _either_side(kg, "fatherOf", "relative", CHILD, PARENT, "relationType").join(candidates(kg, name), "person")
+    edges = _both_ways(kg.facts_of("fatherOf"), "person", "relative", CHILD, PARENT, "relationType").join(candidates(kg, name), "person")
     return final(shown(kg, edges, "relative", "relativeLabel"), ["person", "label", "relative", "relativeLabel", "relationType"], 40)
 
 
 def social_relations(kg: KnowledgeGraph, name: str) -> DataFrame:
-    edges = _either_side(kg, "hasFriend", "friend", "", "", "tag").join(candidates(kg, name), "person")
+    edges = _both_ways(kg.facts_of("hasFriend"), "person", "friend", "", "", "tag").join(candidates(kg, name), "person")
     return final(shown(kg, edges, "friend", "friendLabel"), ["person", "label", "friend", "friendLabel"], 30)
 
 
@@ -133,13 +133,12 @@ def pair_relations(kg: KnowledgeGraph, first: str, second: str) -> DataFrame:
     a = candidates(kg, first, PAIR_CANDIDATES, False, ("_a", "sourceLabel"))
     b = candidates(kg, second, PAIR_CANDIDATES, False, ("_b", "targetLabel"))
     # Facts meet each capped side in turn; the product of the sides never exists.
-    read = lambda x, y, t: kg.facts.select(F.col(x).alias("_a"), F.col(y).alias("_b"), F.col("rel_type").alias("relation"), F.lit(t).alias("direction")).join(a, "_a").join(b, "_b")
-    edges = read("source", "target", FORWARD).unionByName(read("target", "source", BACKWARD))
+    edges = _both_ways(kg.facts, "_a", "_b", FORWARD, BACKWARD, "direction").withColumnRenamed("rel_type", "relation").join(a, "_a").join(b, "_b")
     return final(labelled(kg, edges, "relation", "relationLabel"), ["sourceLabel", "targetLabel", "relation", "relationLabel", "direction"], 30)
 
 
 def related_people(kg: KnowledgeGraph, name: str) -> DataFrame:
-    edges = _either_side(kg, None, "related", OUTGOING, INCOMING, "direction").withColumnRenamed("rel_type", "relation").join(candidates(kg, name), "person")
+    edges = _both_ways(kg.facts, "person", "related", OUTGOING, INCOMING, "direction").withColumnRenamed("rel_type", "relation").join(candidates(kg, name), "person")
     others = kg.persons.select(F.col("node").alias("related"), F.col("label").alias("relatedLabel"))
     rows = labelled(kg, edges.join(others, "related"), "relation", "relationLabel")
     return final(rows, ["person", "label", "related", "relatedLabel", "relation", "relationLabel", "direction"], 50)
@@ -173,8 +172,7 @@ def template_pair(kg: KnowledgeGraph, person_a: str, person_b: str) -> DataFrame
         return kg.persons.where(says(F.col("label"), text, both_ways=False)).select(F.col("node").alias(as_[0]), F.col("label").alias(as_[1]))
 
     a, b = side(person_a, ("_a", "sourceLabel")), side(person_b, ("_b", "targetLabel"))
-    read = lambda x, y, t: kg.facts.select(F.col(x).alias("_a"), F.col(y).alias("_b"), F.col("rel_type").alias("relation"), F.lit(t).alias("direction")).join(a, "_a").join(b, "_b")
-    edges = read("source", "target", FORWARD).unionByName(read("target", "source", BACKWARD))
+    edges = _both_ways(kg.facts, "_a", "_b", FORWARD, BACKWARD, "direction").withColumnRenamed("rel_type", "relation").join(a, "_a").join(b, "_b")
     return final(labelled(kg, edges, "relation", "relationLabel"), ["sourceLabel", "targetLabel", "relation", "relationLabel", "direction"], 20, distinct=False)
 
 
