@@ -8,7 +8,7 @@ trees of bounded depth are fitted on second-order gradients of the log loss
 over binned features; isotonic regression of out-of-fold scores makes them
 probabilities.
 
-The model is fitted on at most ``SAMPLE`` labelled rows, the smallest by a hash
+The model is fitted on at most ``SAMPLE`` labelled rows, chosen by a hash
 of their id (the documented bound of the classifier); word counts of the
 sample are made in parallel, and the driver sees only the kept lexicon entries
 and one dense row a sampled document. Lexicons are learned on one half of the
@@ -92,7 +92,7 @@ class _Seen(dict):
             plain = re.sub(r"(.)\1{2,}", r"\1", plain)
             undone = plain != bare and (plain in ABUSIVE or f"w:{plain}" in lexicon)
         got = (fixed, learned, begin, you, shouted, odd, stretched, undone, bare) if fixed or learned or begin or you or shouted or odd or stretched else None
-        if len(self) < 500_000:
+        if len(self) < 150_000:
             self[word] = got
         return got
 
@@ -259,7 +259,7 @@ def _lexicon(rows: DataFrame, most: int) -> dict[str, float]:
     """Log odds of the words and beginnings that mark toxic rows of (text, y)."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches):
+        for batch in rows_of(batches, 1 << 20):
             keys, ys = [], []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = {e for w in set((text or "").split()) for e in entries(w)}
@@ -280,7 +280,7 @@ def _lexicon(rows: DataFrame, most: int) -> dict[str, float]:
 def _features(rows: DataFrame, lexicon: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Featurizer(lexicon)
-        for batch in rows_of(batches):
+        for batch in rows_of(batches, 2 << 20):
             x = made.matrix(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], ["y", "x"])
 
@@ -292,7 +292,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).where(fold(F.col(key)) != 1)
     known = known.groupBy(F.col(key).alias("_id")).agg((F.max(label) > 0).cast("int").alias("y"))
-    chosen = known.orderBy(F.xxhash64(F.lit(3), "_id"), "_id").limit(sample)
+    # About twice the sample by a hash, so that what is ordered stays small.
+    share = min(1.0, 2.0 * sample / max(1, known.count()))
+    likely = known.where(F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(1 << 30)) <= share * (1 << 30))
+    chosen = likely.orderBy(F.xxhash64(F.lit(3), "_id"), "_id").limit(sample)
     texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), F.col("_key") == F.col("_id")).select("text", "y", F.pmod(F.xxhash64(F.lit(4), "_id"), F.lit(2)).alias("half"))
     rows = Scratch(spark, "toxicity").table(rows, "sample")
@@ -323,7 +326,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         made = Featurizer(model.lexicon)
-        for batch in rows_of(batches):
+        for batch in rows_of(batches, 2 << 20):
             s = model.scores(made.matrix(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], ["doc_id", "score"])
 
@@ -339,7 +342,7 @@ def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         made = Featurizer(model.lexicon)
-        for batch in rows_of(batches):
+        for batch in rows_of(batches, 2 << 20):
             s = model.scores(made.matrix(batch.column(at).to_pylist()))
             yield batch.filter(pa.array(s < threshold))
 
