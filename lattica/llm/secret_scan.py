@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import rows_of
+from lattica.llm.common import rows_of, small_batches
 
 #: The three base kinds, in their listed order.
 BASE_KINDS = ("assign", "access", "hex")
@@ -269,6 +269,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[
             rows = [[{"kind": k, "start": s, "end": e} for s, e, k in spans] for spans in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["doc_id", "spans"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, schema)
 
 
@@ -312,6 +313,7 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
                 batch = pa.RecordBatch.from_arrays(columns, batch.schema.names)
             yield batch
 
+    small_batches(docs.sparkSession)
     out = docs.mapInArrow(run, schema)
     if length in docs.columns:
         out = out.withColumn(length, F.coalesce(F.length(text), F.col(length)).cast(schema[length].dataType))
