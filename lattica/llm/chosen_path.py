@@ -281,6 +281,8 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int, scratch
     with many partners is spread over several cells.
     """
     pairs = scratch.table(pairs, f"{name}-pairs")
+    if pairs.isEmpty():
+        return pairs
     many = scratch.table(pairs.groupBy("a").agg(F.ceil(F.count("*") / float(CHUNK)).cast("int").alias("cells")).withColumnRenamed("a", "c"), f"{name}-cells")
     placed = pairs.join(many, F.col("a") == F.col("c")).select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("cells"))).alias("cell"), "a", "b")
     roles = placed.select("cell", F.col("a").alias("rep"), F.lit(0).alias("role")).distinct().unionByName(placed.select("cell", F.col("b").alias("rep"), F.lit(1).alias("role")))
@@ -409,7 +411,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     # Every estimated pair of a small node whose ends are still apart, and in
     # large nodes what is outside its pivot's component against all.
     bridges = _pairs(with_sig(labelled(small.join(near, "rep"))), least, "all")
-    more = verify(bridges, texts, width, percent, scratch, "bridge").unionByName(_families(labelled(large), sets.select(F.col("rep").alias("s"), "n"), labels, texts, width, percent, scratch))
+    more = verify(bridges, texts, width, percent, scratch, "bridge")
+    if not large.isEmpty():
+        more = more.unionByName(_families(labelled(large), sets.select(F.col("rep").alias("s"), "n"), labels, texts, width, percent, scratch))
     whole = components(links.unionByName(more), scratch)
 
     known = sets.select("h1", "h2", "rep").join(whole, F.col("rep") == F.col("node"), "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("component", "rep").alias("component"))
