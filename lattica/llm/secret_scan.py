@@ -54,6 +54,15 @@ def _either_case(word: str) -> str:
 
 _KEYS = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token")) + "|" + _either_case("api") + "_?" + _either_case("key")
 
+#: From the banner to the END banner; without one before the next key, over the
+#: header and base64 lines that follow.
+_BREAK = r"(?:[\x20\t]*(?:\r?\n|\\r\\n|\\n))"
+_PRIVATE_KEY = (
+    r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"
+    r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+    rf"|(?:{_BREAK}[A-Za-z-]+:\x20[^\r\n]*)*(?:{_BREAK}+[\x20\t]*[A-Za-z0-9+/]+={{0,2}}(?=[\x20\t]*(?:[\r\n\\]|\Z)))*)"
+)
+
 #: The base rules come first; the others are well-known public formats.
 RULES: tuple[Rule, ...] = (
     Rule("assign", rf"""({_KEYS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", group=2, least=6),
@@ -62,7 +71,7 @@ RULES: tuple[Rule, ...] = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}"),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", _PRIVATE_KEY),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"[sr]k_live_[0-9A-Za-z]{16,}"),
 )
