@@ -389,7 +389,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     wanted = scratch.table(wanted, "wanted")
     texts = texts_of(docs.select(F.col(key).cast("long").alias("rep"), F.col(text).cast("string").alias("text")), wanted)
     texts = scratch.table(texts, "texts")
-    scratch.release()
     links = verify(stars, texts, width, percent, scratch, "star")
     labels = scratch.table(components(links, scratch), "labels")
 

@@ -4,7 +4,7 @@ shared folder, word splitting, Arrow batch helpers and connected components."""
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,12 +24,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir``; one of our own
-    only where the session names none (local runs and tests)."""
+    only in a local session that names none. A cluster has to name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             base = current.get()
+        elif not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="lattica-shared-")
             spark.sparkContext.setCheckpointDir(base)
@@ -42,6 +44,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Deletes the shuffle files of an execution at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """A uniquely named folder below the shared folder, removed at exit.
 
@@ -59,17 +65,20 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        """Writes the table and reads it back. What reads it later needs no
+        shuffle file of its plan, so Spark deletes those with the execution."""
+        conf, before = self.spark.conf, self.spark.conf.get(_CLEANUP, "false")
+        conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def release(self, *names: str) -> None:
-        """Delete tables that no later plan reads, and let Spark delete the
-        shuffle files of plans that are done (it does so as the driver collects
-        its garbage)."""
+        """Delete tables that no later plan reads."""
         for name in names:
             self.drop(name)
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, name: str | None = None) -> None:
         try:
@@ -140,11 +149,26 @@ def joined(batches: Iterator[pa.RecordBatch], target_bytes: int, target_rows: in
         yield pa.Table.from_batches(held)
 
 
+#: A node of more edges than this is a hub. There are at most 2 * edges / HUB.
+HUB = 1_000_000
+
+
+def _with_least(rows: DataFrame, low: DataFrame, hubs: bool) -> DataFrame:
+    """Rows (u, v) with m of (w, m, n) where u = w. The rows of hubs, whose
+    number is bounded by the edges, meet them by a broadcast, so that a hub's
+    edges stay where they are instead of going to one task."""
+    if not hubs:
+        return rows.join(low, F.col("u") == F.col("w"))
+    few, many = F.broadcast(low.where(F.col("n") > HUB)), low.where(F.col("n") <= HUB)
+    rest = rows.join(few, F.col("u") == F.col("w"), "left_anti").join(many, F.col("u") == F.col("w"))
+    return rows.join(few, F.col("u") == F.col("w")).unionByName(rest)
+
+
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list.
 
     Alternates large-star and small-star steps (O(log^2 n) rounds), each two
-    aggregations with map-side combine, so a hub is never gathered by a task.
+    aggregations with map-side combine and a join that does not gather hubs.
     Returns (node, component): every node of an edge with the smallest node
     that it reaches. Nulls take no part.
     """
@@ -162,6 +186,9 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
             scratch.release(written[-3])
         return out, (got[0], got[1])
 
+    def least(rows: DataFrame, m: Column) -> DataFrame:
+        return rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("w"), m.alias("m"), "n")
+
     e = (
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -171,17 +198,12 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     for _ in range(200):
         if not before[0]:
             break
+        hubs = before[0] > HUB
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = (
-            both.where(F.col("v") > F.col("u")).join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        small = (
-            large.join(low, F.col("u") == F.col("w"))
-            .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-            .distinct()
-        )
+        large = _with_least(both.where(F.col("v") > F.col("u")), least(both, F.least("u", "m")), hubs)
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _with_least(large, least(large, F.col("m")), hubs)
+        small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         e, now = settle(small, 2 * before[0])
         if now == before:
             break
