@@ -4,6 +4,8 @@ shared folder, word splitting, Arrow batch helpers and connected components."""
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -64,13 +66,13 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """Writes the table and reads it back. What reads it later needs no
         shuffle file of its plan, so Spark deletes those with the execution."""
         conf, before = self.spark.conf, self.spark.conf.get(_CLEANUP, "false")
         conf.set(_CLEANUP, "true")
         try:
-            df.write.mode("overwrite").parquet(self.path(name))
+            df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
         finally:
             conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
@@ -97,6 +99,14 @@ def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def give_back() -> None:
+    """At the end of a task, hand freed memory back to the system: workers live
+    on from stage to stage and would hold the most that any of them needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
