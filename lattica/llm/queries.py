@@ -75,5 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL by query; the others are held against brute force in tests/llm.
 ORACLE: dict[str, str] = {
+    "op4_merkle_fingerprint": fingerprint.ORACLE,
     "op6_pareto_mixing": mixing.ORACLE,
+    "op7_chosen_path": chosen_path.ORACLE,
+    "op10_sorted_projections": embedding_dedup.ORACLE,
 }
