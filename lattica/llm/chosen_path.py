@@ -9,7 +9,9 @@ its minwise token there. A node of at most ``small`` sets is compared
 exhaustively; larger ones branch on down to ``depth``. A node that is still
 large there holds sets that agree in many minwise tokens; it is dealt out in
 chunks which all hold its smallest document (its pivot), and what does not get
-into the pivot's component is compared with all of the node, in blocks.
+into the pivot's component is compared with all of the node: by estimates in
+large blocks of signatures, and where those leave a pair, on full sets in blocks
+of texts.
 
 Comparison is in two steps: estimates over ``COORDINATES`` 8-bit minwise
 tokens (corrected for chance agreement), at a threshold that a pair to be linked
@@ -19,7 +21,7 @@ verified against the smallest similar document of its node (a star), then
 against the most similar one of another component, and at last every pair
 whose ends are still in different components; pairs inside a component would
 not change the result, so a group of n copies costs about n verifications in
-place of n^2, and none is left out for its size.
+place of n^2, and none is left out for its size. A pair is verified once.
 
 Defined results: null, empty and blank texts have the empty set and link with
 nothing; rows without an id link with nothing; rows that share an id are one
@@ -38,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Forest, Scratch, components, groups, rows_of, shuffle_partitions
+from lattica.llm.common import Forest, Scratch, components, give_back, groups, rows_of, shuffle_partitions
 
 COORDINATES = 128
 TREES = 10
@@ -46,6 +48,7 @@ DEPTH = 4
 SMALL = 32
 CHUNK = 256
 BLOCK = 65_536
+SIGNATURES = 8192
 BEST = 2
 
 
@@ -156,6 +159,7 @@ def features(docs: DataFrame, width: int, threshold: float, seed: int, key: str
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(walks, pa.binary())],
                 ["doc_id", "n", "h1", "h2", "sig", "paths"],
             )
+        give_back()
 
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sig binary, paths binary")
 
@@ -274,63 +278,108 @@ def texts_of(docs: DataFrame, wanted: DataFrame, most_bits: int = 1 << 27) -> Da
     return likely.join(wanted, F.col("rep") == F.col("w")).drop("w")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on full sets.
+def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch, name: str, tried: list[DataFrame]) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union on full
+    sets, without those of ``tried``, to which they are added.
 
-    A cell holds one document and up to about ``CHUNK`` partners, so a document
-    with many partners is spread over several cells.
+    A cell is one document and up to about ``CHUNK`` partners, so a document
+    with many partners is spread over several cells; partners stream past it.
     """
+    for before in tried:
+        pairs = pairs.join(before, ["a", "b"], "left_anti")
     pairs = scratch.table(pairs, f"{name}-pairs")
     if pairs.isEmpty():
         return pairs
+    tried.append(pairs)
     many = scratch.table(pairs.groupBy("a").agg(F.ceil(F.count("*") / float(CHUNK)).cast("int").alias("cells")).withColumnRenamed("a", "c"), f"{name}-cells")
     placed = pairs.join(many, F.col("a") == F.col("c")).select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("cells"))).alias("cell"), "a", "b")
     roles = placed.select("cell", F.col("a").alias("rep"), F.lit(0).alias("role")).distinct().unionByName(placed.select("cell", F.col("b").alias("rep"), F.lit(1).alias("role")))
     held = roles.join(texts, "rep").select("cell", "role", "rep", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, cell in groups(rows_of(batches)):
-            rep, role, text = cell["rep"].to_pylist(), cell["role"].to_pylist(), cell["text"]
-            centres = [(rep[i], shingles(text[i].as_py(), width)) for i in range(len(rep)) if role[i] == 0]
+        current, centres = None, []
+        for batch in rows_of(batches):
             linked = set()
-            for i in range(len(rep)):
-                if role[i] == 1:
-                    items = shingles(text[i].as_py(), width)
-                    for a, centre in centres:
-                        shared = np.intersect1d(centre, items, assume_unique=True).size
-                        if shared and 100 * shared >= percent * (len(centre) + len(items) - shared):
-                            linked.add((a, rep[i]))
+            for cell, role, rep, text in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3)):
+                if cell != current:
+                    current, centres = cell, []
+                items = shingles(text.as_py(), width)
+                if role == 0:
+                    centres.append((rep, items))
+                    continue
+                for a, centre in centres:
+                    shared = np.intersect1d(centre, items, assume_unique=True).size
+                    if shared and 100 * shared >= percent * (len(centre) + len(items) - shared):
+                        linked.add((a, rep))
             if linked:
                 a, b = zip(*linked)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        give_back()
 
-    spread = held.repartition(shuffle_partitions(pairs.sparkSession), "cell").sortWithinPartitions("cell")
+    spread = held.repartition(shuffle_partitions(pairs.sparkSession), "cell").sortWithinPartitions("cell", "role")
     found = scratch.table(spread.mapInArrow(run, "a long, b long"), f"{name}-links")
-    scratch.release(f"{name}-pairs", f"{name}-cells")
+    scratch.release(f"{name}-cells")
     return found
 
 
-def _families(rows: DataFrame, sizes: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+def _likely(placed: DataFrame, signed: DataFrame, least: float) -> DataFrame:
+    """(head, i, j, role, rep, label): the members (role 0) and outsiders (role
+    1) of each family that have an estimated partner of another label, with the
+    block i of the member and j of the outsider. A cell compares about
+    ``SIGNATURES`` members with as many outsiders."""
+    grid = lambda n, mine, role: [F.pmod(F.xxhash64(F.lit(7), "rep"), F.col(mine)).cast("int").alias(f"g{role}"), F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(f"g{1 - role}")]
+    columns = ["head", "rep", "label", "i", "j"]
+    inside = placed.select(*columns, *grid("rows_high", "rows_wide", 0)).withColumn("role", F.lit(0))
+    outside = placed.where("label <> head").select(*columns, *grid("rows_wide", "rows_high", 1)).withColumn("role", F.lit(1))
+    held = inside.unionByName(outside).withColumn("cell", F.xxhash64("head", "g0", "g1")).drop("g0", "g1")
+    held = held.join(signed, F.col("rep") == F.col("r")).select("cell", "role", *columns, "sig")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in groups(batches):
+            role, head, rep, label, i, j = (table[c].to_numpy() for c in ("role", "head", "rep", "label", "i", "j"))
+            sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            members, others = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+            for lo in range(0, len(others), 16):
+                some, found = others[lo : lo + 16], []
+                for at in range(0, len(members), 1024):
+                    part = members[at : at + 1024]
+                    near = (sig[some][:, None, :] == sig[part][None, :, :]).mean(axis=2) >= least
+                    o, m = np.nonzero(near & (label[some][:, None] != label[part][None, :]) & (head[some][:, None] == head[part][None, :]))
+                    o, m = some[o], part[m]
+                    for which, rows in ((0, m), (1, o)):
+                        found.append(np.column_stack([head[o], i[m], j[o], np.full(len(o), which), rep[rows], label[rows]]))
+                found = np.unique(np.concatenate(found), axis=0) if found else []
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, c])) for c in range(6)], ["head", "i", "j", "role", "rep", "label"])
+        give_back()
+
+    spread = held.repartition(shuffle_partitions(placed.sparkSession), "cell").sortWithinPartitions("cell")
+    return spread.mapInArrow(run, "head long, i long, j long, role long, rep long, label long").distinct()
+
+
+def _families(rows: DataFrame, sizes: DataFrame, signed: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int, least: float, scratch: Scratch) -> DataFrame:
     """Links (a, b) from what is outside the component of its node's pivot to
-    all of the node, on full sets. Large nodes whose pivots are in one component
-    are one family. A cell compares a block of outsiders with a block of the
-    family, each of about ``BLOCK`` shingles, and gives the links that join
-    components only, so neither the memory of a task nor the rows that leave it
-    grow with the family.
+    all of the node, on full sets where the signatures leave a pair. Large nodes
+    whose pivots are in one component are one family. A cell compares a block of
+    outsiders with a block of the family, each of about ``BLOCK`` shingles, and
+    gives the links that join components only, so neither the memory of a task
+    nor the rows that leave it grow with the family.
     """
     heads = labels.select(F.col("node").alias("pivot"), F.col("component").alias("head"))
     family = rows.join(heads, "pivot", "left").select(F.coalesce("head", "pivot").alias("head"), "rep", "label").distinct()
     family = scratch.table(family.join(sizes, F.col("rep") == F.col("s")).drop("s"), "families")
-    blocks_of = lambda n: F.ceil(F.sum(n) / float(BLOCK)).cast("int")
-    blocks = family.groupBy("head").agg(blocks_of("n").alias("wide"), blocks_of(F.when(F.col("label") != F.col("head"), F.col("n")).otherwise(0)).alias("high"))
+    blocks_of = lambda n, most: F.ceil(F.sum(n) / float(most)).cast("int")
+    apart = lambda n: F.when(F.col("label") != F.col("head"), n).otherwise(0)
+    blocks = family.groupBy("head").agg(
+        blocks_of("n", BLOCK).alias("wide"), blocks_of(apart(F.col("n")), BLOCK).alias("high"), blocks_of(F.lit(1), SIGNATURES).alias("rows_wide"), blocks_of(apart(F.lit(1)), SIGNATURES).alias("rows_high")
+    )
     blocks = scratch.table(blocks.where("high > 0").withColumnRenamed("head", "h"), "family-blocks")
-    placed = family.join(blocks, F.col("head") == F.col("h"))
-    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("o")
-    cell = lambda i, j: F.xxhash64("head", i, j).alias("cell")
-    inside = placed.select("head", "rep", "label", block("wide").alias("i"), every("high")).select(cell("i", "o"), F.lit(0).alias("role"), "rep", "label")
-    outside = placed.where("label <> head").select("head", "rep", "label", block("high").alias("j"), every("wide")).select(cell("o", "j"), F.lit(1).alias("role"), "rep", "label")
-    held = inside.unionByName(outside).join(texts, "rep").select("cell", "role", "rep", "label", "text")
+    if blocks.isEmpty():
+        return scratch.spark.createDataFrame([], "a long, b long")
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    placed = family.join(blocks, F.col("head") == F.col("h")).withColumn("i", block("wide")).withColumn("j", block("high"))
+    likely = scratch.table(_likely(placed, signed, least), "family-pairs")
+    held = likely.select(F.xxhash64("head", "i", "j").alias("cell"), "role", "rep", "label").join(texts, "rep").select("cell", "role", "rep", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in groups(rows_of(batches)):
@@ -356,6 +405,7 @@ def _families(rows: DataFrame, sizes: DataFrame, labels: DataFrame, texts: DataF
             if links:
                 a, b = zip(*links)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        give_back()
 
     spread = held.repartition(shuffle_partitions(rows.sparkSession), "cell").sortWithinPartitions("cell")
     return scratch.table(spread.mapInArrow(run, "a long, b long"), "family-links")
@@ -389,7 +439,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     wanted = scratch.table(wanted, "wanted")
     texts = texts_of(docs.select(F.col(key).cast("long").alias("rep"), F.col(text).cast("string").alias("text")), wanted)
     texts = scratch.table(texts, "texts")
-    links = verify(stars, texts, width, percent, scratch, "star")
+    tried: list[DataFrame] = []
+    links = verify(stars, texts, width, percent, scratch, "star", tried)
     labels = scratch.table(components(links, scratch), "labels")
 
     near = wanted.withColumnRenamed("w", "rep")
@@ -401,7 +452,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     # left in pieces of a large group by its star grows together here.
     for turn in range(BEST):
         rows = labelled(small.join(near, "rep").unionByName(own)).distinct()
-        more = verify(_pairs(with_sig(rows), least, "best"), texts, width, percent, scratch, f"best{turn}")
+        more = verify(_pairs(with_sig(rows), least, "best"), texts, width, percent, scratch, f"best{turn}", tried)
         if more.isEmpty():
             break
         links = links.unionByName(more)
@@ -410,9 +461,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     # Every estimated pair of a small node whose ends are still apart, and in
     # large nodes what is outside its pivot's component against all.
     bridges = _pairs(with_sig(labelled(small.join(near, "rep"))), least, "all")
-    more = verify(bridges, texts, width, percent, scratch, "bridge")
+    more = verify(bridges, texts, width, percent, scratch, "bridge", tried)
     if not large.isEmpty():
-        more = more.unionByName(_families(labelled(large), sets.select(F.col("rep").alias("s"), "n"), labels, texts, width, percent, scratch))
+        more = more.unionByName(_families(labelled(large), sets.select(F.col("rep").alias("s"), "n"), signed, labels, texts, width, percent, least, scratch))
     whole = components(links.unionByName(more), scratch)
 
     known = sets.select("h1", "h2", "rep").join(whole, F.col("rep") == F.col("node"), "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("component", "rep").alias("component"))
@@ -429,8 +480,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose document is the smallest of its component; of repeated
-    rows of that document one stays. Rows without an id all stay."""
+    """The rows whose document is the smallest of its component; of rows that
+    repeat its id and text one stays. Rows without an id all stay."""
     found = near_duplicates(docs, width, percent, key, text).where("kept").select(F.col("doc_id").alias("_kept")).where("_kept is not null").distinct()
-    fine = docs.where(F.col(key).isNotNull()).dropDuplicates([key]).join(found, F.col(key) == F.col("_kept")).drop("_kept")
+    fine = docs.where(F.col(key).isNotNull()).dropDuplicates([key, text]).join(found, F.col(key) == F.col("_kept")).drop("_kept")
     return fine.select(docs.columns).unionByName(docs.where(F.col(key).isNull()))
+
+
+#: DuckDB SQL for three-word shingles at 85 percent over the view documents
+#: (distinct doc_ids), all pairs that share a shingle compared.
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), smallest AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, m.component_id, m.component_id = d.doc_id AS kept
+FROM documents d JOIN smallest m ON m.a = d.doc_id LEFT JOIN sizes z ON z.doc_id = d.doc_id
+"""
