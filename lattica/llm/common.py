@@ -111,6 +111,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, with a suffix if columns of that name are there already."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null, empty and blank texts. Splitting at white
     space costs half of what extracting the words does."""

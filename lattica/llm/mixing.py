@@ -4,13 +4,17 @@ Each source gets a share of the mix in words by its weight, stops at ``most``
 times its own words, and what it cannot take is shared anew by weight among
 the rest until none is above (solved in closed form: sources in order of the
 level at which they are full, and the first level that the next one does not
-reach). A source whose target is r times its words gives floor(r) whole copies
-of each document for certain; the rest of the target is drawn without
-replacement: with inclusion probability p = r - floor(r) and a uniform u from
-a hash of its id, a document's rank is its random odds u/(1-u) divided by its
-inclusion odds p/(1-p), and documents are taken in that order while the target
-is nearer with them than without them. So a source misses its target by half a
-document at most, and a rerun takes the same documents.
+reach). Inside a source a document of weight w is to be taken min(most, level * w)
+times on average, with the level at which these add up to the source's target in
+words (closed form over the classes of equal weight). The whole part of that is
+allocated for certain; the rest is drawn without replacement: with inclusion
+probability p (what is left of the average) and a uniform u from a hash of its
+id, a document's rank is its random odds u/(1-u) divided by its inclusion odds
+p/(1-p), and documents are taken in that order while the target is nearer with
+them than without them. So a source misses its target by half a document at
+most, and a rerun takes the same documents. Weights are rounded to 64ths of the
+greatest, so a source has at most 64 classes; by default a text weighs 1 from
+100 words on, and down to a half below.
 
 Only built-in functions run. Ranks are summed in buckets of the rank before
 the rows of a bucket are ordered, so a source that holds most rows is spread
@@ -23,11 +27,13 @@ stand or fall together; an empty table gives an empty mix.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.llm.common import Scratch, uniform, word_count
+from lattica.llm.common import Scratch, fresh, uniform, word_count
 
 #: Fixed values of the production mix: weights by source order, repeating; the
 #: share of all words; the most copies of a source's words.
@@ -59,30 +65,54 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     )
 
 
-def rated(sized: DataFrame, **parameters) -> DataFrame:
-    """The targets with the whole copies, the inclusion odds and the words left
-    to draw."""
-    t = targets(sized, **parameters)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    t = t.withColumn("copies", F.floor(rate).cast("long")).withColumn("p", rate - F.floor(rate))
-    return t.withColumn("odds", F.col("p") / (1.0 - F.col("p"))).withColumn("left", F.col("target") - F.col("copies") * F.col("source_size"))
+def by_size(size: Column) -> Column:
+    """The weight of a text: a half for none, 1 from 100 words on."""
+    return 0.5 + F.least(size, F.lit(100)) / F.lit(200.0)
+
+
+def rated(sized: DataFrame, most: int = MOST, **parameters) -> DataFrame:
+    """(source, weight, source_size, target, copies, odds, left) of each class
+    of documents of a source: the whole copies, the inclusion odds, and the
+    words left to draw in the whole source."""
+    t = targets(sized, most=most, **parameters)
+    classes = sized.where("size > 0").groupBy("source", "weight").agg(F.sum("size").alias("words"))
+    falling = Window.partitionBy("source").orderBy(F.col("weight").desc())
+    above = falling.rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("source")
+    mass = F.col("weight") * F.col("words")
+    got = t.withColumnRenamed("source", "s").join(classes, F.col("s").eqNullSafe(F.col("source")))
+    level = (F.col("target") - float(most) * F.coalesce(F.sum("words").over(above), F.lit(0)).cast("double")) / (F.sum(mass).over(every) - F.coalesce(F.sum(mass).over(above), F.lit(0.0)))
+    got = got.withColumn("level", level)
+    # The first level at which its own class is not full; none if all are.
+    level = F.max(F.when(F.col("level") * F.col("weight") <= most, F.struct("weight", "level"))).over(every)["level"]
+    got = got.withColumn("mean", F.coalesce(F.least(F.lit(float(most)), level * F.col("weight")), F.lit(float(most))))
+    got = got.withColumn("copies", F.floor("mean").cast("long")).withColumn("p", F.col("mean") - F.floor("mean"))
+    got = got.withColumn("odds", F.col("p") / (1.0 - F.col("p"))).withColumn("left", F.col("target") - F.sum(F.col("copies") * F.col("words")).over(every))
+    return got.select("source", "weight", "source_size", "target", "copies", "odds", "left")
+
+
+def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None) -> DataFrame:
+    """(doc_id, source, size, weight) of every row, as a written table: the
+    texts are read for it once and what follows reads it instead."""
+    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *([] if weight is None else [weight.alias("w")]))
+    sized = sized.select("doc_id", "source", "size", _rounded(by_size(F.col("size")) if weight is None else F.col("w")).alias("weight"))
+    return Scratch(docs.sparkSession, "mixing").table(sized, "sizes")
 
 
-def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, size) of every row, as a written table: the texts are
-    read for it once and what follows reads it instead."""
-    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    return Scratch(docs.sparkSession, "mixing").table(sized, "sizes")
+def _rounded(weight: Column) -> Column:
+    return F.greatest(F.least(F.ceil(F.coalesce(weight, F.lit(0.0)) * 64), F.lit(64)), F.lit(1)) / F.lit(64.0)
 
 
 def plan(sized: DataFrame, seed: int = 11, **parameters) -> DataFrame:
-    """The cut of each source: (source, source_size, target, copies, odds,
-    cut), where ``cut`` is the highest rank drawn, null if none is."""
+    """The cut of each source, for each of its classes: (source, weight,
+    source_size, target, copies, odds, cut), where ``cut`` is the highest rank
+    drawn, null if none is."""
     rates = Scratch(sized.sparkSession, "mixing").table(rated(sized, **parameters), "rates")
-    named = rates.withColumnRenamed("source", "s")
-    drawn = _beside(sized, named, "source", "s").where("odds > 0 and size > 0").select("source", "left", "size", uniform(F.col("doc_id"), seed=seed).alias("u"), "odds")
-    # Rows of equal rank are one unit: they stand or fall together.
-    rank = drawn.withColumn("rank", F.col("u") / (1.0 - F.col("u")) / F.col("odds")).withColumn("b", F.floor(F.col("u") * BUCKETS))
+    named = rates.withColumnRenamed("source", "s").withColumnRenamed("weight", "w")
+    drawn = _beside(sized, named, {"source": "s", "weight": "w"}).where("odds > 0 and size > 0").select("source", "left", "size", uniform(F.col("doc_id"), seed=seed).alias("u"), "odds")
+    # Rows of equal rank are one unit: they stand or fall together. Buckets
+    # follow the odds r/(1+r) of the rank, which lie between 0 and 1.
+    rank = drawn.withColumn("rank", F.col("u") / (1.0 - F.col("u")) / F.col("odds")).withColumn("b", F.floor(F.col("rank") / (1.0 + F.col("rank")) * BUCKETS))
     unit = rank.groupBy("source", "b", "rank").agg(F.sum("size").alias("size"), F.first("left").alias("left"))
     filled = rank.groupBy("source", "b").agg(F.sum("size").alias("n"))
     ahead = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -94,46 +124,59 @@ def plan(sized: DataFrame, seed: int = 11, **parameters) -> DataFrame:
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("c")))
     cuts = placed.where(F.col("start") + F.col("inner") + F.col("size") / 2.0 <= F.col("left")).groupBy("source").agg(F.max("rank").alias("cut"))
     cuts = cuts.select(F.col("source").alias("s"), "cut")
-    got = rates.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "copies", "odds", "cut")
+    got = rates.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "weight", "source_size", "target", "copies", "odds", "cut")
     return Scratch(sized.sparkSession, "mixing").table(got, "cuts")
 
 
-def _beside(rows: DataFrame, per_source: DataFrame, left: str, right: str, most_bytes: int = 4 << 20, salts: int = 32) -> DataFrame:
-    """Rows joined with what is known of their source. That side is broadcast
-    if its measured size allows it; else its rows are repeated for each salt,
-    so that the rows of a large source meet it in several tasks."""
-    n, wide = per_source.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(right)), F.lit(0))).first()
+def _beside(rows: DataFrame, per_class: DataFrame, names: dict[str, str], most_bytes: int = 4 << 20, salts: int = 32, how: str = "inner") -> DataFrame:
+    """Rows joined with what is known of their class (``names``: columns of the
+    rows and of the classes). That side is broadcast if its measured size allows
+    it; else its rows are repeated for each salt, so that the rows of a large
+    source meet it in several tasks."""
+    texts = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in names.values()]
+    n, wide = per_class.agg(F.count("*"), F.coalesce(F.sum(sum(texts, F.lit(0))), F.lit(0))).first()
+    on = lambda a, b: reduce(lambda x, y: x & y, [a[x].eqNullSafe(b[y]) for x, y in names.items()])
     if wide + 64 * n <= most_bytes:
-        return rows.join(F.broadcast(per_source), rows[left].eqNullSafe(per_source[right]))
-    salted = per_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
-    return dealt.join(salted, dealt[left].eqNullSafe(salted[right]) & (F.col("_deal") == F.col("_salt"))).drop("_salt", "_deal")
-
-
-def _copies(rows: DataFrame, cuts: DataFrame, key: str, source: str, seed: int) -> DataFrame:
-    """The rows with struct ``_mix`` (source_size, target, copies), where
-    ``copies`` is what a row with words is taken."""
-    cuts = cuts.select(*[F.col(c).alias(f"_mix_{c}") for c in cuts.columns])
+        return rows.join(F.broadcast(per_class), on(rows, per_class), how)
+    salt, deal = fresh([*rows.columns, *per_class.columns], "_salt"), fresh([*rows.columns, *per_class.columns], "_deal")
+    salted = per_class.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumn(deal, F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    return dealt.join(salted, on(dealt, salted) & (F.col(deal) == F.col(salt)), how).drop(salt, deal)
+
+
+def _taken(rows: DataFrame, cuts: DataFrame, key: str, names: dict[str, str], prefix: str, seed: int) -> DataFrame:
+    """The rows with ``<prefix>copies``, how often a row with words is taken,
+    and the other columns of its class."""
+    cuts = cuts.select(*[F.col(c).alias(f"{prefix}{c}") for c in cuts.columns])
+    odds = F.col(f"{prefix}odds")
     u = uniform(F.col(key), seed=seed)
-    rank = u / (1.0 - u) / F.col("_mix_odds")
-    drawn = F.coalesce(((F.col("_mix_odds") > 0) & (rank <= F.col("_mix_cut"))).cast("long"), F.lit(0))
-    mixed = F.struct(F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("_mix_copies") + drawn).alias("copies"))
-    return _beside(rows, cuts, source, "_mix_source").select(*rows.columns, mixed.alias("_mix"))
+    drawn = F.coalesce(((odds > 0) & (u / (1.0 - u) / odds <= F.col(f"{prefix}cut"))).cast("long"), F.lit(0))
+    return _beside(rows, cuts, {a: f"{prefix}{b}" for a, b in names.items()}).withColumn(f"{prefix}copies", F.col(f"{prefix}copies") + drawn)
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 11, **parameters) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 11, weight: Column | None = None, **parameters) -> DataFrame:
     """The mixed rows: each document as often as it is taken."""
-    cuts = plan(sizes(docs, key, text, source), seed, **parameters)
-    taken = _copies(docs.where(F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r")) != ""), cuts, key, source, seed)
-    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("_mix.copies").cast("int"))).alias("_copy")).drop("_copy")
+    cuts = plan(sizes(docs, key, text, source, weight), seed, **parameters)
+    prefix = "_mix_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    own = f"{prefix}own"
+    weighed = docs.where(F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r")) != "").withColumn(own, _rounded(by_size(word_count(F.col(text))) if weight is None else weight))
+    taken = _taken(weighed, cuts, key, {source: "source", own: "weight"}, prefix, seed)
+    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col(f"{prefix}copies").cast("int"))).alias(own)).drop(own)
 
 
 def report(docs: DataFrame, seed: int = 11, **parameters) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of each row."""
     sized = sizes(docs)
-    m = F.col("_mix")
-    got = _copies(sized, plan(sized, seed, **parameters), "doc_id", "source", seed)
-    return got.select("doc_id", "size", m["source_size"].alias("source_size"), m["target"].alias("target"), (m["copies"] * F.col("size")).alias("taken"))
+    cuts = plan(sized, seed, **parameters)
+    some = _taken(sized.where("size > 0"), cuts, "doc_id", {"source": "source", "weight": "weight"}, "m_", seed)
+    some = some.select("doc_id", "size", F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), (F.col("m_copies") * F.col("size")).alias("taken"))
+    # Rows without words belong to no class; a source of such rows alone has size and target 0.
+    per = cuts.select(F.col("source").alias("s"), "source_size", "target").distinct()
+    none = _beside(sized.where("size = 0"), per, {"source": "s"}, how="left")
+    none = none.select("doc_id", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), F.lit(0).cast("long").alias("taken"))
+    return some.unionByName(none)
 
 
 #: DuckDB SQL for ``report`` over the view documents.
@@ -152,14 +195,23 @@ WITH sized AS (
   SELECT *, max(CASE WHEN level <= full_at THEN level END) OVER () AS water FROM levels
 ), targets AS (
   SELECT source, source_size, CASE WHEN water IS NULL THEN cap ELSE least(cap, water * weight) END AS target FROM water
-), rates AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets
+), weights AS (
+  SELECT *, ceil((0.5::DOUBLE + least(size, 100) / 200.0::DOUBLE) * 64) / 64.0::DOUBLE AS w FROM sized
+), classes AS (
+  SELECT source, w, sum(size)::BIGINT AS words FROM weights WHERE size > 0 GROUP BY source, w
+), stands AS (
+  SELECT c.*, t.target, (t.target - 2.0::DOUBLE * coalesce(sum(words) OVER f, 0)::DOUBLE) / (sum(w * words) OVER e - coalesce(sum(w * words) OVER f, 0)) AS stand
+  FROM classes c JOIN targets t ON t.source IS NOT DISTINCT FROM c.source
+  WINDOW f AS (PARTITION BY c.source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), e AS (PARTITION BY c.source)
+), means AS (
+  SELECT *, coalesce(least(2.0::DOUBLE, w * max_by(stand, CASE WHEN stand * w <= 2 THEN w END) OVER (PARTITION BY source)), 2.0::DOUBLE) AS mean FROM stands
 ), odds AS (
-  SELECT *, floor(rate)::BIGINT AS copies, (rate - floor(rate)) / (1 - (rate - floor(rate))) AS odds, target - floor(rate) * source_size AS rest FROM rates
+  SELECT source, w, floor(mean)::BIGINT AS copies, (mean - floor(mean)) / (1 - (mean - floor(mean))) AS odds,
+    target - sum(floor(mean)::BIGINT * words) OVER (PARTITION BY source) AS rest FROM means
 ), ranked AS (
-  SELECT s.doc_id, s.size, o.*,
+  SELECT s.doc_id, s.size, s.source, t.source_size, t.target, o.copies, o.odds, o.rest,
     (('0x' || substr(md5('11:' || coalesce(s.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
-  FROM sized s JOIN odds o ON s.source IS NOT DISTINCT FROM o.source
+  FROM weights s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN odds o ON s.source IS NOT DISTINCT FROM o.source AND s.w = o.w AND s.size > 0
 ), summed AS (
   SELECT *, sum(CASE WHEN odds > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY u / (1 - u) / nullif(odds, 0) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ahead FROM ranked
 )

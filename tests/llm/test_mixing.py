@@ -80,7 +80,35 @@ def test_word_count(spark):
 
 def test_salted_join_is_the_same(documents):
     docs = documents([(i, "w " * (1 + i % 5), "hot" if i % 3 else None) for i in range(60)])
-    cuts = mixing.plan(mixing.sizes(docs)).withColumnRenamed("source", "s")
-    plain = mixing._beside(docs, cuts, "source", "s").select("doc_id", "cut")
-    salted = mixing._beside(docs, cuts, "source", "s", most_bytes=0).select("doc_id", "cut")
+    sized = mixing.sizes(docs)
+    cuts = mixing.plan(sized).withColumnRenamed("source", "s").withColumnRenamed("weight", "w")
+    names = {"source": "s", "weight": "w"}
+    plain = mixing._beside(sized, cuts, names).select("doc_id", "cut", "odds")
+    salted = mixing._beside(sized, cuts, names, most_bytes=0).select("doc_id", "cut", "odds")
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, salted.collect())) and salted.count() == 60
+
+
+def test_inclusion_odds_are_unequal_inside_a_source(documents, spark):
+    """Over many seeds each document is taken about as often as its weight
+    says; the heaviest for certain. One source, equal sizes, a rate of 0.4."""
+    weights = [0.125, 0.25, 0.5, 1.0] * 30
+    docs = documents([(i, "a b c d", "one") for i in range(len(weights))]).withColumn("n_chars", F.element_at(F.array(*map(F.lit, weights)), (F.col("doc_id") + 1).cast("int")))
+    sized = mixing.sizes(docs, weight=F.col("n_chars")).cache()
+    times = dict.fromkeys(range(len(weights)), 0)
+    rounds = 12
+    for seed in range(rounds):
+        cuts = mixing.plan(sized, seed, share=0.75)
+        for r in mixing._taken(sized, cuts, "doc_id", {"source": "source", "weight": "weight"}, "m_", seed).collect():
+            times[r.doc_id] += r.m_copies
+    level = 0.75 / (sum(weights) / len(weights))
+    for w in sorted(set(weights)):
+        mean = sum(times[i] for i in times if weights[i] == w) / rounds / 30
+        assert mean == pytest.approx(min(2, level * w), abs=0.12)
+    ones = [times[i] for i in times if weights[i] == 1.0]
+    assert min(ones) >= rounds  # an average of 1.6: one whole copy for certain
+
+
+def test_names_that_clash(documents):
+    docs = documents([(i, "a b", "x") for i in range(20)]).withColumn("_mix_copies", F.lit("mine")).withColumn("_deal", F.lit(1)).withColumn("weight", F.lit(9))
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and {r._mix_copies for r in mixed.collect()} == {"mine"}
