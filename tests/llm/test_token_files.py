@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.llm import token_files as tf
 from lattica.llm.common import Scratch, read
@@ -45,3 +46,38 @@ def test_ties_nulls_and_empty(documents, spark):
     assert sorted(r[1] for r in got)[0] == 0 and len(got) == 4
     assert [r for r in got if r[0] is None][0][1] == 0
     assert run(documents([(1, "a")]).limit(0), spark) == []
+
+
+def test_small_memo_long_units_and_clashes(documents, spark, monkeypatch):
+    monkeypatch.setattr(tf, "_encoder", lambda file: tf.Encoder(file, most=3))
+    rows = [(i, f"w{i} same words again {'漢' * (300 + i)}") for i in range(40)]
+    docs = documents(rows).withColumn("h", F.lit("clash")).withColumn("name", F.lit(1))
+    assert sorted(run(docs, spark)) == expected(rows)
+    encoder = tf.Encoder(FILE, most_bytes=1000)
+    encoder.encode(["漢" * 500, *[f"word{i}" for i in range(200)]], 2)
+    assert "漢" * 500 not in encoder.known and encoder.bytes <= 1000 and 0 < len(encoder.known) < 10
+
+
+def test_files_of_other_attempts_go(documents, spark):
+    root = Scratch(spark, "t3").path("tokens")
+    docs = documents([(i, f"text {i}") for i in range(9)])
+    tf.write(docs, root, FILE)
+    again = tf.write(docs, root, FILE)  # as a rerun into the same folder
+    names = {r.name for r in again.collect()}
+    where, base = tf._open(root)
+    found = {f.base_name.rpartition(".")[0] for f in where.get_file_info(tf.fs.FileSelector(base)) if f.base_name.endswith(("bin", "off", "doc"))}
+    assert found == names
+    assert [tuple(r) for r in tf.documents(spark, root).orderBy("doc_id").collect()] == expected([(i, f"text {i}") for i in range(9)])
+
+
+def test_reads_without_a_memory_map(tmp_path):
+    (tmp_path / "x").write_bytes(np.arange(100, dtype="<u4").tobytes())
+    far = tf.fs.SubTreeFileSystem(str(tmp_path), tf.fs.LocalFileSystem())
+    assert tf._File(far, "x", "<u4")[10:13].tolist() == tf._File(tf.fs.LocalFileSystem(), str(tmp_path / "x"), "<u4")[10:13].tolist() == [10, 11, 12]
+
+
+def test_slices_of_a_shard(documents, spark):
+    rows = [(i, f"text number {i}") for i in range(50)]
+    root = Scratch(spark, "t3").path("tokens")
+    manifest = tf.write(documents(rows), root, FILE, shards=2)
+    assert sorted(map(tuple, tf.documents(spark, root, manifest, step=3, task_tokens=20).collect())) == expected(rows)
