@@ -9,7 +9,9 @@ followed by uniform shuffles of the buckets is a uniform shuffle of a shard.
 The shard depends on the key and the number of shards alone (law ``key``): the
 highest of one hash per shard wins, so one more shard only takes rows that it
 wins itself. Results depend on the seed and the rows, not on the partitioning
-or on retries.
+or on retries: rows that the canonical order (key, then a hash of all columns)
+leaves equal are alike in every column. Only such rows, wholly alike, share a
+bucket whatever their number.
 
 Defined results: null keys share one shard; a null text has size 8 and checksum
 0; repeated rows all stay; an empty table writes no bucket; columns of any name
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lattica.llm.common import fresh, shuffle_partitions
+
 LAW = "key"
 
 
@@ -40,29 +44,24 @@ def record_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(8)).cast("long")
 
 
-def _fresh(taken: list[str], name: str) -> str:
-    while name.lower() in {t.lower() for t in taken}:
-        name += "_"
-    return name
-
-
 def shuffle_into(
-    docs: DataFrame, root: str, shards: int = 24, seed: int = 17, bucket_bytes: int = 32 << 20, key: str = "doc_id", text: str = "text", most_tasks: int = 20_000
+    docs: DataFrame, root: str, shards: int = 24, seed: int = 17, bucket_bytes: int = 32 << 20, key: str = "doc_id", text: str = "text", task_bytes: int = 1 << 30
 ) -> tuple[DataFrame, tuple[str, str, str]]:
     """Write all rows, shuffled, as Parquet below ``root`` (a shared folder).
     Returns the table read back and the names of its added columns: shard,
     bucket and the position inside the bucket."""
     spark = docs.sparkSession
-    names = tuple(_fresh(docs.columns, n) for n in ("shard", "bucket", "place"))
+    names = tuple(fresh(docs.columns, n) for n in ("shard", "bucket", "place"))
     placed = docs.withColumn(names[0], shard_of(F.col(key), shards, seed))
     # One row a shard: the bytes of the largest decide the buckets of each.
     largest = placed.groupBy(names[0]).agg(F.sum(record_size(F.col(text))).alias("b")).agg(F.max("b")).first()[0] or 0
     per_shard = max(4, -(-int(largest) // bucket_bytes))
-    sub = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.col(text)), F.lit(per_shard))
+    whole = F.xxhash64(F.lit(seed + 1), F.col(key), F.col(text), F.to_json(F.struct(*[c for c in docs.columns if c not in (key, text)])))
+    sub = F.pmod(whole, F.lit(per_shard))
     bucket = (F.col(names[0]) * F.lit(per_shard) + sub).cast("long")
-    tasks = min(shards * per_shard, most_tasks)
+    tasks = min(shards * per_shard, max(4 * shuffle_partitions(spark), shards * int(largest) // task_bytes))
     scattered = placed.withColumn(names[1], bucket).repartitionById(tasks, F.pmod(F.col(names[1]), F.lit(tasks)).cast("int"))
-    ordered = scattered.sortWithinPartitions(names[1], F.col(key), F.xxhash64(text))
+    ordered = scattered.sortWithinPartitions(names[1], F.col(key), whole)
     schema = T.StructType([*ordered.schema.fields, T.StructField(names[2], T.LongType())])
     at = ordered.columns.index(names[1])
 
