@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; a temporary
+    one only in a local session that names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or "file://" + tempfile.mkdtemp(prefix="lattica-checkpoint-")).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -12,6 +22,5 @@ def cut(df: DataFrame) -> DataFrame:
     one in local runs that name none), which a lost executor does not take along."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="lattica-checkpoint-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

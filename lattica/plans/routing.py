@@ -4,6 +4,7 @@ by the column form (a table of questions, as one projection)."""
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -86,28 +87,42 @@ def _struct(kind: str, intent: Column | str | None, *slots: Column) -> Column:
     return F.struct(F.lit(kind).alias("route_type"), name.alias("intent"), listed.alias("slots"))
 
 
-def route_column(question: Column) -> Column:
-    """struct(route_type, intent, slots) of a column of questions."""
-    given = F.coalesce(question, F.lit(""))
-    q = tx.normalized(given)
-    pair = "(?d)" + PAIR + r"\z"
-    sides = [tx.strip(F.regexp_extract(q, pair, i)) for i in (1, 2)]
-    choices = [F.when((q != "") & q.rlike(pair) & (sides[0] != "") & (sides[1] != ""), _struct("tool", "pair_relations", *sides))]
-    for intent, markers in INTENTS.items():
-        for marker in markers:
-            slot = tx.clean_slot(tx.before(q, marker) if marker in SLOT_BEFORE else tx.after(q, marker))
-            choices.append(F.when(q.contains(marker) & (slot != ""), _struct("tool", intent, slot)))
-    choices.append(F.when((q != "") & (F.length(q) <= SHORT), _struct("tool", "person_labels", q)))
-    t = tx.normalized(given, tx.TEMPLATE_MARKS)
-    loose = "(?d)" + PAIR
-    choices.append(F.when(t.rlike(loose), _struct("generated_sparql", "fs_pair", *[tx.strip(F.regexp_extract(t, loose, i)) for i in (1, 2)])))
-    choices.append(F.when(t.contains(TEMPLATE_FOUNDER), _struct("generated_sparql", "fs_founder", tx.strip(tx.after(t, TEMPLATE_FOUNDER)))))
-    for suffix, name in TEMPLATE_SUFFIXES.items():
-        choices.append(F.when(t.endswith(suffix), _struct("generated_sparql", name, tx.strip(F.substr(t, F.lit(1), F.length(t) - len(suffix))))))
-    empty = F.when(tx.strip(given) == "", _struct("empty", None))
-    return F.coalesce(empty, *choices, _struct("fallback", None))
+def _rules() -> Column:
+    """The rules as an array of structs, read from one literal."""
+    listed = [{"intent": i, "marker": m, "ahead": m in SLOT_BEFORE} for i, markers in INTENTS.items() for m in markers]
+    return F.from_json(F.lit(json.dumps(listed, ensure_ascii=False)), "array<struct<intent: string, marker: string, ahead: boolean>>")
+
+
+def _first_rule(q: Column) -> Column:
+    """struct(intent, slot) of the first rule whose marker leaves a slot."""
+    def slot(r: Column) -> Column:
+        at = F.instr(q, r["marker"])
+        found = F.when(r["ahead"], F.substr(q, F.lit(1), at - 1)).otherwise(F.substr(q, at + F.length(r["marker"])))
+        return F.struct(r["intent"].alias("intent"), F.when(at > 0, tx.clean_slot(found)).otherwise("").alias("slot"))
+
+    return F.get(F.filter(F.transform(_rules(), slot), lambda r: r["slot"] != ""), F.lit(0))
 
 
 def route_questions(questions: DataFrame, column: str = "question") -> DataFrame:
-    """The questions with route_type, intent and slots."""
-    return questions.select("*", route_column(F.col(column)).alias("_r")).select(*questions.columns, "_r.route_type", "_r.intent", "_r.slots")
+    """The questions with route_type, intent and slots. Each step is a
+    projection of its own, so that nothing is written out twice."""
+    pair, loose = "(?d)" + PAIR + r"\z", "(?d)" + PAIR
+    q, t, rule = F.col("_r.q"), F.col("_r.t"), F.col("_r.rule")
+    given = F.coalesce(F.col(column), F.lit(""))
+    read = questions.select("*", F.struct(given.alias("given"), tx.normalized(given).alias("q"), tx.normalized(given, tx.TEMPLATE_MARKS).alias("t")).alias("_r"))
+    sides = lambda text, pattern: F.array(*[tx.strip(F.regexp_extract(text, pattern, i)) for i in (1, 2)])
+    read = read.withColumn("_r", F.struct("_r.*", sides(q, pair).alias("both"), sides(t, loose).alias("loose"), _first_rule(q).alias("rule")))
+    both = F.col("_r.both")
+    templates = [F.when(t.contains(TEMPLATE_FOUNDER), _struct("generated_sparql", "fs_founder", tx.strip(tx.after(t, TEMPLATE_FOUNDER))))]
+    for suffix, name in TEMPLATE_SUFFIXES.items():
+        templates.append(F.when(t.endswith(suffix), _struct("generated_sparql", name, tx.strip(F.substr(t, F.lit(1), F.length(t) - len(suffix))))))
+    choice = F.coalesce(
+        F.when(tx.strip(F.col("_r.given")) == "", _struct("empty", None)),
+        F.when((q != "") & q.rlike(pair) & (both[0] != "") & (both[1] != ""), _struct("tool", "pair_relations", both[0], both[1])),
+        F.when(rule.isNotNull(), _struct("tool", rule["intent"], rule["slot"])),
+        F.when((q != "") & (F.length(q) <= SHORT), _struct("tool", "person_labels", q)),
+        F.when(t.rlike(loose), _struct("generated_sparql", "fs_pair", F.col("_r.loose")[0], F.col("_r.loose")[1])),
+        *templates,
+        _struct("fallback", None),
+    )
+    return read.withColumn("_r", choice).select(*questions.columns, "_r.route_type", "_r.intent", "_r.slots")

@@ -152,11 +152,15 @@ class Compiler:
             step = step.select(F.col("o").alias("s"), F.col("s").alias("o"))
         start = o if backward else s
         step = cut(step)
-        seen = step if isinstance(start, Var) else step.where(F.col("s") == constant(start))
-        seen = frontier = cut(seen)
+        frontier = cut(step if isinstance(start, Var) else step.where(F.col("s") == constant(start)))
+        found = [frontier]
         while not frontier.isEmpty():
+            seen = reduce(DataFrame.unionByName, found)
+            if len(found) == 16:  # so that the plan stays small and each pair is written twice at most a 16 rounds
+                found = [seen := cut(seen)]
             frontier = cut(_follow(frontier, step).distinct().join(seen, ["s", "o"], "left_anti"))
-            seen = cut(seen.unionByName(frontier))
+            found.append(frontier)
+        seen = reduce(DataFrame.unionByName, found)
         return seen.select(F.col("o").alias("s"), F.col("s").alias("o")) if backward else seen
 
     # --- patterns ----------------------------------------------------------------
@@ -227,14 +231,38 @@ class Compiler:
 
     def filter(self, rel: Rel, e) -> Rel:
         if isinstance(e, Exists):
-            inner = self.group(e.group)
-            return Rel(_semi(rel, inner, rel.names & inner.names, "left_anti" if e.negated else "left_semi"), rel.certain, rel.maybe)
+            return self.exists(rel, e)
         if getattr(e, "name", None) == "&&":
             return self.filter(self.filter(rel, e.args[0]), e.args[1])
         if getattr(e, "name", None) == "!" and isinstance(e.args[0], Exists):
             return self.filter(rel, Exists(e.args[0].group, not e.args[0].negated))
         return Rel(rel.df.where(Scope(rel, self).truth(e)), rel.certain, rel.maybe)
 
+    def exists(self, rel: Rel, e: Exists) -> Rel:
+        """A semi-join with the inner pattern. Its filters that name variables
+        of the outer pattern alone, not its own, become part of the condition."""
+        how = "left_anti" if e.negated else "left_semi"
+        body, filters = [x for x in e.group if x[0] != "filter"], [x[1] for x in e.group if x[0] == "filter"]
+        inner = self.group(body)
+        outer = rel.names - inner.names
+        if hidden := outer & _in_expressions(body):
+            raise SparqlError(f"?{min(hidden)} of the outer pattern is used inside a part of EXISTS; only its own filters may")
+        lifted = [f for f in filters if outer & _variables(f)]
+        if any(_has_exists(f) for f in lifted):
+            raise SparqlError("an EXISTS inside EXISTS cannot use variables of the outer pattern")
+        for f in filters:
+            if f not in lifted:
+                inner = self.filter(inner, f)
+        if not lifted:
+            return Rel(_semi(rel, inner, rel.names & inner.names, how), rel.certain, rel.maybe)
+        df, on, values = _matched(rel, inner)
+        certain = rel.certain | inner.certain
+        columns = {n: values.get(n, rel.df[col(n)]) for n in rel.names} | {n: df[col(n)] for n in inner.names - rel.names}
+        scope = Scope(Rel(rel.df, certain, (rel.names | inner.names) - certain), self, columns)
+        for f in lifted:
+            on = scope.truth(f) if on is None else on & scope.truth(f)
+        return Rel(rel.df.join(df, on, how), rel.certain, rel.maybe)
+
     def values(self, names: list[str], rows: list) -> Rel:
         schema = ", ".join(f"{col(n)} {TERM}" for n in names)
         made = [tuple(None if t is None else ("i", t.value, "", "") if isinstance(t, Iri) else ("l", t.value, t.datatype, t.lang) for t in r) for r in rows]
@@ -314,6 +342,44 @@ class Compiler:
         return grouped, items
 
 
+# --- variables of expressions -------------------------------------------------------------
+
+
+def _variables(e) -> set[str]:
+    """The variables that an expression names, those inside EXISTS as well."""
+    if isinstance(e, Var):
+        return {e.name}
+    if isinstance(e, Exists):
+        return _mentioned(e.group)
+    if isinstance(e, Aggregate):
+        return _variables(e.arg)
+    if isinstance(e, (list, tuple)):
+        return set().union(*map(_variables, e))
+    return _variables(e.args) if hasattr(e, "args") and not isinstance(e, Path) else set()
+
+
+def _mentioned(elements: list) -> set[str]:
+    return set(_in_order(elements)) | _in_expressions(elements) | {v for x in elements if x[0] == "filter" for v in _variables(x[1])}
+
+
+def _in_expressions(elements: list) -> set[str]:
+    """The variables that BIND, and filters of nested groups, name."""
+    found: set[str] = set()
+    for x in elements:
+        if x[0] == "bind":
+            found |= _variables(x[1])
+        elif x[0] in ("group", "optional", "minus", "union"):
+            for arm in x[1] if x[0] == "union" else [x[1]]:
+                found |= _in_expressions(arm) | {v for y in arm if y[0] == "filter" for v in _variables(y[1])}
+    return found
+
+
+def _has_exists(e) -> bool:
+    if isinstance(e, Exists):
+        return True
+    return any(map(_has_exists, e.args)) if hasattr(e, "args") and not isinstance(e, Path) else False
+
+
 # --- joins of solutions ------------------------------------------------------------------
 
 

@@ -5,19 +5,24 @@ operators."""
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.functions.lineage import shared_dir
 from lattica.operators import alignment, extraction, lookups, network
 from lattica.plans import answers
+from lattica.plans.graph import KnowledgeGraph
 from lattica.plans.model import DEFAULT_NAMESPACE as V
 from lattica.plans.routing import route_questions
 from lattica.plans.sparql import select
 from lattica.plans.sparql.texts import Texts
 from lattica.sources.starkg import NODE, node, star_graph
+from lattica.sources.turtle import read_ntriples
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -268,16 +273,41 @@ _ad_hoc(
     f"SELECT ?l ?u ?n ?after WHERE {{ ?s a {_P}:School ; rdfs:label ?l FILTER(REGEX(?l, '^nation_1\\\\d$', 'i')) BIND(LCASE(?l) AS ?u) BIND(STRLEN(?l) AS ?n) BIND(STRAFTER(?l, '_') AS ?after) }}",
     "SELECT label AS l, lower(label) AS u, length(label)::VARCHAR AS n, split_part(label, '_', 2) AS after FROM labels WHERE regexp_matches(label, '^NATION_1[0-9]$')",
 )
+_ad_hoc(
+    "sparql_exists_correlated",
+    f"SELECT ?s ?l WHERE {{ ?s a {_P}:School ; rdfs:label ?l FILTER EXISTS {{ ?q a {_P}:School ; rdfs:label ?m FILTER(?m = CONCAT(?l, '0')) }} }}",
+    "SELECT node AS s, label AS l FROM labels WHERE label LIKE 'NATION%' AND label || '0' IN (SELECT label FROM labels)",
+)
+_ad_hoc(
+    "sparql_not_exists_correlated",
+    f"SELECT ?s ?l WHERE {{ ?s a {_P}:School ; rdfs:label ?l FILTER NOT EXISTS {{ ?q a {_P}:School ; rdfs:label ?m FILTER(?m > ?l && STRSTARTS(?m, 'NATION_1')) }} }}",
+    "SELECT node AS s, label AS l FROM labels WHERE label LIKE 'NATION%' AND label >= (SELECT max(label) FROM labels WHERE label LIKE 'NATION\\_1%' ESCAPE '\\')",
+)
+_ad_hoc(
+    "sparql_offset",
+    f"SELECT ?l WHERE {{ ?s a {_P}:School ; rdfs:label ?l }} ORDER BY DESC(?l) LIMIT 5 OFFSET 7",
+    "SELECT n_name AS l FROM nation ORDER BY n_name DESC LIMIT 5 OFFSET 7",
+)
+_ad_hoc(
+    "sparql_aggregates",
+    f"SELECT ?y (MIN(?n) AS ?low) (MAX(?n) AS ?high) (SUM(?n) AS ?total) (AVG(?n) AS ?mean) (SAMPLE(?y) AS ?any) WHERE {{ ?s a {_P}:School ; rdfs:label ?l BIND(STRLEN(?l) AS ?y) BIND(2 * STRLEN(?l) AS ?n) }} GROUP BY ?y",
+    "SELECT length(n_name)::VARCHAR AS y, (2 * length(n_name))::VARCHAR AS low, (2 * length(n_name))::VARCHAR AS high, sum(2 * length(n_name))::BIGINT::VARCHAR AS total, (2 * length(n_name))::VARCHAR AS mean, length(n_name)::VARCHAR AS \"any\" FROM nation GROUP BY length(n_name)",
+)
+_ad_hoc(
+    "sparql_optional_union",
+    f"SELECT ?p ?k ?l WHERE {{ {{ ?p a {_P}:School BIND('school' AS ?k) }} UNION {{ ?p a {_P}:Time BIND('time' AS ?k) }} OPTIONAL {{ ?p rdfs:label ?l }} }}",
+    f"SELECT {_n('nation', 'n_nationkey')} AS p, 'school' AS k, n_name AS l FROM nation UNION ALL SELECT DISTINCT {_n('year', 'year(o_orderdate)')}, 'time', CASE WHEN year(o_orderdate) % 2 = 0 THEN year(o_orderdate)::VARCHAR ELSE '' END FROM orders",
+)
 #: The father tree, whose steps a path follows, as direct statements.
 _TREE = f"{NODE}customer/1"
 
 
-def _descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _descendants(spark: SparkSession, sf_dir: str, path: str = f"{_P}:childOf+") -> DataFrame:
     kg = star_graph(spark, sf_dir)
     none = F.lit(None).cast("string")
     step = kg.facts_of("fatherOf").select(F.col("source").alias("s"), F.lit("iri").alias("s_kind"), F.lit(V + "childOf").alias("p"), F.col("target").alias("o"), F.lit("iri").alias("o_kind"), none.alias("o_datatype"), none.alias("o_lang"))
     tree = replace(kg, others=kg.others.unionByName(step))
-    return select(tree, f"{_HEAD}\nSELECT ?d WHERE {{ <{_TREE}> {_P}:childOf+ ?d }}")
+    return select(tree, f"{_HEAD}\nSELECT ?d WHERE {{ <{_TREE}> {path} ?d }}")
 
 
 QUERIES["sparql_path_plus"] = _descendants
@@ -287,6 +317,38 @@ ORACLE["sparql_path_plus"] = (
     f" SELECT '{NODE}customer/' || k::VARCHAR AS d FROM down"
 )
 
+for _name, _path, _body in (
+    ("sparql_path_sequence", f"{_P}:childOf/{_P}:childOf", "c_custkey // 4 = 1 AND c_custkey // 2 >= 1 AND c_custkey >= 1"),
+    ("sparql_path_inverse", f"^{_P}:childOf", "c_custkey = 0"),
+    ("sparql_path_alternative", f"({_P}:childOf|^{_P}:childOf)", "c_custkey IN (0, 2, 3)"),
+    ("sparql_path_optional", f"{_P}:childOf?", "c_custkey IN (1, 2, 3)"),
+):
+    QUERIES[_name] = partial(_descendants, path=_path)
+    ORACLE[_name] = f"SELECT '{NODE}customer/' || c_custkey::VARCHAR AS d FROM customer WHERE {_body}"
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lookup over the graph's stored layout, written and read again."""
+    path = f"{shared_dir(spark)}/stored-graph-{uuid.uuid4().hex}"
+    star_graph(spark, sf_dir).write(path)
+    return lookups.courtesy_name(KnowledgeGraph.read(spark, path), TEN)
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schools and their founders as statements in a file, parsed and asked."""
+    path = f"{shared_dir(spark)}/statements-{uuid.uuid4().hex}"
+    kept = star_graph(spark, sf_dir).triples().where((F.col("s").startswith(NODE + "nation/") | F.col("s").startswith(NODE + "supplier/") | F.col("s").contains("foundsSchool")) & F.col("o_kind").isin("iri", "literal"))
+    iri = lambda c: F.concat(F.lit("<"), F.replace(F.col(c), F.lit("|"), F.lit("%7C")), F.lit(">"))
+    line = F.concat_ws(" ", iri("s"), iri("p"), F.when(F.col("o_kind") == "iri", iri("o")).otherwise(F.concat(F.lit('"'), F.col("o"), F.lit('"'))), F.lit("."))
+    kept.select(line.alias("value")).write.text(path)
+    kg = KnowledgeGraph.from_triples(read_ntriples(spark, [path]))
+    return select(kg, f"{_HEAD}\nSELECT ?l ?m WHERE {{ ?f a {_P}:Relation ; {_P}:relationType {_P}:foundsSchool ; {_P}:sourceEntity ?p ; {_P}:targetEntity ?s . ?p rdfs:label ?l . ?s rdfs:label ?m }}")
+
+
+QUERIES |= {"stored_graph": _stored, "parsed_statements": _parsed}
+ORACLE["stored_graph"] = ORACLE["courtesy_name"]
+ORACLE["parsed_statements"] = "SELECT s_name AS l, n_name AS m FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+
 # --- questions and answers --------------------------------------------------------
 
 #: Questions and their routes.
@@ -332,6 +394,13 @@ ORACLE["answer_family"] = _answer_sql(ORACLE["family_relations"], "person, label
 QUERIES["answer_pair"] = _answer(lookups.pair_relations, "pair_relations", *PAIR)
 ORACLE["answer_pair"] = _answer_sql(ORACLE["pair_relations"], "sourceLabel, targetLabel, relation, relationLabel, direction", "direction || '：' || coalesce(nullif(relationLabel, ''), relation)", "人物关系", False, *PAIR)
 
+QUERIES["answer_summary"] = lambda spark, sf_dir: answers.summary(lookups.school_membership(star_graph(spark, sf_dir), TEN))
+_PARTS = ", ".join(f"CASE WHEN {c} <> '' THEN '{c}=' || {c} END" for c in ("person", "label", "school", "schoolLabel"))
+ORACLE["answer_summary"] = (
+    f"SELECT '{answers.GENERATED.removesuffix('{shown}')}' || string_agg(concat_ws('，', {_PARTS}), '；' ORDER BY person, label, school, schoolLabel) AS answer"
+    f" FROM (SELECT * FROM ({ORACLE['school_membership']}) ORDER BY person, label, school, schoolLabel LIMIT 5)"
+)
+
 # --- property graphs -----------------------------------------------------------------
 
 
@@ -362,6 +431,40 @@ ORACLE["graph_layout"] = (
     f" FROM (SELECT id, row_number() OVER (ORDER BY first) - 1 AS k, count(*) OVER () AS n FROM ({_NODES}))"
 )
 
+#: A lookup for each rule of the edges: its columns and the edge's label.
+_RULES = {
+    "teacher_relations": (lookups.teacher_relations, (TEN,), "label", "teacherLabel", "'师承'"),
+    "social_relations": (lookups.social_relations, (TEN,), "label", "friendLabel", "'交游'"),
+    "school_membership": (lookups.school_membership, (TEN,), "label", "schoolLabel", "'所属流派'"),
+    "school_founder": (lookups.school_founder, (SCHOOL,), "founderLabel", "schoolLabel", "'开创'"),
+    "pair_relations": (lookups.pair_relations, PAIR, "sourceLabel", "targetLabel", "coalesce(nullif(relationLabel, ''), nullif(relation, ''), '直接关系')"),
+    "related_people": (lookups.related_people, (TEN,), "label", "relatedLabel", "'关联'"),
+}
+
+
+def _every_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kg = star_graph(spark, sf_dir)
+    parts = [network.property_graph(f(kg, *slots), name).edges.select(F.lit(name).alias("lookup"), "id", "relationType") for name, (f, slots, *_) in _RULES.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The warnings for many labels without an edge, for one, and for no row."""
+    people = lookups.person_labels(star_graph(spark, sf_dir), TEN).select("label")
+    cases = {"many": people, "one": people.where("label LIKE '%10'"), "none": people.where("false")}
+    return reduce(DataFrame.unionByName, [network.property_graph(rows, name).meta.withColumn("warnings", F.array_join("warnings", "|")) for name, rows in cases.items()])
+
+
+QUERIES |= {"graph_rules": _every_rule, "graph_warnings": _warnings}
+ORACLE["graph_rules"] = " UNION ALL ".join(
+    f"SELECT DISTINCT '{name}' AS lookup, {a} || '::' || {b} || '::' || {label} AS id, {label} AS relationType FROM ({ORACLE[name]}) WHERE {a} <> '' AND {b} <> '' AND {a} <> {b}"
+    for name, (_, _, a, b, label) in _RULES.items()
+)
+ORACLE["graph_warnings"] = (
+    f"SELECT 'many' AS source, 10 AS rowCount, 10 AS nodeCount, 0 AS edgeCount, '{network.WARN_NO_EDGE}|{network.WARN_LOOSE}' AS warnings"
+    f" UNION ALL SELECT 'one', 1, 1, 0, '{network.WARN_NO_EDGE}|{network.WARN_FEW}' UNION ALL SELECT 'none', 0, 0, 0, ''"
+)
+
 # --- extraction ------------------------------------------------------------------------
 
 
@@ -438,6 +541,30 @@ ORACLE["align_match"] = (
     " CASE WHEN c_custkey % 4 < 3 THEN 'ext/' || c_custkey::VARCHAR ELSE '' END AS ext_id, CASE WHEN c_custkey % 4 < 3 THEN 'ext/' || c_custkey::VARCHAR ELSE '' END AS candidates, c_custkey % 4 = 1 AS check_by_hand FROM customer"
 )
 
+
+
+def _contested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several candidates, years that exclude each other and names a letter
+    apart: each supplier against two external entries of its courtesy name."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey")
+    key = F.col("s_suppkey")
+    courtesy = F.concat(F.lit("c"), key.cast("string"))
+    people = s.select(node("supplier", "s_suppkey").alias("node"), F.col("s_name").alias("name"), courtesy.alias("courtesy"), F.col("s_nationkey").alias("place"), F.lit("1500").alias("birth"), F.lit("1570").alias("death"))
+    entry = lambda tag, name, place, birth: s.select(F.concat(F.lit(f"{tag}/"), key.cast("string")).alias("ext_id"), name.alias("name"), courtesy.alias("courtesy"), place.alias("place"), birth.alias("birth"), F.lit("1700").alias("death"))
+    # a: one letter more, the same place; b: the same name, and place for even keys; born too late for every third.
+    a = entry("a", F.concat("s_name", F.lit("x")), F.col("s_nationkey"), F.lit("1510"))
+    b = entry("b", F.col("s_name"), F.when(key % 2 == 0, F.col("s_nationkey")).otherwise(F.lit(-1)), F.when(key % 3 == 0, "1600").otherwise("1505"))
+    regions = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("place"), F.col("n_regionkey").alias("region"))
+    got = alignment.resolve(alignment.match(people, a.unionByName(b), regions, name_kind="fuzzy"))
+    return got.select("node", "status", "tier", "ext_id", F.array_join("candidates", ",").alias("candidates"))
+
+
+QUERIES["align_contested"] = _contested
+ORACLE["align_contested"] = (
+    f"SELECT '{NODE}supplier/' || k AS node, CASE WHEN k % 3 <> 0 AND k % 2 = 0 THEN 'partial' ELSE 'aligned' END AS status, 1 AS tier, 'a/' || k AS ext_id,"
+    " CASE WHEN k % 3 = 0 THEN 'a/' || k ELSE 'a/' || k || ',b/' || k END AS candidates FROM (SELECT s_suppkey AS k FROM supplier)"
+)
+
 QUERIES["triples_scan"] = lambda spark, sf_dir: star_graph(spark, sf_dir).triples().groupBy("p", "o_kind").agg(F.count("*").alias("n"))
 ORACLE["triples_scan"] = _sql(
     "SELECT p, o_kind, count(*) AS n FROM ("

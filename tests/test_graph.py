@@ -6,6 +6,7 @@ from lattica.operators import lookups
 from lattica.plans.graph import KnowledgeGraph
 from lattica.plans.service import answer_question
 from lattica.plans.sparql import select
+from lattica.plans.sparql.syntax import SparqlError
 from lattica.sources.catalog import Catalog
 from lattica.sources.turtle import TurtleError, parse_turtle, read_ntriples, read_turtle
 
@@ -135,3 +136,23 @@ def test_path_cycles_end(kg, spark):
     assert [r[0] for r in rows(select(ring, "SELECT ?x { ?x <urn:e>+ <urn:n2> } ORDER BY ?x"))] == ["urn:n1", "urn:n2", "urn:n3", "urn:n4"]
     assert len(rows(select(ring, "SELECT ?x ?y { ?x <urn:e>* ?y }"))) == 13
     assert len(rows(select(ring, "SELECT ?x ?y { ?x <urn:e>? ?y }"))) == 8
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT ?p { ?p a kg:Person ; rdfs:label ?l FILTER EXISTS { { ?q a kg:Person FILTER(?l = 'x') } } }",
+        "SELECT ?p { ?p a kg:Person ; rdfs:label ?l FILTER EXISTS { ?q a kg:Person BIND(STRLEN(?l) AS ?n) } }",
+        "SELECT ?p { ?p a kg:Person ; rdfs:label ?l FILTER EXISTS { ?q a kg:Person FILTER(?l != 'x' && EXISTS { ?q rdfs:label ?m FILTER(?m = ?l) }) } }",
+    ],
+)
+def test_outer_variables_that_cannot_be_lifted(kg, text):
+    with pytest.raises(SparqlError):
+        rows(select(kg, HEADER + text))
+
+
+def test_exists_with_outer_variables(kg):
+    longer = "SELECT ?l { ?p a kg:Person ; rdfs:label ?l FILTER NOT EXISTS { ?q a kg:Person ; rdfs:label ?m FILTER(STRLEN(?m) > STRLEN(?l)) } }"
+    labels = [r[0] for r in rows(select(kg, HEADER + "SELECT ?l { ?p a kg:Person ; rdfs:label ?l }"))]
+    assert sorted(r[0] for r in rows(select(kg, HEADER + longer))) == sorted(x for x in labels if len(x) == max(map(len, labels)))
+    assert rows(select(kg, HEADER + "SELECT ?p { ?p a kg:Person FILTER EXISTS { ?q a kg:Person FILTER(?unbound = ?q) } }")) == []
