@@ -1,4 +1,7 @@
 import hashlib
+import random
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -55,3 +58,60 @@ def test_changed_branches(spark):
     df = spark.createDataFrame([("a\nb\n\nc\nd", "a\nB\n\nc\nd"), ("a\n\nb", "a")], "x string, y string")
     got = df.select("*", fp.tree(F.col("x")).alias("t"), fp.tree(F.col("y")).alias("u")).select(fp.changed_paragraphs(F.col("t.sections"), F.col("u.sections")).alias("c")).collect()
     assert [[tuple(p) for p in r.c] for r in got] == [[(0, 1)], [(1, 0)]]
+
+
+PIECE = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: rf"\u{int(m[1], 16):04x}", fp.PIECE))
+
+
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+def plain_tree(text):
+    """The printed fingerprint and all leaves, straight from the definition."""
+    sections, leaves, shown = [], Counter(), []
+    for section in (text or "").split("\n\n"):
+        paragraphs = []
+        for paragraph in section.split("\n"):
+            pieces = [md5(m.group()) for m in PIECE.finditer(paragraph)]
+            assert "".join(m.group() for m in PIECE.finditer(paragraph)) == paragraph
+            leaves.update(p[:8] for p in pieces)
+            paragraphs.append((md5("".join(pieces)), "".join(p[:8] for p in pieces)))
+        sections.append(md5("".join(d for d, _ in paragraphs)))
+        shown.append(sections[-1][:16] + "(" + ",".join(f"{d[:16]}[{p}]" for d, p in paragraphs) + ")")
+    return hashlib.sha256("".join(sections).encode()).hexdigest() + ":" + ";".join(shown), leaves
+
+
+def plain_near(a, b):
+    (root_a, x), (root_b, y) = plain_tree(a), plain_tree(b)
+    if root_a == root_b:
+        return 1.0
+    return 2.0 * (x & y).total() / (x.total() + y.total()) if x or y else 0.0
+
+
+def test_against_a_plain_tree(documents):
+    rng = random.Random(4)
+    han = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    words = lambda n: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta".split()) for _ in range(n))
+    texts = [han(3000), han(2999), words(400), "same line again\n" * 200, "\n\n".join(words(30) for _ in range(9)), None, "", "x", "𠀀🎉" * 400, "Zq" * 3000, words(5)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in fp.edit_report(documents(rows)).collect()}
+    order = sorted(rows, reverse=True)
+    for at, (k, text) in enumerate(order):
+        text, after = text or "", order[(at + 1) % len(order)][1] or ""
+        third = len(text) // 3
+        edited = text[: len(text) - third] + after[:third]
+        assert got[k].fingerprint == plain_tree(text)[0] and got[k].edited_fingerprint == plain_tree(edited)[0]
+        assert (got[k].near_edited, got[k].near_next) == (plain_near(text, edited), plain_near(text, after))
+    assert all(0.55 < got[k].near_edited < 0.8 for k in (0, 1, 2, 4))  # two thirds are left, in unspaced text as well
+    assert got[3].near_edited > 0.55  # repeated lines count as often as they occur
+
+
+def test_one_id_that_holds_most_rows(documents):
+    rows = [(None, f"text {i} without an id") for i in range(300)] + [(i, f"text {i}") for i in range(30)]
+    got = fp.edit_report(documents(rows)).collect()
+    assert len(got) == 330
+    following = Counter(r.edited_sha256 for r in got)
+    ordered = fp.with_next(documents(rows).select("doc_id", "text"), "doc_id", "text", ["text"]).collect()
+    assert Counter(r.next_text for r in ordered) == Counter(t for _, t in rows)  # a ring: each text follows once
+    assert following.total() == 330
