@@ -64,7 +64,7 @@ class Encoder:
     or normaliser is another one is encoded text by text.
     """
 
-    def __init__(self, file: str, most: int = 1_000_000, most_bytes: int = 96 << 20):
+    def __init__(self, file: str, most: int = 1_000_000, most_bytes: int = 224 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -102,12 +102,11 @@ class Encoder:
         for u in new:
             known[u] = self._unit(u)
         out = [b"".join([*map(known.__getitem__, units), tail]) for units in split]
-        for u in new:
-            cost = OVERHEAD + len(u) + len(known[u])
-            if len(u) > LONG or len(known) > self.most or self.bytes + cost > self.most_bytes:
-                del known[u]
-            else:
-                self.bytes += cost
+        cost = sum(map(len, new)) + sum(map(len, map(known.__getitem__, new))) + OVERHEAD * len(new)
+        full = len(known) > self.most or self.bytes + cost > self.most_bytes
+        for u in new if full else [u for u in new if len(u) > LONG]:
+            cost -= OVERHEAD + len(u) + len(known.pop(u))
+        self.bytes += cost
         return out
 
 

@@ -54,8 +54,10 @@ def test_small_memo_long_units_and_clashes(documents, spark, monkeypatch):
     docs = documents(rows).withColumn("h", F.lit("clash")).withColumn("name", F.lit(1))
     assert sorted(run(docs, spark)) == expected(rows)
     encoder = tf.Encoder(FILE, most_bytes=1000)
-    encoder.encode(["漢" * 500, *[f"word{i}" for i in range(200)]], 2)
-    assert "漢" * 500 not in encoder.known and encoder.bytes <= 1000 and 0 < len(encoder.known) < 10
+    encoder.encode(["漢" * 500, "few words"], 2)
+    assert "漢" * 500 not in encoder.known and 0 < encoder.bytes <= 1000 and len(encoder.known) == 2
+    encoder.encode([f"word{i}" for i in range(200)], 2)
+    assert 0 < encoder.bytes <= 1000 and len(encoder.known) == 2
 
 
 def test_files_of_other_attempts_go(documents, spark):
