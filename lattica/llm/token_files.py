@@ -102,10 +102,14 @@ class Encoder:
         for u in new:
             known[u] = self._unit(u)
         out = [b"".join([*map(known.__getitem__, units), tail]) for units in split]
+        for u in [u for u in new if len(u) > LONG]:
+            new.remove(u)
+            del known[u]
         cost = sum(map(len, new)) + sum(map(len, map(known.__getitem__, new))) + OVERHEAD * len(new)
-        full = len(known) > self.most or self.bytes + cost > self.most_bytes
-        for u in new if full else [u for u in new if len(u) > LONG]:
-            cost -= OVERHEAD + len(u) + len(known.pop(u))
+        if len(known) > self.most or self.bytes + cost > self.most_bytes:
+            for u in new:
+                del known[u]
+            return out
         self.bytes += cost
         return out
 
