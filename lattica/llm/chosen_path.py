@@ -339,18 +339,25 @@ def _likely(placed: DataFrame, signed: DataFrame, least: float) -> DataFrame:
             role, head, rep, label, i, j = (table[c].to_numpy() for c in ("role", "head", "rep", "label", "i", "j"))
             sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
             members, others = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+            # What each row meets is marked by block and leaves the cell once, whatever the number of its partners.
+            (rows_i, at_i), (rows_j, at_j) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+            met = np.zeros((len(role), max(len(rows_i), len(rows_j))), bool)
             for lo in range(0, len(others), 16):
-                some, found = others[lo : lo + 16], []
+                some = others[lo : lo + 16]
                 for at in range(0, len(members), 1024):
                     part = members[at : at + 1024]
                     near = (sig[some][:, None, :] == sig[part][None, :, :]).mean(axis=2) >= least
                     o, m = np.nonzero(near & (label[some][:, None] != label[part][None, :]) & (head[some][:, None] == head[part][None, :]))
                     o, m = some[o], part[m]
-                    for which, rows in ((0, m), (1, o)):
-                        found.append(np.column_stack([head[o], i[m], j[o], np.full(len(o), which), rep[rows], label[rows]]))
-                found = np.unique(np.concatenate(found), axis=0) if found else []
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, c])) for c in range(6)], ["head", "i", "j", "role", "rep", "label"])
+                    met[m, at_j[o]] = True
+                    met[o, at_i[m]] = True
+            r, block = np.nonzero(met)
+            if len(r):
+                inside = role[r] == 0
+                own_i = np.where(inside, i[r], rows_i[np.minimum(block, len(rows_i) - 1)])
+                own_j = np.where(inside, rows_j[np.minimum(block, len(rows_j) - 1)], j[r])
+                found = [head[r], own_i, own_j, role[r], rep[r], label[r]]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], ["head", "i", "j", "role", "rep", "label"])
         give_back()
 
     spread = held.repartition(shuffle_partitions(placed.sparkSession), "cell").sortWithinPartitions("cell")
