@@ -85,3 +85,24 @@ def test_same_text_same_id(documents):
     docs = documents([(5, "one two three four"), (5, "one two three four"), (6, "one two three four"), (7, "other words are here")])
     assert got(docs, width=3, percent=85) == [(5, 2, 5), (5, 2, 5), (6, 2, 5), (7, 2, 7)]
     assert cp.keep_first(docs).count() == 2
+
+
+def test_likely_partners_by_block(spark):
+    rng = random.Random(3)
+    kinds = [bytes(rng.randrange(256) for _ in range(cp.COORDINATES)) for _ in range(6)]
+    rows = []
+    for rep in range(150):
+        head = rep % 2
+        label = head if rng.random() < 0.5 else 100 + rng.randrange(8)
+        sig = bytearray(kinds[rng.randrange(6)])
+        for _ in range(rng.randrange(40)):
+            sig[rng.randrange(len(sig))] = rng.randrange(256)
+        rows.append((head, rep, label, rng.randrange(4), rng.randrange(3), 2, 3, bytes(sig)))
+    want = set()
+    for h, m, x, i, _, _, _, s in rows:
+        for g, o, y, _, j, _, _, t in rows:
+            if g == h and y != h and x != y and sum(p == q for p, q in zip(s, t)) / len(s) >= 0.75:
+                want |= {(h, i, j, 0, m, x), (h, i, j, 1, o, y)}
+    table = spark.createDataFrame(rows, "head long, rep long, label long, i int, j int, rows_wide int, rows_high int, sig binary")
+    found = cp._likely(table.drop("sig"), table.select(F.col("rep").alias("r"), "sig"), 0.75).collect()
+    assert want and sorted(map(tuple, found)) == sorted(want)
