@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import chosen_path, embedding_dedup, external_shuffle, fingerprint, hidden_markov, mixing, packing, secret_scan, token_files, toxicity
+from lattica.llm import ball_kmeans, chosen_path, embedding_dedup, external_shuffle, fingerprint, hidden_markov, mixing, packing, secret_scan, spelling, token_files, toxicity, winnowing
 from lattica.llm.common import Scratch, read
 
 
@@ -60,6 +60,18 @@ def op10_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_wavelet_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.cluster(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_hidden_markov": op2_hidden_markov,
@@ -71,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_external_shuffle": op8_external_shuffle,
     "op9_secret_scan": op9_secret_scan,
     "op10_sorted_projections": op10_sorted_projections,
+    "op11_winnowing": op11_winnowing,
+    "op12_wavelet_spelling": op12_wavelet_spelling,
+    "op13_ball_kmeans": op13_ball_kmeans,
 }
 
 #: DuckDB SQL by query; the others are held against brute force in tests/llm.
@@ -79,4 +94,6 @@ ORACLE: dict[str, str] = {
     "op6_pareto_mixing": mixing.ORACLE,
     "op7_chosen_path": chosen_path.ORACLE,
     "op10_sorted_projections": embedding_dedup.ORACLE,
+    "op11_winnowing": winnowing.ORACLE,
+    "op13_ball_kmeans": ball_kmeans.ORACLE,
 }
