@@ -16,7 +16,7 @@ def test_registry():
     assert set(ORACLE) == set(QUERIES)
     if importlib.util.find_spec("lattica.llm"):
         found = {int(n[2:].split("_")[0]) for n in known if n.startswith("op")}
-        assert found == set(range(1, 11)) and "pipeline" in known
+        assert found == set(range(1, 14)) and "pipeline" in known
 
 
 def test_nothing_else_imports_the_llm_subpackage():
