@@ -5,7 +5,6 @@ operators."""
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import partial, reduce
@@ -13,16 +12,17 @@ from functools import partial, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.functions.lineage import shared_dir
+from lattica.functions.lineage import folder
 from lattica.operators import alignment, extraction, lookups, network
 from lattica.plans import answers
 from lattica.plans.graph import KnowledgeGraph
 from lattica.plans.model import DEFAULT_NAMESPACE as V
+from lattica.plans.model import LABEL, TRIPLES, Vocabulary
 from lattica.plans.routing import route_questions
 from lattica.plans.sparql import select
 from lattica.plans.sparql.texts import Texts
 from lattica.sources.starkg import NODE, node, star_graph
-from lattica.sources.turtle import read_ntriples
+from lattica.sources.turtle import read_ntriples, read_turtle, write_turtle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -329,25 +329,56 @@ for _name, _path, _body in (
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lookup over the graph's stored layout, written and read again."""
-    path = f"{shared_dir(spark)}/stored-graph-{uuid.uuid4().hex}"
+    path = folder(spark, "stored-graph")
     star_graph(spark, sf_dir).write(path)
     return lookups.courtesy_name(KnowledgeGraph.read(spark, path), TEN)
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schools and their founders as statements in a file, parsed and asked."""
-    path = f"{shared_dir(spark)}/statements-{uuid.uuid4().hex}"
+    path = folder(spark, "statements")
     kept = star_graph(spark, sf_dir).triples().where((F.col("s").startswith(NODE + "nation/") | F.col("s").startswith(NODE + "supplier/") | F.col("s").contains("foundsSchool")) & F.col("o_kind").isin("iri", "literal"))
     iri = lambda c: F.concat(F.lit("<"), F.replace(F.col(c), F.lit("|"), F.lit("%7C")), F.lit(">"))
     line = F.concat_ws(" ", iri("s"), iri("p"), F.when(F.col("o_kind") == "iri", iri("o")).otherwise(F.concat(F.lit('"'), F.col("o"), F.lit('"'))), F.lit("."))
     kept.select(line.alias("value")).write.text(path)
     kg = KnowledgeGraph.from_triples(read_ntriples(spark, [path]))
-    return select(kg, f"{_HEAD}\nSELECT ?l ?m WHERE {{ ?f a {_P}:Relation ; {_P}:relationType {_P}:foundsSchool ; {_P}:sourceEntity ?p ; {_P}:targetEntity ?s . ?p rdfs:label ?l . ?s rdfs:label ?m }}")
+    return select(kg, _FOUNDERS)
 
 
-QUERIES |= {"stored_graph": _stored, "parsed_statements": _parsed}
+#: Bytes of a range of the Turtle files below: small, so that the files of the
+#: smallest tables are cut too.
+_RANGE = 64 << 10
+_FOUNDERS = f"{_HEAD}\nSELECT ?l ?m WHERE {{ ?f a {_P}:Relation ; {_P}:relationType {_P}:foundsSchool ; {_P}:sourceEntity ?p ; {_P}:targetEntity ?s . ?p rdfs:label ?l . ?s rdfs:label ?m }}"
+
+
+def _turtle_founders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes in one Turtle folder, facts in another, asked as one graph."""
+    nodes, facts = folder(spark, "turtle-nodes"), folder(spark, "turtle-facts")
+    triples = star_graph(spark, sf_dir).triples().withColumn("s", F.replace("s", F.lit("|"), F.lit("~")))
+    prefixes = Vocabulary().prefixes | {"nation": NODE + "nation/"}
+    write_turtle(triples.where(F.col("s").startswith(NODE + "nation/") | F.col("s").startswith(NODE + "supplier/")), nodes, prefixes)
+    write_turtle(triples.where(F.col("s").contains("foundsSchool~")), facts, prefixes)
+    return select(KnowledgeGraph.from_triples(read_turtle(spark, [nodes, facts], _RANGE)), _FOUNDERS)
+
+
+def _turtle_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as labelled nodes of Turtle files, whole texts as long
+    strings, read in ranges."""
+    path = folder(spark, "turtle-documents")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    none, said = F.lit(None).cast("string"), lambda p, o, lang: F.struct(F.lit(p).alias("p"), F.col(o).alias("o"), lang.alias("o_lang"))
+    both = docs.select(F.concat(F.lit("urn:doc:"), F.col("doc_id").cast("string")).alias("s"), F.explode(F.array(said(LABEL, "text", F.col("lang")), said(V + "source", "source", none))).alias("t"))
+    triples = both.select("s", F.lit("iri").alias("s_kind"), "t.p", "t.o", F.lit("literal").alias("o_kind"), none.alias("o_datatype"), "t.o_lang").where("o is not null")
+    write_turtle(triples.select(TRIPLES.fieldNames()), path, Vocabulary().prefixes)
+    kg = KnowledgeGraph.from_triples(read_turtle(spark, [path], _RANGE))
+    source = kg.literals_of("source").withColumnRenamed("value", "source")
+    return kg.labels.join(source, "node").select("node", "lang", "source", F.sha2("label", 256).alias("digest"))
+
+
+QUERIES |= {"stored_graph": _stored, "parsed_statements": _parsed, "turtle_founders": _turtle_founders, "turtle_documents": _turtle_documents}
+ORACLE["turtle_documents"] = "SELECT 'urn:doc:' || doc_id::VARCHAR AS node, lang, source, sha256(text) AS digest FROM documents WHERE text IS NOT NULL"
 ORACLE["stored_graph"] = ORACLE["courtesy_name"]
-ORACLE["parsed_statements"] = "SELECT s_name AS l, n_name AS m FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+ORACLE["parsed_statements"] = ORACLE["turtle_founders"] = "SELECT s_name AS l, n_name AS m FROM supplier JOIN nation ON s_nationkey = n_nationkey"
 
 # --- questions and answers --------------------------------------------------------
 

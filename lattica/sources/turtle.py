@@ -1,8 +1,9 @@
 """Turtle and N-Triples files as a set of triples.
 
-A Turtle file is one unit (prefixes and statements span lines), so files are
-dealt out whole, one a row; N-Triples are read line by line with built-in
-functions. Blank nodes are renamed by file. The union is a set.
+Prefixes and statements of Turtle span lines; ``ranges`` cuts a file into parts
+all the same, and files in stores that only Spark opens are dealt out whole, one
+a row. N-Triples are read line by line with built-in functions. Blank nodes are
+renamed by file. The union is a set.
 """
 
 from __future__ import annotations
@@ -12,13 +13,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.plans.model import RDF, TRIPLES, XSD
 from lattica.sources.catalog import exists
 
-_TOKEN = re.compile(
+TOKEN = re.compile(
     r"""(?P<skip>\s+|\#[^\n]*)
   | (?P<iri><(?:[^<>"{}|^`\\\x00-\x20]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*>)
   | (?P<string>\"\"\"(?:(?:"|"")?(?:[^"\\]|\\.))*\"\"\"|'''(?:(?:'|'')?(?:[^'\\]|\\.))*'''|"(?:[^"\\\n\r]|\\.)*"|'(?:[^'\\\n\r]|\\.)*')
@@ -53,32 +54,38 @@ def _plain(text: str) -> str:
 
 
 class _Reader:
-    """Recursive descent over the tokens of one file."""
+    """Recursive descent over the tokens of a file, or of a part of one that
+    begins at byte ``at`` and after the given directives."""
 
-    def __init__(self, text: str, file: str):
+    def __init__(self, text: str, file: str, at: int = 0, directives: str = ""):
         self.out: list[tuple] = []
         self.prefixes: dict[str, str] = {}
         self.base = ""
+        if directives:
+            ahead = _Reader(directives, file)
+            list(ahead.document())
+            self.prefixes, self.base = ahead.prefixes, ahead.base
         self.mark = hashlib.md5(file.encode()).hexdigest()[:8]
+        self.whole, self.read, self.at = text, 0, at
         self.count = 0
         self.tokens = self._scan(text)
-        self.kind, self.text = next(self.tokens)
+        self.kind, self.text, self.place = next(self.tokens)
 
-    def _scan(self, text: str) -> Iterator[tuple[str, str]]:
+    def _scan(self, text: str) -> Iterator[tuple[str, str, int]]:
         at = 0
         while at < len(text):
-            m = _TOKEN.match(text, at)
+            m = TOKEN.match(text, at)
             if not m:
                 raise TurtleError(f"unexpected text at {at}: {text[at : at + 30]!r}")
             if m.lastgroup != "skip":
-                yield m.lastgroup, m.group()
+                yield m.lastgroup, m.group(), at
             at = m.end()
-        yield "end", ""
+        yield "end", "", at
 
     def step(self) -> str:
         text = self.text
         if self.kind != "end":
-            self.kind, self.text = next(self.tokens)
+            self.kind, self.text, self.place = next(self.tokens)
         return text
 
     def need(self, op: str) -> None:
@@ -98,11 +105,20 @@ class _Reader:
         raise TurtleError(f"expected an address, found {self.text!r}")
 
     def fresh(self) -> tuple:
+        """A node without a name, named by its statement's byte in the file, so
+        that parts of a file give the names that the whole gives."""
+        self.at += len(self.whole[self.read : self.began].encode())
+        self.read = self.began
         self.count += 1
-        return (f"_:{self.mark}g{self.count}", "bnode", None, None)
+        return (f"_:{self.mark}g{self.at}-{self.count}", "bnode", None, None)
 
-    def document(self) -> list[tuple]:
+    def document(self) -> Iterator[list[tuple]]:
+        """The statements, some thousand at a time."""
         while self.kind != "end":
+            if len(self.out) >= 10_000:
+                yield self.out
+                self.out = []
+            self.began, self.count = self.place, 0
             if self.kind == "directive" or (self.kind == "word" and self.text.upper() in ("PREFIX", "BASE")):
                 word, dotted = self.step(), self.text
                 dotted = word.startswith("@")
@@ -123,7 +139,8 @@ class _Reader:
             if not (anonymous and self.text == "."):
                 self.predicates(subject)
             self.need(".")
-        return self.out
+        if self.out:
+            yield self.out
 
     def predicates(self, subject: tuple) -> None:
         while True:
@@ -192,27 +209,58 @@ class _Reader:
 
 def parse_turtle(text: str, file: str = "") -> list[tuple]:
     """The statements of a text as rows of ``TRIPLES``."""
-    return _Reader(text, file).document()
+    return [row for rows in statements(text, file) for row in rows]
 
 
-def read_turtle(spark: SparkSession, paths: list[str]) -> DataFrame:
+def statements(text: str, file: str = "", at: int = 0, directives: str = "") -> Iterator[list[tuple]]:
+    """The same in pieces, of a part of a file too."""
+    return _Reader(text, file, at, directives).document()
+
+
+def read_turtle(spark: SparkSession, paths: list[str], range_bytes: int | None = None) -> DataFrame:
     """The union of Turtle files as a set. Missing files are passed over; it is
-    an error if none is there."""
+    an error if none is there. A file larger than a range is read by several
+    tasks."""
+    from lattica.sources import ranges
+
     there = [p for p in paths if exists(spark, p)]
     if not there:
         raise FileNotFoundError(f"none of these graph files exists: {', '.join(paths)}")
+    if all(ranges.reachable(p) for p in there):
+        return ranges.read_ranges(spark, ranges.files(spark, there), range_bytes or ranges.RANGE).distinct()
     files = spark.read.format("text").option("wholetext", True).load(there).select("value", F.input_file_name().alias("file"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for text, file in zip(batch["value"], batch["file"]):
-                rows = parse_turtle(text, file)
-                for at in range(0, len(rows), 10_000):
-                    yield pd.DataFrame(rows[at : at + 10_000], columns=TRIPLES.fieldNames(), dtype=object)
+                for rows in statements(text, file):
+                    yield pd.DataFrame(rows, columns=TRIPLES.fieldNames(), dtype=object)
 
     return files.mapInPandas(run, TRIPLES).distinct()
 
 
+def write_turtle(triples: DataFrame, path: str, prefixes: dict[str, str]) -> None:
+    """Triples as Turtle files, a subject a statement, in short names where a
+    prefix fits. Files can be cut anywhere, so each statement says its prefixes."""
+    def name(value: Column) -> Column:
+        out = F.concat(F.lit("<"), F.regexp_replace(value, r"[<>\"{}|^`\\\x00-\x20]", "_"), F.lit(">"))
+        for short, full in prefixes.items():
+            local = F.substr(value, F.lit(len(full) + 1))
+            out = F.when(value.startswith(full) & local.rlike(r"\A[A-Za-z_][A-Za-z0-9_]*\z"), F.concat(F.lit(f"{short}:"), local)).otherwise(out)
+        return out
+
+    text = F.replace(F.replace(F.col("o"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    text = F.replace(text, F.lit("\r"), F.lit("\\r"))
+    tail = F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), "o_lang")).when(F.col("o_datatype").isNotNull(), F.concat(F.lit("^^"), name(F.col("o_datatype")))).otherwise("")
+    literal = F.concat(F.lit('"""'), text, F.lit('"""'), tail)
+    node = lambda kind, value: F.when(kind == "bnode", value).otherwise(name(value))
+    said = triples.select(node(F.col("s_kind"), F.col("s")).alias("s"), name(F.col("p")).alias("p"), F.when(F.col("o_kind") == "literal", literal).otherwise(node(F.col("o_kind"), F.col("o"))).alias("o"))
+    head = "".join(f"PREFIX {short}: <{full}>\n" for short, full in prefixes.items())
+    listed = said.groupBy("s", "p").agg(F.array_join(F.sort_array(F.collect_list("o")), " , ").alias("o"))
+    whole = listed.groupBy("s").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "p", "o"))), " ;\n    ").alias("po"))
+    whole.select(F.concat(F.lit(head), "s", F.lit(" "), "po", F.lit(" .")).alias("value")).write.mode("overwrite").text(path)
+
+
 #: One statement of N-Triples: subject, predicate, then an address, a blank
 #: node, or a string with a language or a type.
 _LINE = r'^\s*(?:<([^>]*)>|(_:\S+))\s*<([^>]*)>\s*(?:<([^>]*)>|(_:[^\s.]+)|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*\.\s*(?:#.*)?$'
