@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,45 +53,80 @@ def _value(intent: str, columns: list[str]) -> Column:
 REPEATED = ("birth_death", "family_relations", "pair_relations")
 
 
+def _keys(rows: DataFrame) -> tuple[list[str], list[str]]:
+    """The questions that rows answer (see ``lookups.Asked``) and the columns shown."""
+    return (["_q"] if "_q" in rows.columns else []), [c for c in rows.columns if c != "_q"]
+
+
 def values(rows: DataFrame, intent: str) -> DataFrame:
     """(position, value): what a capped result shows, in its order; repeated
     values once, at their first place, where the intent asks for that."""
-    order = Window.orderBy(*rows.columns)  # a result has 50 rows at most
-    placed = rows.select(F.row_number().over(order).alias("position"), _value(intent, rows.columns).alias("value")).where("value is not null")
+    keys, columns = _keys(rows)
+    order = Window.partitionBy(*keys).orderBy(*columns)  # a result has 50 rows at most
+    placed = rows.select(*keys, F.row_number().over(order).alias("position"), _value(intent, columns).alias("value")).where("value is not null")
     if intent in REPEATED:
         return placed
-    return placed.groupBy("value").agg(F.min("position").alias("position")).select("position", "value")
+    return placed.groupBy(*keys, "value").agg(F.min("position").alias("position")).select(*keys, "position", "value")
 
 
-def answer(rows: DataFrame, intent: str, slots: list[str]) -> DataFrame:
-    """One row with the answer's text."""
-    slot, (_, name) = BETWEEN.join(slots), SHOWN[intent]
-    listed = values(rows, intent).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("position", "value"))), lambda x: x["value"]), 1, MOST_VALUES).alias("v"))
-    both = rows.agg(F.count("*").alias("n")).crossJoin(listed)  # one row each
-    shown = F.array_join("v", BETWEEN)
+def _in_order(listed: str, most: int) -> Column:
+    """The values of collected (position, value), the first ``most``."""
+    return F.slice(F.transform(F.array_sort(F.collect_list(F.struct("position", listed))), lambda x: x[listed]), 1, most)
+
+
+def _sentence(intent: str, n: Column, v: Column, slot: Column) -> Column:
+    shown = F.array_join(v, BETWEEN)
 
     def said(sentence: str) -> Column:
-        head, _, tail = sentence.replace("{slot}", slot.replace("{", "{{").replace("}", "}}")).replace("{name}", name).partition("{shown}")
-        plain = lambda t: F.lit(t.replace("{{", "{").replace("}}", "}"))
-        return F.concat(plain(head), shown if "{shown}" in sentence else F.lit(""), plain(tail))
+        parts = re.split(r"(\{\w+\})", sentence.replace("{name}", SHOWN[intent][1]))
+        return F.concat(*[slot if p == "{slot}" else shown if p == "{shown}" else F.lit(p) for p in parts])
 
     if intent == "person_labels":
-        shown = F.when(F.size("v") == 0, F.lit(NO_LABELS)).otherwise(shown)
+        shown = F.when(F.size(v) == 0, F.lit(NO_LABELS)).otherwise(shown)
         some = said(LABELS)
     else:
-        some = F.when(F.size("v") == 0, said(NO_VALUES)).otherwise(said(VALUES))
-    return both.select(F.when(F.col("n") == 0, said(NO_ROWS)).otherwise(some).alias("answer"))
+        some = F.when(F.size(v) == 0, said(NO_VALUES)).otherwise(said(VALUES))
+    return F.when(n == 0, said(NO_ROWS)).otherwise(some)
+
+
+def answer(rows: DataFrame, intent: str, slots: list[str]) -> DataFrame:
+    """One row with the answer's text."""
+    listed = values(rows, intent).agg(_in_order("value", MOST_VALUES).alias("v"))
+    both = rows.agg(F.count("*").alias("n")).crossJoin(listed)  # one row each
+    return both.select(_sentence(intent, F.col("n"), F.col("v"), F.lit(BETWEEN.join(slots))).alias("answer"))
+
+
+def answer_each(rows: DataFrame, intent: str, slots: DataFrame, generated: bool = False) -> DataFrame:
+    """(_q, answer, rows): an answer for each of ``slots`` (_q), with the rows
+    that it is said from, as maps."""
+    columns = _keys(rows)[1]
+    listed = (_first_rows(rows) if generated else values(rows, intent)).groupBy("_q").agg(_in_order("text" if generated else "value", MOST_ROWS if generated else MOST_VALUES).alias("v"))
+    maps = F.transform(F.array_sort(F.collect_list(F.struct(*columns))), lambda r: F.create_map(*[x for c in columns for x in (F.lit(c), r[c])]))
+    whole = rows.groupBy("_q").agg(maps.alias("rows"))  # 50 rows a question at most
+    told = slots.join(whole, "_q", "left").join(listed, "_q", "left")
+    n, v = F.coalesce(F.size("rows"), F.lit(0)), F.coalesce("v", F.array().cast("array<string>"))
+    text = _told(n, v) if generated else _sentence(intent, n, v, F.array_join("_q", BETWEEN))
+    return told.select("_q", text.alias("answer"), F.coalesce("rows", F.array().cast("array<map<string,string>>")).alias("rows"))
+
+
+def _first_rows(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """(position, text) of the first rows: their bound columns."""
+    keys, names = _keys(rows)
+    parts = F.filter(F.array(*[F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"{c}="), F.col(c))) for c in names]), lambda x: x.isNotNull())
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or names)))
+    return rows.select(*keys, place.alias("position"), F.array_join(parts, INSIDE).alias("text")).where(F.col("position") <= MOST_ROWS)
+
+
+def _told(n: Column, texts: Column) -> Column:
+    joined = F.array_join(F.filter(texts, lambda t: t != ""), PART)
+    text = F.when(joined == "", F.lit(SUMMARY_EMPTY)).otherwise(joined)
+    return F.when(n == 0, F.lit(GENERATED_EMPTY)).otherwise(F.concat(F.lit(GENERATED.removesuffix("{shown}")), text))
 
 
 def summary(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
     """One row with the text of the first rows' bound columns."""
-    names = rows.columns
-    parts = F.filter(F.array(*[F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"{c}="), F.col(c))) for c in names]), lambda x: x.isNotNull())
-    first = rows.select(F.row_number().over(Window.orderBy(*(order or names))).alias("position"), F.array_join(parts, INSIDE).alias("text")).where(F.col("position") <= MOST_ROWS)
-    got = first.agg(F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), lambda t: t != ""), PART).alias("t"), F.count("*").alias("n"))
-    text = F.when(F.col("t") == "", F.lit(SUMMARY_EMPTY)).otherwise(F.col("t"))
-    head = GENERATED.removesuffix("{shown}")
-    return got.select(F.when(F.col("n") == 0, F.lit(GENERATED_EMPTY)).otherwise(F.concat(F.lit(head), text)).alias("answer"))
+    got = _first_rows(rows, order).agg(_in_order("text", MOST_ROWS).alias("t"), F.count("*").alias("n"))
+    return got.select(_told(F.col("n"), F.col("t")).alias("answer"))
 
 
 def table(*results: DataFrame) -> DataFrame:

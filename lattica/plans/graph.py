@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.plans.labels import LabelIndex
 from lattica.plans.model import FACTS, LABEL, LABELS, TRIPLES, TYPE, TYPES, Vocabulary
 
 
@@ -23,6 +24,7 @@ class KnowledgeGraph:
     types: DataFrame
     others: DataFrame
     vocabulary: Vocabulary = Vocabulary()
+    index: LabelIndex | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -56,6 +58,10 @@ class KnowledgeGraph:
         people = self.types.where(F.col("cls") == self.vocabulary("Person")).select("node").distinct()
         return self.labels.join(people, "node", "left_semi")
 
+    def indexed(self) -> LabelIndex:
+        """The stored index of labels, or one made within the plan."""
+        return self.index or LabelIndex.of(self.labels, self.types.where(F.col("cls") == self.vocabulary("Person")).select("node"))
+
     def facts_of(self, name: str) -> DataFrame:
         return self.facts.where(F.col("rel_type") == self.vocabulary(name))
 
@@ -84,17 +90,18 @@ class KnowledgeGraph:
 
     def persist(self) -> KnowledgeGraph:
         """Keep the tables in memory and on disk between queries."""
-        return KnowledgeGraph(*[t.persist() for t in (self.facts, self.labels, self.types, self.others)], self.vocabulary)
+        return KnowledgeGraph(*[t.persist() for t in (self.facts, self.labels, self.types, self.others)], self.vocabulary, self.index)
 
     def write(self, path: str) -> None:
         self.facts.write.mode("overwrite").partitionBy("rel_type").parquet(f"{path}/facts")
         self.labels.write.mode("overwrite").parquet(f"{path}/labels")
         self.types.write.mode("overwrite").partitionBy("cls").parquet(f"{path}/types")
         self.others.write.mode("overwrite").partitionBy("p").parquet(f"{path}/others")
+        self.indexed().write(f"{path}/index")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, vocabulary: Vocabulary = Vocabulary()) -> KnowledgeGraph:
         def table(name, schema):
             return spark.read.schema(schema).parquet(f"{path}/{name}").select(schema.fieldNames())
 
-        return cls(table("facts", FACTS), table("labels", LABELS), table("types", TYPES), table("others", TRIPLES), vocabulary)
+        return cls(table("facts", FACTS), table("labels", LABELS), table("types", TYPES), table("others", TRIPLES), vocabulary, LabelIndex.read(spark, f"{path}/index"))
