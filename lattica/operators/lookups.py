@@ -32,10 +32,19 @@ OUTGOING, INCOMING = "outgoing", "incoming"
 @dataclass(frozen=True)
 class Asked:
     """The names of one slot of many questions: ``slots`` has the distinct slots
-    (_q, an array), and ``at`` is the place of this one in them."""
+    (_q, an array), ``at`` is the place of this one in them, and ``matches`` has
+    the labels of the texts (``LabelIndex.asked``)."""
 
     slots: DataFrame
-    at: int = 0
+    at: int
+    matches: DataFrame
+
+
+def asked(kg: KnowledgeGraph, slots: DataFrame, matches: DataFrame | None = None) -> list[Asked]:
+    """The arguments of a lookup of one slot, or of two, for many questions."""
+    if matches is None:
+        matches = kg.indexed().asked(slots.select(F.explode("_q").alias("text")).distinct())
+    return [Asked(slots, at, matches) for at in (0, 1)]
 
 
 def capped(rows: DataFrame, limit: int) -> DataFrame:
@@ -65,7 +74,7 @@ def matching(kg: KnowledgeGraph, name: str | Asked, both_ways: bool = True, pers
     """(node, label) of the labels that a name may mean, a row a label."""
     if isinstance(name, Asked):
         texts = name.slots.select("_q", F.get("_q", F.lit(name.at)).alias("text"))
-        found = kg.indexed().asked(texts.select("text").distinct(), both_ways, persons)
+        found = name.matches.where((F.lit(both_ways) | F.col("forward")) & (F.lit(not persons) | F.col("person")))
         return texts.join(found, "text").select("_q", "node", "label")
     if kg.index is not None:
         return kg.index.matching(name, both_ways, persons).select("node", "label")

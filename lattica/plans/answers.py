@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,9 +35,9 @@ MOST_VALUES, MOST_ROWS = 10, 5
 BETWEEN, INSIDE, PART = "、", "，", "；"
 
 
-def _value(intent: str, columns: list[str]) -> Column:
+def _value(intent: str, columns: list[str], get: Callable[[str], Column] = F.col) -> Column:
     """What a row shows, null for nothing."""
-    of = lambda c: tx.strip(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in columns else F.lit("")
+    of = lambda c: tx.strip(F.coalesce(get(c).cast("string"), F.lit(""))) if c in columns else F.lit("")
     if intent == "birth_death":
         birth, death = of("birthYear"), of("deathYear")
         return F.when((birth != "") | (death != ""), F.btrim(F.concat(birth, F.lit(" - "), death), F.lit(" -")))
@@ -53,20 +54,14 @@ def _value(intent: str, columns: list[str]) -> Column:
 REPEATED = ("birth_death", "family_relations", "pair_relations")
 
 
-def _keys(rows: DataFrame) -> tuple[list[str], list[str]]:
-    """The questions that rows answer (see ``lookups.Asked``) and the columns shown."""
-    return (["_q"] if "_q" in rows.columns else []), [c for c in rows.columns if c != "_q"]
-
-
 def values(rows: DataFrame, intent: str) -> DataFrame:
     """(position, value): what a capped result shows, in its order; repeated
     values once, at their first place, where the intent asks for that."""
-    keys, columns = _keys(rows)
-    order = Window.partitionBy(*keys).orderBy(*columns)  # a result has 50 rows at most
-    placed = rows.select(*keys, F.row_number().over(order).alias("position"), _value(intent, columns).alias("value")).where("value is not null")
+    order = Window.orderBy(*rows.columns)  # a result has 50 rows at most
+    placed = rows.select(F.row_number().over(order).alias("position"), _value(intent, rows.columns).alias("value")).where("value is not null")
     if intent in REPEATED:
         return placed
-    return placed.groupBy(*keys, "value").agg(F.min("position").alias("position")).select(*keys, "position", "value")
+    return placed.groupBy("value").agg(F.min("position").alias("position")).select("position", "value")
 
 
 def _in_order(listed: str, most: int) -> Column:
@@ -97,24 +92,30 @@ def answer(rows: DataFrame, intent: str, slots: list[str]) -> DataFrame:
 
 
 def answer_each(rows: DataFrame, intent: str, slots: DataFrame, generated: bool = False) -> DataFrame:
-    """(_q, answer, rows): an answer for each of ``slots`` (_q), with the rows
-    that it is said from, as maps."""
-    columns = _keys(rows)[1]
-    listed = (_first_rows(rows) if generated else values(rows, intent)).groupBy("_q").agg(_in_order("text" if generated else "value", MOST_ROWS if generated else MOST_VALUES).alias("v"))
-    maps = F.transform(F.array_sort(F.collect_list(F.struct(*columns))), lambda r: F.create_map(*[x for c in columns for x in (F.lit(c), r[c])]))
-    whole = rows.groupBy("_q").agg(maps.alias("rows"))  # 50 rows a question at most
-    told = slots.join(whole, "_q", "left").join(listed, "_q", "left")
+    """(_q, answer, rows): an answer for each of ``slots`` (_q) from its rows
+    (see ``lookups.Asked``), which come as maps. A question has 50 rows at most,
+    so they are put in order and read as one array."""
+    columns = [c for c in rows.columns if c != "_q"]
+    whole = rows.groupBy("_q").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_rows"))
+    shown = _bound(columns, lambda r: lambda c: r[c]) if generated else lambda r: _value(intent, columns, lambda c: r[c])
+    listed = F.filter(F.transform(F.slice("_rows", 1, MOST_ROWS) if generated else F.col("_rows"), shown), lambda v: v.isNotNull())
+    if not generated:
+        listed = F.slice(listed if intent in REPEATED else F.array_distinct(listed), 1, MOST_VALUES)
+    maps = F.transform("_rows", lambda r: F.create_map(*[x for c in columns for x in (F.lit(c), r[c])]))
+    told = slots.join(whole.select("_q", listed.alias("v"), maps.alias("rows")), "_q", "left")
     n, v = F.coalesce(F.size("rows"), F.lit(0)), F.coalesce("v", F.array().cast("array<string>"))
     text = _told(n, v) if generated else _sentence(intent, n, v, F.array_join("_q", BETWEEN))
     return told.select("_q", text.alias("answer"), F.coalesce("rows", F.array().cast("array<map<string,string>>")).alias("rows"))
 
 
-def _first_rows(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """(position, text) of the first rows: their bound columns."""
-    keys, names = _keys(rows)
-    parts = F.filter(F.array(*[F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"{c}="), F.col(c))) for c in names]), lambda x: x.isNotNull())
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or names)))
-    return rows.select(*keys, place.alias("position"), F.array_join(parts, INSIDE).alias("text")).where(F.col("position") <= MOST_ROWS)
+def _bound(columns: list[str], of: Callable) -> Callable[..., Column]:
+    """The bound columns of a row as text."""
+    def text(row) -> Column:
+        get = of(row)
+        parts = F.filter(F.array(*[F.when(F.coalesce(get(c), F.lit("")) != "", F.concat(F.lit(f"{c}="), get(c))) for c in columns]), lambda x: x.isNotNull())
+        return F.array_join(parts, INSIDE)
+
+    return text
 
 
 def _told(n: Column, texts: Column) -> Column:
@@ -125,7 +126,10 @@ def _told(n: Column, texts: Column) -> Column:
 
 def summary(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
     """One row with the text of the first rows' bound columns."""
-    got = _first_rows(rows, order).agg(_in_order("text", MOST_ROWS).alias("t"), F.count("*").alias("n"))
+    text = _bound(rows.columns, lambda _: F.col)(None)
+    place = F.row_number().over(Window.orderBy(*(order or rows.columns)))
+    first = rows.select(place.alias("position"), text.alias("text")).where(F.col("position") <= MOST_ROWS)
+    got = first.agg(_in_order("text", MOST_ROWS).alias("t"), F.count("*").alias("n"))
     return got.select(_told(F.col("n"), F.col("t")).alias("answer"))
 
 

@@ -91,30 +91,26 @@ class LabelIndex:
 
     # --- a table of texts ----------------------------------------------------------
 
-    def asked(self, texts: DataFrame, both_ways: bool, persons: bool) -> DataFrame:
-        """(text, node, label, lang) for a table of distinct texts (text). The
-        joins are on grams and on substrings, so each is an equality."""
-        of = (lambda t: t.where("person")) if persons else (lambda t: t)
+    def asked(self, texts: DataFrame) -> DataFrame:
+        """(text, node, label, lang, person, forward) for a table of distinct
+        texts (text): the labels that contain a text (forward), and those that
+        it contains. The joins are on grams and on substrings, so each is an
+        equality."""
         size = F.least(F.lit(GRAM), F.length("text"))
         grams = F.when(size == 1, _runs(F.col("text"), 1)).when(size == 2, _runs(F.col("text"), 2)).otherwise(_runs(F.col("text"), GRAM))
-        each = texts.where(F.length("text") > 0).select("text", F.explode(grams).alias("gram"), F.size(grams).alias("all")).withColumn("bucket", _bucket(F.col("gram")))
+        each = texts.where(F.length("text") > 0).select("text", grams.alias("grams")).select("text", F.explode("grams").alias("gram"), F.size("grams").alias("all")).withColumn("bucket", _bucket(F.col("gram")))
         known = each.join(self.frequencies, ["bucket", "gram"]).groupBy("text").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("*").alias("found"), F.first("all").alias("all"))
         chosen = known.where(F.col("found") == F.col("all")).select("text", "gram").withColumn("bucket", _bucket(F.col("gram")))
-        columns = ["text", "node", "label", "lang"]
-        found = of(self.postings).join(chosen, ["bucket", "gram"]).where(F.contains("label", "text")).select(columns)
-        found = found.unionByName(of(self.exact).join(texts.where(F.length("text") == 0), F.lit(True)).select(columns)) if self._asks_for_all(texts) else found
-        if both_ways:
-            longest = self.exact.agg(F.max(F.length("label")).alias("n")).first().n or 0
-            n = F.length("text")
-            starts = F.explode(F.sequence(F.lit(1), n))
-            parts = texts.where(n > 0).select("text", starts.alias("i"))
-            # The text itself is found above; the empty label is inside every text.
-            lengths = F.sequence(F.lit(0), F.least(F.lit(longest), n - F.col("i") + 1))
-            parts = parts.select("text", F.explode(F.transform(lengths, lambda k: F.substring("text", F.col("i"), k))).alias("label")).where(F.col("label") != F.col("text")).distinct()
-            parts = parts.withColumn("bucket", _bucket(F.left("label", F.lit(2))))
-            found = found.unionByName(of(self.exact).join(parts, ["bucket", "label"]).select(columns))
-        return found
-
-    @staticmethod
-    def _asks_for_all(texts: DataFrame) -> bool:
-        return not texts.where(F.length("text") == 0).isEmpty()
+        columns = ["text", "node", "label", "lang", "person"]
+        found = self.postings.join(chosen, ["bucket", "gram"]).where(F.contains("label", "text")).select(columns)
+        # All labels contain the empty text, of which there is one at most.
+        none = texts.where(F.length("text") == 0).select("text", F.lit(True).alias("_all"))
+        every = self.exact.withColumn("_all", F.lit(True)).join(none, "_all").select(columns)
+        longest = self.exact.agg(F.max(F.length("label")).alias("n")).first().n or 0
+        n = F.length("text")
+        parts = texts.where(n > 0).select("text", F.explode(F.sequence(F.lit(1), n)).alias("i"))
+        lengths = F.sequence(F.lit(0), F.least(F.lit(longest), n - F.col("i") + 1))
+        # The text itself is found above; the empty label is inside every text.
+        parts = parts.select("text", F.explode(F.transform(lengths, lambda k: F.substring("text", F.col("i"), k))).alias("label")).where(F.col("label") != F.col("text")).distinct()
+        inside = self.exact.join(parts.withColumn("bucket", _bucket(F.left("label", F.lit(2)))), ["bucket", "label"]).select(columns)
+        return found.unionByName(every).withColumn("forward", F.lit(True)).unionByName(inside.withColumn("forward", F.lit(False)))

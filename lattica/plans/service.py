@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.functions.lineage import folder
 from lattica.operators import lookups
 from lattica.plans import answers
 from lattica.plans.graph import KnowledgeGraph
@@ -72,8 +72,8 @@ def answer_question(kg: KnowledgeGraph | Callable[[], KnowledgeGraph], question:
         return QueryResult("generated_sparql" if generated else "tool_error", GENERATED_ERROR if generated else TOOL_ERROR, notes=[str(error)])
 
 
-#: Slots of an intent that has not one.
-SLOTS = {"pair_relations": 2, "fs_pair": 2}
+#: Intents of two slots.
+PAIRS = ("pair_relations", "fs_pair")
 _ANSWER = "_q array<string>, answer string, rows array<map<string,string>>, _note string, intent string"
 
 
@@ -81,28 +81,29 @@ def answer_questions(kg: KnowledgeGraph | Callable[[], KnowledgeGraph], question
     """The questions of a table with mode, intent, slots, answer, rows and notes,
     as ``answer_question`` gives them one by one.
 
-    Equal slots are asked once. Names meet labels through the index of labels
-    and facts by their nodes, so no question meets all labels; the caps of
-    candidates and rows hold for each question. A null question is an empty one.
-    A graph that cannot be loaded gives the error modes."""
+    Routes and the labels that slots may mean are written first, each text once;
+    lookups read them. Names meet labels through the index of labels and facts by
+    their nodes, so no question meets all labels; the caps of candidates and rows
+    hold for each question. A null question is an empty one. A graph that cannot
+    be loaded gives the error modes."""
     taken = {c.lower() for c in questions.columns}
     for name in ("mode", "intent", "slots", "answer", "rows", "notes"):
         if name in taken:
             raise ValueError(f"the table of questions has a column {name} already")
-    routed = route_questions(questions, column)
-    asked = routed.where(F.col("route_type").isin("tool", "generated_sparql")).select("intent", F.col("slots").alias("_q")).distinct()
-    intents = [r.intent for r in asked.select("intent").distinct().collect()]  # of the fixed fifteen
     spark = questions.sparkSession
+    base = folder(spark, "questions")
+    routed = _written(route_questions(questions, column), f"{base}/routed")
+    asked = _written(routed.where(F.col("route_type").isin("tool", "generated_sparql")).select("intent", F.col("slots").alias("_q")).distinct(), f"{base}/asked")
+    intents = [r.intent for r in asked.select("intent").distinct().collect()]  # of the fixed fifteen
+    told, failed = spark.createDataFrame([], _ANSWER), None
     try:
         graph = kg() if callable(kg) else kg
-        parts = []
+        matches = _written(graph.indexed().asked(asked.select(F.explode("_q").alias("text")).distinct()), f"{base}/matches")
         for intent in sorted(intents):
             slots = asked.where(F.col("intent") == intent).select("_q")
-            rows = (TOOLS | TEMPLATES)[intent](graph, *[lookups.Asked(slots, i) for i in range(SLOTS.get(intent, 1))])
+            rows = (TOOLS | TEMPLATES)[intent](graph, *lookups.asked(graph, slots, matches)[: 1 + (intent in PAIRS)])
             said = answers.answer_each(rows, intent, slots, intent in TEMPLATES)
-            parts.append(said.select("_q", "answer", "rows", F.lit(intent).alias("_note"), F.lit(intent).alias("intent")))
-        told = reduce(DataFrame.unionByName, parts, spark.createDataFrame([], _ANSWER))
-        failed = None
+            told = told.unionByName(said.select("_q", "answer", "rows", F.lit(intent).alias("_note"), F.lit(intent).alias("intent")))
     except Exception as error:
         told, failed = spark.createDataFrame([], _ANSWER), str(error)
     told = told.select("_q", "answer", "rows", "_note", F.col("intent").alias("_i"))
@@ -116,6 +117,11 @@ def answer_questions(kg: KnowledgeGraph | Callable[[], KnowledgeGraph], question
     return joined.select(*questions.columns, mode.alias("mode"), "intent", "slots", F.coalesce(plain, "answer", error).alias("answer"), F.coalesce("rows", F.array().cast("array<map<string,string>>")).alias("rows"), notes.alias("notes"))
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_sparql(kg: KnowledgeGraph, text: str) -> ToolResult:
     """Ad-hoc SELECT text; a blank text is an error."""
     from lattica.plans.sparql import select
@@ -127,5 +133,7 @@ def run_sparql(kg: KnowledgeGraph, text: str) -> ToolResult:
 
 def health(kg: KnowledgeGraph) -> DataFrame:
     """(table, rows) of what a graph holds."""
+    from functools import reduce
+
     counts = [t.agg(F.count("*").alias("rows")).select(F.lit(n).alias("table"), "rows") for n, t in (("facts", kg.facts), ("labels", kg.labels), ("types", kg.types), ("others", kg.others))]
     return reduce(DataFrame.unionByName, counts)

@@ -19,6 +19,7 @@ from lattica.plans.graph import KnowledgeGraph
 from lattica.plans.model import DEFAULT_NAMESPACE as V
 from lattica.plans.model import LABEL, TRIPLES, Vocabulary
 from lattica.plans.routing import route_questions
+from lattica.plans.service import EMPTY, FALLBACK, answer_questions
 from lattica.plans.sparql import select
 from lattica.plans.sparql.texts import Texts
 from lattica.sources.starkg import NODE, node, star_graph
@@ -397,12 +398,109 @@ GOLDEN = (
 
 
 def _route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routed = route_questions(spark.createDataFrame([(q,) for q, *_ in GOLDEN], "question string"))
-    return routed.select("question", "route_type", F.coalesce("intent", F.lit("")).alias("intent"), F.array_join("slots", "|").alias("slots"))
+    """The golden questions about every customer, by a short name that keeps
+    their routes: the last two digits of its key."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", (F.col("c_custkey") % 90 + 10).cast("string").alias("name"))
+    texts = F.explode(F.array(*[F.lit(q) for q, *_ in GOLDEN]))
+    questions = customers.select("c_custkey", "name", texts.alias("question")).select("c_custkey", F.replace("question", F.lit("文彭"), "name").alias("question"))
+    routed = route_questions(questions)
+    return routed.select("c_custkey", "question", "route_type", F.coalesce("intent", F.lit("")).alias("intent"), F.array_join("slots", "|").alias("slots"))
 
 
 QUERIES["route_questions"] = _route
-ORACLE["route_questions"] = "SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{t}', '{i}', '{'|'.join(s)}')" for q, t, i, s in GOLDEN) + ") g(question, route_type, intent, slots)"
+_SHORT = "(c_custkey % 90 + 10)::VARCHAR"
+ORACLE["route_questions"] = (
+    f"SELECT c_custkey, replace(question, '文彭', {_SHORT}) AS question, route_type, intent, replace(slots, '文彭', {_SHORT}) AS slots FROM customer, (VALUES "
+    + ", ".join(f"('{q}', '{t}', '{i}', '{'|'.join(s)}')" for q, t, i, s in GOLDEN)
+    + ") g(question, route_type, intent, slots)"
+)
+
+#: What the questions of a table ask of a customer, by its key; 5 is a pair.
+_ASKED = {0: "的字是什么？", 1: "的号是什么？", 2: "的生卒年是什么？", 3: "属于什么流派？", 4: "的父亲是谁？", 6: "呢"}
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question about each customer, each nation, and an empty one a region."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
+    kind, text = F.col("c_custkey") % 7, F.lit(None).cast("string")
+    for k, tail in _ASKED.items():
+        text = F.when(kind == k, F.concat("c_name", F.lit(tail))).otherwise(text)
+    single = customer.where(kind != 5).select(F.concat(F.lit("c"), "c_custkey").alias("id"), text.alias("question"))
+    parent = customer.select(F.col("c_custkey").alias("p"), F.col("c_name").alias("p_name"))
+    pairs = customer.where(kind == 5).join(parent, F.floor(F.col("c_custkey") / 2) == F.col("p"))
+    pairs = pairs.select(F.concat(F.lit("c"), "c_custkey"), F.concat("p_name", F.lit("与"), "c_name", F.lit("是什么关系？")))
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("谁开创了"), "n_name", F.lit("？")))
+    regions = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.concat(F.lit("r"), "r_regionkey"), F.lit(" "))
+    return reduce(DataFrame.union, [single, pairs, nations, regions])
+
+
+def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All questions in one plan over the stored graph and its index."""
+    path = folder(spark, "answered-graph")
+    star_graph(spark, sf_dir).write(path)
+    got = answer_questions(KnowledgeGraph.read(spark, path), _questions(spark, sf_dir))
+    return got.select("id", "question", "mode", F.coalesce("intent", F.lit("")).alias("intent"), "answer", F.size("rows").alias("n_rows"))
+
+
+def _answered_sql() -> str:
+    tails = " ".join(f"WHEN {k} THEN '{t}'" for k, t in _ASKED.items())
+    kinds = "['courtesy_name', 'art_name', 'birth_death', 'school_membership', 'family_relations', 'pair_relations', NULL][k + 1]"
+    asked = (
+        f"qs AS MATERIALIZED (SELECT 'c' || c_custkey::VARCHAR AS id, c_name || CASE k {tails} END AS question, {kinds} AS intent, c_name AS a, NULL AS b FROM (SELECT *, c_custkey % 7 AS k FROM customer) WHERE k <> 5"
+        " UNION ALL SELECT 'c' || c.c_custkey::VARCHAR, p.c_name || '与' || c.c_name || '是什么关系？', 'pair_relations', p.c_name, c.c_name FROM customer c JOIN customer p ON p.c_custkey = c.c_custkey // 2 WHERE c.c_custkey % 7 = 5"
+        " UNION ALL SELECT 'n' || n_nationkey::VARCHAR, '谁开创了' || n_name || '？', 'school_founder', n_name, NULL FROM nation)"
+    )
+    named = "persons_named AS MATERIALIZED (SELECT DISTINCT node, label FROM persons)"
+    cand = (
+        "cand AS MATERIALIZED (SELECT q, person, label FROM (SELECT q, node AS person, label, row_number() OVER (PARTITION BY q ORDER BY node, label) AS r"
+        f" FROM (SELECT DISTINCT a AS q FROM qs WHERE intent NOT IN ('pair_relations', 'school_founder')) JOIN persons_named ON {'(contains(label, q) OR contains(q, label))'}) WHERE r <= 30)"
+    )
+    schools = (
+        "schools AS MATERIALIZED (SELECT q, school, schoolLabel FROM (SELECT q, node AS school, label AS schoolLabel, row_number() OVER (PARTITION BY q ORDER BY node, label) AS r"
+        " FROM (SELECT DISTINCT a AS q FROM qs WHERE intent = 'school_founder') JOIN (SELECT DISTINCT node, label FROM labels) ON (contains(label, q) OR contains(q, label))) WHERE r <= 30)"
+    )
+    pair_side = lambda n: f"(SELECT DISTINCT x.{n} AS q, p.node, p.label FROM qs x JOIN persons_named p ON contains(p.label, x.{n}) WHERE x.intent = 'pair_relations')"
+    sides = f"side_a AS MATERIALIZED {pair_side('a')}, side_b AS MATERIALIZED {pair_side('b')}, pairs AS MATERIALIZED (SELECT DISTINCT a, b FROM qs WHERE intent = 'pair_relations')"
+
+    def target(rel: str) -> tuple[str, str]:
+        return f"SELECT DISTINCT c.q, c.person, c.label, f.target, coalesce(l.label, '') AS o, coalesce(l.label, f.target) AS v FROM cand c JOIN facts f ON f.source = c.person AND f.rel_type = '{V}{rel}' LEFT JOIN labels l ON l.node = f.target", "person, label, target, o, v"
+
+    family = f"SELECT DISTINCT c.q, c.person, c.label, e.other, coalesce(l.label, e.other) AS o, e.tag, e.tag || '：' || coalesce(l.label, e.other) AS v FROM cand c JOIN ends e USING (person) LEFT JOIN labels l ON l.node = e.other"
+    birth = (
+        "SELECT c.q, c.person, c.label, coalesce(birthYear, '') AS x, coalesce(deathYear, '') AS y, CASE WHEN coalesce(birthYear, '') <> '' OR coalesce(deathYear, '') <> '' THEN trim(coalesce(birthYear, '') || ' - ' || coalesce(deathYear, ''), ' -') END AS v"
+        f" FROM cand c LEFT JOIN ({_years_sql('bornIn', 'birthYear')}) b USING (person) LEFT JOIN ({_years_sql('diedIn', 'deathYear')}) d USING (person)"
+    )
+    founder = f"SELECT DISTINCT s.q, f.source, coalesce(l.label, f.source) AS v, s.school, s.schoolLabel FROM schools s JOIN facts f ON f.target = s.school AND f.rel_type = '{V}foundsSchool' LEFT JOIN labels l ON l.node = f.source"
+    way = lambda x, y, tag: f"SELECT p.a || '、' || p.b AS q, a.label AS x, b.label AS y, f.rel_type, coalesce(l.label, '') AS o, '{tag}' AS tag FROM pairs p JOIN side_a a ON a.q = p.a JOIN side_b b ON b.q = p.b JOIN facts f ON f.{x} = a.node AND f.{y} = b.node LEFT JOIN labels l ON l.node = f.rel_type"
+    pair = f"SELECT *, tag || '：' || CASE WHEN o <> '' THEN o ELSE rel_type END AS v FROM (SELECT DISTINCT * FROM ({way('source', 'target', lookups.FORWARD)} UNION ALL {way('target', 'source', lookups.BACKWARD)}))"
+    rules = {
+        "courtesy_name": (*target("hasCourtesyName"), 30, True), "art_name": (*target("hasArtName"), 30, True), "school_membership": (*target("belongsToSchool"), 30, True),
+        "birth_death": (birth, "person, label, x, y", 20, False), "family_relations": (family, "person, label, other, o, tag", 40, False),
+        "school_founder": (founder, "source, v, school, schoolLabel", 20, True), "pair_relations": (pair, "x, y, rel_type, o, tag", 30, False),
+    }
+    parts = []
+    for intent, (rows, order, most, once) in rules.items():
+        placed = f"SELECT q, v, i FROM (SELECT q, v, row_number() OVER (PARTITION BY q ORDER BY {order}) AS i FROM ({rows})) WHERE i <= {most}"
+        kept = f"SELECT q, v, min(i) AS i FROM ({placed}) WHERE v IS NOT NULL GROUP BY q, v" if once else f"SELECT q, v, i FROM ({placed}) WHERE v IS NOT NULL"
+        listed = f"SELECT q, string_agg(v, '、' ORDER BY i) AS t FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY i) AS j FROM ({kept})) WHERE j <= 10 GROUP BY q"
+        name = answers.SHOWN[intent][1]
+        parts.append(
+            f"SELECT id, question, 'tool' AS mode, intent, CASE WHEN n IS NULL THEN '图谱中暂时没有查到与“' || s || '”相关的结果。' WHEN t IS NULL THEN '图谱里查到了“' || s || '”的候选实体，但还没有可展示的{name}信息。' ELSE '“' || s || '”的{name}信息包括：' || t END AS answer, coalesce(n, 0)::INT AS n_rows"
+            f" FROM (SELECT *, CASE WHEN b IS NULL THEN a ELSE a || '、' || b END AS s FROM qs WHERE intent = '{intent}') x LEFT JOIN (SELECT q, count(*) AS n FROM ({placed}) GROUP BY q) y ON y.q = x.s LEFT JOIN ({listed}) z ON z.q = x.s"
+        )
+    parts.append(f"SELECT id, question, 'fallback', '', '{FALLBACK}', 0 FROM qs WHERE intent IS NULL UNION ALL SELECT 'r' || r_regionkey::VARCHAR, ' ', 'empty', '', '{EMPTY}', 0 FROM region")
+    return _sql(" UNION ALL ".join(parts), asked, named, cand, schools, sides, _both_ends(f"WHERE rel_type = '{V}fatherOf'", lookups.CHILD, lookups.PARENT))
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lookup whose candidates come from the stored index of labels."""
+    path = folder(spark, "indexed-graph")
+    star_graph(spark, sf_dir).write(path)
+    return lookups.related_people(KnowledgeGraph.read(spark, path), TEN)
+
+
+QUERIES |= {"answer_questions": _answered, "indexed_lookup": _indexed}
+ORACLE |= {"answer_questions": _answered_sql(), "indexed_lookup": ORACLE["related_people"]}
 
 
 def _answer(function, intent: str, *slots: str) -> Query:
