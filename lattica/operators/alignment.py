@@ -60,6 +60,33 @@ def _same_era() -> Column:
     return F.coalesce(year("p_birth") <= year("e_death"), F.lit(True)) & F.coalesce(year("e_birth") <= year("p_death"), F.lit(True))
 
 
+def _without(names: DataFrame, most: int) -> DataFrame:
+    """(name, rest) for each name and what is left of it without up to ``most``
+    of its code points. Two names that so many edits lead from one to the other
+    share a rest."""
+    rest = F.array("name")
+    for _ in range(most):
+        shorter = lambda r: F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.concat(F.substring(r, F.lit(1), i - 1), F.substring(r, i + 1, F.length(r))))
+        all_shorter = F.flatten(F.transform(F.filter("_rest", lambda r: r != ""), shorter))
+        names = names.withColumn("_rest", rest).withColumn("_rest", F.array_distinct(F.concat("_rest", all_shorter)))
+        rest = F.col("_rest")
+    return names.select("name", F.explode(rest).alias("rest"))
+
+
+def match_names(people: DataFrame, external: DataFrame, most_edits: int = 1) -> DataFrame:
+    """(node, ext_id, edits, method): people (node, name) and external entries
+    (ext_id, name) whose names are equal or ``most_edits`` edits apart, whatever
+    else they have. Distinct names meet on what deletions leave of them, an
+    equality, and the edits are counted of those that do; no name meets all.
+    Null names match nothing."""
+    mine = _without(people.select("name").where("name is not null").distinct(), most_edits)
+    theirs = _without(external.select("name").where("name is not null").distinct(), most_edits).withColumnRenamed("name", "e_name")
+    pairs = mine.join(theirs, "rest").select("name", "e_name").distinct()
+    pairs = pairs.withColumn("edits", F.levenshtein("name", "e_name")).where(F.col("edits") <= most_edits)
+    found = people.select("node", "name").join(pairs, "name").join(external.select("ext_id", F.col("name").alias("e_name")), "e_name")
+    return found.select("node", "ext_id", "edits", F.when(F.col("edits") == 0, F.lit("exact")).otherwise(F.lit("fuzzy")).alias("method"))
+
+
 def resolve(matches: DataFrame) -> DataFrame:
     """(node, status, tier, ext_id, candidates): the best candidate of each
     person. One at tier 1 or 2 is aligned (2 to be checked by hand), several of

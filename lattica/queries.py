@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.lineage import folder
-from lattica.operators import alignment, extraction, lookups, network
+from lattica.operators import alignment, extraction, lookups, network, sameas
 from lattica.plans import answers
 from lattica.plans.graph import KnowledgeGraph
 from lattica.plans.model import DEFAULT_NAMESPACE as V
@@ -694,6 +694,67 @@ ORACLE["align_contested"] = (
     " CASE WHEN k % 3 = 0 THEN 'a/' || k ELSE 'a/' || k || ',b/' || k END AS candidates FROM (SELECT s_suppkey AS k FROM supplier)"
 )
 
+def _fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names without anything else in common: customers against entries that
+    leave out, double or change a letter."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
+    key = F.col("c_custkey")
+    name = F.when(key % 3 == 0, F.concat(F.lit("C"), F.substring("c_name", 3, 40))).when(key % 3 == 1, F.concat("c_name", F.lit("7"))).otherwise(F.replace("c_name", F.lit("#"), F.lit("-")))
+    external = c.where(key % 2 == 0).select(F.concat(F.lit("ext/"), key.cast("string")).alias("ext_id"), name.alias("name"))
+    return alignment.match_names(c.select(node("customer", "c_custkey").alias("node"), F.col("c_name").alias("name")), external)
+
+
+def _supplements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people, external, regions = _aligned_tables(spark, sf_dir)
+    resolved = alignment.resolve(alignment.match(people, external, regions))
+    return alignment.supplements(star_graph(spark, sf_dir), resolved, external.withColumn("birth", F.lit("1600"))).select("s", "p", "o", "o_kind")
+
+
+def _same(spark: SparkSession, sf_dir: str) -> KnowledgeGraph:
+    """The star graph with sameAs statements: chains of four customers, and each
+    supplier with a customer."""
+    kg = star_graph(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 4 <> 0").select(node("customer", "c_custkey").alias("s"), node("customer", F.col("c_custkey") - 1).alias("o"))
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(node("customer", F.col("s_suppkey") * 3).alias("s"), node("supplier", "s_suppkey").alias("o"))
+    said = c.unionByName(s).select("s", F.lit("iri").alias("s_kind"), F.lit(sameas.SAME).alias("p"), "o", F.lit("iri").alias("o_kind"), none.alias("o_datatype"), none.alias("o_lang"))
+    return replace(kg, others=kg.others.unionByName(said))
+
+
+def _same_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sameas.same_as(_same(spark, sf_dir))
+
+
+def _same_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of the merged graph, and how many stood under other names."""
+    kg, provenance = sameas.merged(_same(spark, sf_dir))
+    facts = kg.facts.join(provenance.select("fact_id", F.lit(1).alias("was")), "fact_id", "left")
+    return facts.groupBy("rel_type", "source", "target").agg(F.count("*").alias("n"), F.count("was").alias("n_rewritten"))
+
+
+QUERIES |= {"align_fuzzy_names": _fuzzy_names, "align_supplements": _supplements, "same_as_classes": _same_classes, "same_as_facts": _same_facts}
+ORACLE["align_fuzzy_names"] = (
+    f"SELECT node, ext_id, edits, CASE edits WHEN 0 THEN 'exact' ELSE 'fuzzy' END AS method FROM (SELECT {_n('customer', 'c.c_custkey')} AS node, ext_id, levenshtein(c.c_name, name)::INT AS edits FROM customer c JOIN"
+    " (SELECT 'ext/' || c_custkey::VARCHAR AS ext_id, CASE c_custkey % 3 WHEN 0 THEN 'C' || substr(c_name, 3, 40) WHEN 1 THEN c_name || '7' ELSE replace(c_name, '#', '-') END AS name FROM customer WHERE c_custkey % 2 = 0) e"
+    " ON abs(length(name) - length(c.c_name)) <= 1) WHERE edits <= 1"
+)
+_C = "c_custkey % 4"
+ORACLE["align_supplements"] = (
+    f"SELECT {_n('customer', 'c_custkey')} AS s, '{V}alignmentStatus' AS p, ['aligned', 'aligned', 'partial', 'insufficient_data'][{_C} + 1] AS o, 'literal' AS o_kind FROM customer"
+    f" UNION ALL SELECT {_n('customer', 'c_custkey')}, '{V}alignmentMethod', 'tier-' || ({_C} + 1)::VARCHAR, 'literal' FROM customer WHERE {_C} < 3"
+    f" UNION ALL SELECT {_n('customer', 'c_custkey')}, unnest(['{sameas.SAME}', '{V}cbdbId', '{V}bornIn']), unnest(['ext/' || c_custkey::VARCHAR, 'ext/' || c_custkey::VARCHAR, '1600']), unnest(['iri', 'literal', 'literal']) FROM customer WHERE {_C} < 2"
+)
+_SAME = (
+    f"said AS (SELECT {_n('customer', 'c_custkey')} AS a, {_n('customer', 'c_custkey - 1')} AS b FROM customer WHERE c_custkey % 4 <> 0 UNION ALL SELECT {_n('customer', 's_suppkey * 3')}, {_n('supplier', 's_suppkey')} FROM supplier),"
+    " edges AS MATERIALIZED (SELECT a, b FROM said UNION SELECT b, a FROM said), reach AS (SELECT DISTINCT a, a AS b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),"
+    " same AS MATERIALIZED (SELECT a AS node, min(b) AS canonical FROM reach GROUP BY a)"
+)
+ORACLE["same_as_classes"] = f"WITH RECURSIVE {_SAME} SELECT node, canonical FROM same"
+ORACLE["same_as_facts"] = (
+    f"WITH RECURSIVE {GRAPH_SQL}, {_SAME} SELECT rel_type, coalesce(x.canonical, source) AS source, coalesce(y.canonical, target) AS target, count(*) AS n,"
+    " count(CASE WHEN x.canonical <> source OR y.canonical <> target THEN 1 END) AS n_rewritten FROM facts LEFT JOIN same x ON x.node = source LEFT JOIN same y ON y.node = target GROUP BY 1, 2, 3"
+)
+
 QUERIES["triples_scan"] = lambda spark, sf_dir: star_graph(spark, sf_dir).triples().groupBy("p", "o_kind").agg(F.count("*").alias("n"))
 ORACLE["triples_scan"] = _sql(
     "SELECT p, o_kind, count(*) AS n FROM ("
