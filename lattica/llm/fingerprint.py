@@ -146,8 +146,9 @@ def with_next(rows: DataFrame, key: str, text: str, carry: list[str], range_byte
     """
     spark = rows.sparkSession
     order, tie = F.coalesce(F.col(key), F.lit(-(1 << 63))), F.shiftrightunsigned(F.xxhash64(text), 11)
-    total = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    ranges = min(fan * fan, max(8 * shuffle_partitions(spark), total // range_bytes))
+    total, count = rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.count("*")).first()
+    # Never more ranges than a few rows each, whatever the partitions.
+    ranges = max(2, min(fan * fan, max(8 * shuffle_partitions(spark), total // range_bytes), count // 16))
     shares = F.split(F.lit(",".join(str(i / ranges) for i in range(1, ranges))), ",").cast("array<double>")
     cuts = rows.select(F.percentile_approx(order, shares, F.lit(10 * ranges)).alias("c")).first()["c"] or []
     hot = {c: n for c, n in Counter(cuts).items() if n > 1}
@@ -158,9 +159,8 @@ def with_next(rows: DataFrame, key: str, text: str, carry: list[str], range_byte
     group = below(_longs([g[-1] for g in groups]))
     lists = F.split(F.lit(";".join(",".join(map(str, g)) for g in groups)), ";")
     part = F.when(group < len(groups), group * fan + below(F.coalesce(F.split(F.get(lists, group), ",").cast("array<bigint>"), _longs([])))).otherwise(len(groups) * fan)
-    pieces = F.lit(1)
-    for c, n in hot.items():  # fewer than ``ranges`` keys
-        pieces = F.when(F.col("_order") == c, F.lit(n)).otherwise(pieces)
+    # A hot key is alone between its bounds, so its pieces go by the part.
+    pieces = F.coalesce(F.get(_longs([hot.get(b, 1) for b in bounds]), part), F.lit(1)) if hot else F.lit(1)
     sub = F.least(F.floor(F.col("_tie") / F.lit(float(1 << 53)) * pieces), pieces - 1)
     held = rows.withColumn("_order", order).withColumn("_tie", tie).withColumn("_range", (part.cast("long") * (fan * fan) + sub.cast("long")))
     w = Window.partitionBy("_range").orderBy(F.col("_order").desc(), F.col("_tie").desc(), F.col(text).desc())

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from lattica.llm import fingerprint as fp
@@ -115,3 +116,22 @@ def test_one_id_that_holds_most_rows(documents):
     ordered = fp.with_next(documents(rows).select("doc_id", "text"), "doc_id", "text", ["text"]).collect()
     assert Counter(r.next_text for r in ordered) == Counter(t for _, t in rows)  # a ring: each text follows once
     assert following.total() == 330
+
+
+@pytest.mark.parametrize(("partitions", "ids", "copies"), [(200, 600, 1), (200, 500, 20), (2000, 1, 1), (2000, 300, 2)])
+def test_more_partitions_than_rows(spark, documents, partitions, ids, copies):
+    """Spark's default partitions and many, over few rows and repeated ids."""
+    rows = [(i, f"text {i} {k} " + "x" * (i % 7)) for i in range(ids) for k in range(copies)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = fp.edit_report(documents(rows)).select("doc_id", "edited_sha256").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == len(rows)
+    if copies == 1:
+        text, after = dict(rows), {i: ids - 1 if i == 0 else i - 1 for i in range(ids)}
+        for r in got:
+            mine, third = text[r.doc_id], len(text[r.doc_id]) // 3
+            edited = mine[: len(mine) - third] + text[after[r.doc_id]][:third]
+            assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
