@@ -23,6 +23,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--temperature", type=float, default=0.1)
     p.add_argument("--device", default="auto")
     p.add_argument("--load-in-4bit", action="store_true")
+    p.add_argument("--responses", default=None, help="folder that keeps the model's responses, so that a run that broke off goes on")
     return p
 
 
@@ -32,7 +33,7 @@ def main(args: Sequence[str] | None = None, client=None, spark: SparkSession | N
     ship(spark)
     if client is None:
         client = local_model(model_dir=a.model_dir, max_new_tokens=a.max_new_tokens, temperature=a.temperature, device=a.device, load_in_4bit=a.load_in_4bit)
-    found = extract(read_records(spark, a.input), client, a.limit)
+    found = extract(read_records(spark, a.input), client, a.limit, store=a.responses)
     if a.output.endswith(".json"):
         export_array(found, a.output, "record_id")
     else:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.functions.text import strip
+from lattica.operators import responses
 from lattica.plans.model import ATTRIBUTE, ENTITY, RELATION
 
 #: The instructions that models are given; the field names and the three slots
@@ -65,9 +66,15 @@ def prompt() -> Column:
     return strip(F.concat(*parts, F.lit(rest)))
 
 
-def respond(records: DataFrame, client: Callable[[], Client]) -> DataFrame:
-    """The records with the model's ``response``; ``client`` makes one."""
+def respond(records: DataFrame, client: Callable[[], Client], store: str | None = None) -> DataFrame:
+    """The records with the model's ``response``; ``client`` makes one. With a
+    ``store`` (a folder, see ``responses``) a prompt is sent once for good, and
+    now; without one it is sent whenever the rows are asked for."""
     asked = records.withColumn("_prompt", prompt())
+    if store is not None:
+        keyed = asked.withColumn("_key", responses.key(F.col("_prompt")))
+        got = responses.once(keyed, client, store, response_text)
+        return keyed.join(got, F.col("_key") == F.col("key"), "left").select(*records.columns, "response")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields) + ", response string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,13 +148,14 @@ def parse(responses: DataFrame, mode: str = "abort") -> DataFrame:
     return out.drop("_parsed", "response", *(["_error"] if mode == "abort" else []))
 
 
-def extract(records: DataFrame, client: Callable[[], Client], limit: int | None = None, mode: str = "abort") -> DataFrame:
-    """The whole job as one plan; a limit keeps the first records by id."""
+def extract(records: DataFrame, client: Callable[[], Client], limit: int | None = None, mode: str = "abort", store: str | None = None) -> DataFrame:
+    """The whole job as one plan; a limit keeps the first records by id. A
+    ``store`` keeps the responses."""
     if limit is not None:
         if limit < 0:
             raise ValueError("the limit is negative")
         records = records.orderBy("record_id").limit(limit)
-    return parse(respond(records, client), mode)
+    return parse(respond(records, client, store), mode)
 
 
 def flatten(extracted: DataFrame, part: str) -> DataFrame:

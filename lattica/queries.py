@@ -22,6 +22,7 @@ from lattica.plans.routing import route_questions
 from lattica.plans.service import EMPTY, FALLBACK, answer_questions
 from lattica.plans.sparql import select
 from lattica.plans.sparql.texts import Texts
+from lattica.sources.records import write_json
 from lattica.sources.starkg import NODE, node, star_graph
 from lattica.sources.turtle import read_ntriples, read_turtle, write_turtle
 
@@ -612,14 +613,40 @@ class _Stub:
         return f"```json\n{body}\n```" if int(record_id) % 2 == 0 else body
 
 
+class _Careless(_Stub):
+    """One that answers in prose for ids that end in 3."""
+
+    def invoke(self, prompt: str) -> str:
+        record_id = prompt.split("记录编号：", 1)[1].split("\n", 1)[0]
+        return "I cannot say." if record_id.endswith("3") else super().invoke(prompt)
+
+
+#: The folders of kept responses of this driver, by application, tables and client.
+_KEPT: dict[tuple[str, str, str], str] = {}
+
+
+def _extracted(spark: SparkSession, sf_dir: str, client=_Stub, mode: str = "abort") -> DataFrame:
+    """Whole documents as records; a prompt is sent once for all queries."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    named = F.concat_ws("|", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), "lang", "source")
+    records = docs.select(F.col("doc_id").cast("string").alias("record_id"), named.alias("person_name"), F.col("text").alias("source_text"), F.col("n_chars").alias("text_length"))
+    at = (spark.sparkContext.applicationId, sf_dir, client.__name__)
+    if at not in _KEPT:
+        _KEPT[at] = folder(spark, "responses")
+    return extraction.extract(records, client, mode=mode, store=_KEPT[at])
+
+
 def _extract(part: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-        named = F.concat_ws("|", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), "lang", "source")
-        records = docs.select(F.col("doc_id").cast("string").alias("record_id"), named.alias("person_name"), F.col("text").alias("source_text"), F.col("n_chars").alias("text_length"))
-        return extraction.flatten(extraction.extract(records, _Stub), part)
+    return lambda spark, sf_dir: extraction.flatten(_extracted(spark, sf_dir), part)
 
-    return run
+
+def _quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose response is no JSON are set aside, the others go on; all
+    are exported as one array and read back."""
+    path = f"{folder(spark, 'exported')}/records"
+    found = _extracted(spark, sf_dir, _Careless, "quarantine")
+    write_json(found.select("record_id", "person_name", F.coalesce("_error", F.lit("")).alias("error"), F.coalesce(F.size("attributes"), F.lit(-1)).alias("n")), path)
+    return spark.read.schema("record_id string, person_name string, error string, n int").json(path)
 
 
 for _part in ("entities", "attributes", "relations"):
@@ -633,6 +660,9 @@ ORACLE["extract_attributes"] = (
 )
 ORACLE["extract_relations"] = f"SELECT {_DOC}, 0 AS position, {_WHO} AS source, 'from' AS relation, source AS target, '' AS evidence FROM documents"
 
+QUERIES["extract_quarantine"] = _quarantine
+ORACLE["extract_quarantine"] = f"SELECT {_DOC}, {_WHO} || '|' || lang || '|' || source AS person_name, CASE WHEN doc_id % 10 = 3 THEN 'not JSON' ELSE '' END AS error, CASE WHEN doc_id % 10 = 3 THEN -1 ELSE 2 END AS n FROM documents"
+
 # --- alignment and scans -----------------------------------------------------------------
 
 

@@ -82,3 +82,56 @@ def test_command_line_and_clients(spark, tmp_path):
         with pytest.raises(RuntimeError, match="transformers"):
             LocalModel("none").invoke("x")
     assert sparql_prompt("谁？").endswith("问题：谁？\nSPARQL：") and sparql_prompt("谁？").count("SELECT") >= 5
+
+
+class Counting:
+    """Writes down each prompt's record; breaks at one record while a file is there."""
+
+    def __init__(self, log, trap):
+        self.log, self.trap = log, trap
+
+    def invoke(self, prompt):
+        rid = prompt.split("记录编号：")[1].split("\n")[0]
+        if rid == "r7" and self.trap.exists():
+            raise OSError("the model is gone")
+        with self.log.open("a") as out:
+            out.write(rid + "\n")
+        return json.dumps(GOOD, ensure_ascii=False)
+
+
+def test_a_prompt_is_sent_once(spark, tmp_path):
+    log, trap, store = tmp_path / "log", tmp_path / "trap", f"file://{tmp_path}/store"
+    trap.touch()
+    table = spark.createDataFrame([(f"r{i % 30}", "x", f"text {i % 30}", 6) for i in range(60)], ex_schema := "record_id string, person_name string, source_text string, text_length long")
+    client = lambda: Counting(log, trap)
+    with pytest.raises(Exception, match="the model is gone"):
+        ex.extract(table, client, store=store)
+    before = log.read_text().split()
+    trap.unlink()
+    got = ex.extract(table, client, store=store)
+    parts = [ex.flatten(got, part).count() for part in ("entities", "attributes", "relations")]
+    assert parts == [60, 60, 0] and got.columns == ex.extract(table, client).columns
+    assert sorted(log.read_text().split()[: len(before)]) == sorted(before) and sorted(log.read_text().split()) == sorted({f"r{i}" for i in range(30)})
+    more = spark.createDataFrame([("r30", "x", "text 30", 7), ("r1", "x", "text 1", 6), (None, None, None, None)], ex_schema)
+    assert ex.respond(more.where("record_id is not null"), client, store).count() == 2
+    assert len(log.read_text().split()) == 31
+
+
+def test_a_task_goes_on_where_its_earlier_attempt_ended(tmp_path):
+    from lattica.operators import responses
+
+    sent, at = [], f"file://{tmp_path}/part-0"
+
+    def ask(prompt):
+        if prompt == "p5" and sent.count("broken") == 0:
+            sent.append("broken")
+            raise OSError
+        sent.append(prompt)
+        return prompt.upper()
+
+    rows = [(f"k{i}", f"p{i}") for i in range(9)]
+    with pytest.raises(OSError):
+        list(responses.send(iter(rows), ask, at, every=0.0))
+    (tmp_path / "part-0" / ".half.parquet").write_bytes(b"PAR1 broken")
+    assert sum(responses.send(iter(rows), ask, at)) == 4
+    assert sorted(s for s in sent if s != "broken") == sorted(p for _, p in rows) and responses._known(at) == {k for k, _ in rows}
