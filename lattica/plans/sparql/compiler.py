@@ -55,6 +55,27 @@ def _kind(column: str) -> Column:
     return F.when(F.col(column) == "literal", "l").when(F.col(column) == "bnode", "b").otherwise("i")
 
 
+def doubled(step: DataFrame) -> DataFrame:
+    """(s, o) of all pairs with one or more steps between them.
+
+    After k rounds all pairs at a distance of up to 2^k are known, with their
+    distance. A pair at up to twice that is a known pair followed by one at 2^k
+    exactly, so a round joins what is known with the pairs at its greatest
+    distance, and rounds grow with the logarithm of the longest way. Cycles have
+    no longer shortest ways, so they end too. Each pair is written once."""
+    reach, known = 1, [cut(step.select("s", "o").distinct().withColumn("d", F.lit(1)))]
+    last = known[0]
+    while not last.isEmpty():
+        seen = reduce(DataFrame.unionByName, known)
+        ahead = last.select(F.col("s").alias("_m"), F.col("o").alias("_o"))
+        met = seen.join(ahead, F.col("o") == F.col("_m")).groupBy("s", F.col("_o").alias("o")).agg((F.min("d") + reach).alias("d"))
+        found = cut(met.join(seen.select("s", "o"), ["s", "o"], "left_anti"))
+        reach *= 2
+        known.append(found)
+        last = found.where(F.col("d") == reach)
+    return reduce(DataFrame.unionByName, known).select("s", "o")
+
+
 class Compiler:
     def __init__(self, kg: KnowledgeGraph):
         self.kg, self.v = kg, kg.vocabulary
@@ -146,13 +167,16 @@ class Compiler:
 
     def closure(self, step: DataFrame, s, o) -> DataFrame:
         """One or more steps: the frontier grows until it finds no new pair, so
-        cycles end. From a given end only what it reaches is visited."""
+        cycles end. From a given end only what it reaches is visited; between
+        two variables the steps double."""
+        if isinstance(s, Var) and isinstance(o, Var):
+            return doubled(step)
         backward = isinstance(s, Var) and not isinstance(o, Var)
         if backward:
             step = step.select(F.col("o").alias("s"), F.col("s").alias("o"))
         start = o if backward else s
         step = cut(step)
-        frontier = cut(step if isinstance(start, Var) else step.where(F.col("s") == constant(start)))
+        frontier = cut(step.where(F.col("s") == constant(start)))
         found = [frontier]
         while not frontier.isEmpty():
             seen = reduce(DataFrame.unionByName, found)

@@ -305,11 +305,15 @@ _TREE = f"{NODE}customer/1"
 
 
 def _descendants(spark: SparkSession, sf_dir: str, path: str = f"{_P}:childOf+") -> DataFrame:
+    return _tree(spark, sf_dir, f"SELECT ?d WHERE {{ <{_TREE}> {path} ?d }}")
+
+
+def _tree(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     kg = star_graph(spark, sf_dir)
     none = F.lit(None).cast("string")
     step = kg.facts_of("fatherOf").select(F.col("source").alias("s"), F.lit("iri").alias("s_kind"), F.lit(V + "childOf").alias("p"), F.col("target").alias("o"), F.lit("iri").alias("o_kind"), none.alias("o_datatype"), none.alias("o_lang"))
     tree = replace(kg, others=kg.others.unionByName(step))
-    return select(tree, f"{_HEAD}\nSELECT ?d WHERE {{ <{_TREE}> {path} ?d }}")
+    return select(tree, f"{_HEAD}\n{text}")
 
 
 QUERIES["sparql_path_plus"] = _descendants
@@ -329,6 +333,17 @@ for _name, _path, _body in (
     ORACLE[_name] = f"SELECT '{NODE}customer/' || c_custkey::VARCHAR AS d FROM customer WHERE {_body}"
 
 
+def _descendant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark, sf_dir, f"SELECT ?a ?b WHERE {{ ?a {_P}:childOf+ ?b }}")
+
+
+QUERIES["sparql_path_pairs"] = _descendant_pairs
+ORACLE["sparql_path_pairs"] = (
+    "WITH RECURSIVE down AS (SELECT c_custkey // 2 AS a, c_custkey AS b FROM customer WHERE c_custkey >= 1 UNION SELECT d.a, c.c_custkey FROM customer c JOIN down d ON c.c_custkey // 2 = d.b AND c.c_custkey >= 1)"
+    f" SELECT '{NODE}customer/' || a::VARCHAR AS a, '{NODE}customer/' || b::VARCHAR AS b FROM down"
+)
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lookup over the graph's stored layout, written and read again."""
     path = folder(spark, "stored-graph")
