@@ -264,7 +264,8 @@ class Compiler:
 
     def exists(self, rel: Rel, e: Exists) -> Rel:
         """A semi-join with the inner pattern. Its filters that name variables
-        of the outer pattern alone, not its own, become part of the condition."""
+        of the outer pattern alone, not its own, become part of the condition;
+        equalities among them become keys of the join."""
         how = "left_anti" if e.negated else "left_semi"
         body, filters = [x for x in e.group if x[0] != "filter"], [x[1] for x in e.group if x[0] == "filter"]
         inner = self.group(body)
@@ -283,8 +284,20 @@ class Compiler:
         certain = rel.certain | inner.certain
         columns = {n: values.get(n, rel.df[col(n)]) for n in rel.names} | {n: df[col(n)] for n in inner.names - rel.names}
         scope = Scope(Rel(rel.df, certain, (rel.names | inner.names) - certain), self, columns)
-        for f in lifted:
+        keyed = on is not None and all(n in rel.certain and n in inner.certain for n in rel.names & inner.names)
+        mine = (rel.names - inner.names) | (rel.names & rel.certain)
+        for f in [c for f in lifted for c in _conjuncts(f)]:
             on = scope.truth(f) if on is None else on & scope.truth(f)
+            if getattr(f, "name", None) == "=":
+                # Equal values share a key, which Spark can deal both sides by.
+                for a, b in (f.args, f.args[::-1]):
+                    if _variables(a) and _variables(b) and _variables(a) <= mine and _variables(b) <= inner.names - rel.names:
+                        x, y = scope.key(a), scope.key(b)
+                        if x is not None and y is not None:
+                            on, keyed = on & (x == y), True
+        if not keyed and df.limit(MOST_UNKEYED + 1).count() > MOST_UNKEYED:
+            # Without a key Spark sends the inner side to all tasks.
+            raise SparqlError(f"EXISTS compares more than {MOST_UNKEYED} inner rows without an equality; state one")
         return Rel(rel.df.join(df, on, how), rel.certain, rel.maybe)
 
     def values(self, names: list[str], rows: list) -> Rel:
@@ -369,6 +382,14 @@ class Compiler:
 # --- variables of expressions -------------------------------------------------------------
 
 
+#: Rows of an inner pattern that may be compared with all outer rows.
+MOST_UNKEYED = 100_000
+
+
+def _conjuncts(e) -> list:
+    return _conjuncts(e.args[0]) + _conjuncts(e.args[1]) if getattr(e, "name", None) == "&&" else [e]
+
+
 def _variables(e) -> set[str]:
     """The variables that an expression names, those inside EXISTS as well."""
     if isinstance(e, Var):

@@ -138,6 +138,19 @@ class Scope:
             return F.when(both, self.number(a) == self.number(b)).otherwise(same)
         return same
 
+    def key(self, e) -> Column | None:
+        """What equal values have in common: the number, or else the text. None
+        for truth values, which have no such text."""
+        v = self.value(e)
+        if v.kind == "boolean":
+            return None
+        number = lambda n: F.concat(F.lit("n"), (n + F.lit(0.0)).cast("string"))
+        if v.kind in ("number", "whole"):
+            return number(v.col.try_cast("double"))
+        if v.kind == "string":
+            return F.concat(F.lit("t"), v.col)
+        return F.coalesce(number(self.number(e)), F.concat(F.lit("t"), v.col["v"]))
+
     def less(self, a, b, op: str) -> Column:
         compare = {"<": lambda x, y: x < y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, ">=": lambda x, y: x >= y}[op]
         x, y = self.value(a), self.value(b)

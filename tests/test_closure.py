@@ -2,7 +2,12 @@
 
 import random
 
-from lattica.plans.sparql import compiler
+import pytest
+
+from lattica.plans.graph import KnowledgeGraph
+from lattica.plans.sparql import compiler, select
+from lattica.plans.sparql.syntax import SparqlError
+from lattica.sources.turtle import parse_turtle
 
 
 def plain(edges):
@@ -36,3 +41,29 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     n = 700
     got = compiler.doubled(spark.range(n).selectExpr("cast(id as string) as s", "cast(id + 1 as string) as o"))
     assert got.count() == n * (n + 1) // 2 and len(made) <= 12
+
+
+@pytest.fixture(scope="module")
+def numbers(spark):
+    text = "@prefix : <urn:t:> . :a :v 1 . :b :v 1.0 . :c :v '1' . :d :v 2 . :e :v 'x'@en . :f :v 'x' . :g :v true . :p :w 1.00 . :q :w '1' . :r :w 'x'@EN . :s :w 3 . :u :w -0.0 . :h :v 0 ."
+    return KnowledgeGraph.from_triples(spark.createDataFrame(parse_turtle(text), "s string, s_kind string, p string, o string, o_kind string, o_datatype string, o_lang string"))
+
+
+def asked(kg, inside, negated=""):
+    return sorted(r.x.removeprefix("urn:t:") for r in select(kg, f"PREFIX : <urn:t:> SELECT ?x {{ ?x :v ?n FILTER {negated} EXISTS {{ ?y :w ?m FILTER({inside}) }} }}").collect())
+
+
+def test_equalities_of_exists_are_keys(numbers, monkeypatch):
+    assert asked(numbers, "?m = ?n") == ["a", "b", "c", "e", "h"]
+    assert asked(numbers, "?n = ?m", "NOT") == ["d", "f", "g"]
+    assert asked(numbers, "?m + 1 = ?n + 1") == ["a", "b", "h"]
+    assert asked(numbers, "STR(?m) = STR(?n)") == ["a", "c", "e", "f"]
+    assert asked(numbers, "?m = ?n && ?m > 0") == ["a", "b"]
+    assert asked(numbers, "STRLEN(STR(?m)) = ?n") == ["a", "b"]
+    plan = select(numbers, "PREFIX : <urn:t:> SELECT ?x { ?x :v ?n FILTER EXISTS { ?y :w ?m FILTER(?m = ?n) } }")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert asked(numbers, "?m > ?n") == ["a", "b", "c", "d", "g", "h"]
+    monkeypatch.setattr(compiler, "MOST_UNKEYED", 2)
+    with pytest.raises(SparqlError, match="without an equality"):
+        asked(numbers, "?m > ?n")
+    assert asked(numbers, "?m = ?n") == ["a", "b", "c", "e", "h"]
