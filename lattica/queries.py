@@ -295,6 +295,11 @@ _ad_hoc(
     f"SELECT ?y (MIN(?n) AS ?low) (MAX(?n) AS ?high) (SUM(?n) AS ?total) (AVG(?n) AS ?mean) (SAMPLE(?y) AS ?any) WHERE {{ ?s a {_P}:School ; rdfs:label ?l BIND(STRLEN(?l) AS ?y) BIND(2 * STRLEN(?l) AS ?n) }} GROUP BY ?y",
     "SELECT length(n_name)::VARCHAR AS y, (2 * length(n_name))::VARCHAR AS low, (2 * length(n_name))::VARCHAR AS high, sum(2 * length(n_name))::BIGINT::VARCHAR AS total, (2 * length(n_name))::VARCHAR AS mean, length(n_name)::VARCHAR AS \"any\" FROM nation GROUP BY length(n_name)",
 )
+_ad_hoc(
+    "sparql_aggregate_values",
+    f"SELECT ?y (MIN(?n) AS ?low) (MAX(?n) AS ?high) (SUM(?n) AS ?total) (AVG(?n) AS ?mean) (COUNT(DISTINCT ?n) AS ?many) WHERE {{ ?s a {_P}:School ; rdfs:label ?l BIND(STRLEN(?l) AS ?y) BIND(xsd:integer(STRAFTER(?l, 'NATION_')) AS ?n) }} GROUP BY ?y",
+    "SELECT length(n_name)::VARCHAR AS y, min(k)::VARCHAR AS low, max(k)::VARCHAR AS high, sum(k)::BIGINT::VARCHAR AS total, CASE WHEN avg(k) = floor(avg(k)) THEN avg(k)::BIGINT::VARCHAR ELSE avg(k)::VARCHAR END AS mean, count(DISTINCT k)::VARCHAR AS many FROM (SELECT n_name, split_part(n_name, '_', 2)::INT AS k FROM nation) GROUP BY length(n_name)",
+)
 _ad_hoc(
     "sparql_optional_union",
     f"SELECT ?p ?k ?l WHERE {{ {{ ?p a {_P}:School BIND('school' AS ?k) }} UNION {{ ?p a {_P}:Time BIND('time' AS ?k) }} OPTIONAL {{ ?p rdfs:label ?l }} }}",
