@@ -8,10 +8,9 @@ to share one path at every depth), and a set descends to the child named by
 its minwise token there. A node of at most ``small`` sets is compared
 exhaustively; larger ones branch on down to ``depth``. A node that is still
 large there holds sets that agree in many minwise tokens; it is dealt out in
-chunks which all hold its smallest document (its pivot), and what does not get
-into the pivot's component is compared with all of the node: by estimates in
-large blocks of signatures, and where those leave a pair, on full sets in blocks
-of texts.
+chunks which all hold its smallest document (its pivot). If that leaves more than
+one component in it, its sets meet by their rarest shingles, exactly and in
+whatever number (``rare_prefix``), so deeper branching would find nothing more.
 
 Comparison is in two steps: estimates over ``COORDINATES`` 8-bit minwise
 tokens (corrected for chance agreement), at a threshold that a pair to be linked
@@ -40,15 +39,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Forest, Scratch, components, give_back, groups, rows_of, shuffle_partitions
+from lattica.llm import rare_prefix
+from lattica.llm.common import Scratch, components, give_back, rows_of, shuffle_partitions
 
 COORDINATES = 128
 TREES = 10
 DEPTH = 4
 SMALL = 32
 CHUNK = 256
-BLOCK = 65_536
-SIGNATURES = 8192
 BEST = 2
 
 
@@ -322,100 +320,17 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int, scratch
     return found
 
 
-def _likely(placed: DataFrame, signed: DataFrame, least: float) -> DataFrame:
-    """(head, i, j, role, rep, label): the members (role 0) and outsiders (role
-    1) of each family that have an estimated partner of another label, with the
-    block i of the member and j of the outsider. A cell compares about
-    ``SIGNATURES`` members with as many outsiders."""
-    grid = lambda n, mine, role: [F.pmod(F.xxhash64(F.lit(7), "rep"), F.col(mine)).cast("int").alias(f"g{role}"), F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(f"g{1 - role}")]
-    columns = ["head", "rep", "label", "i", "j"]
-    inside = placed.select(*columns, *grid("rows_high", "rows_wide", 0)).withColumn("role", F.lit(0))
-    outside = placed.where("label <> head").select(*columns, *grid("rows_wide", "rows_high", 1)).withColumn("role", F.lit(1))
-    held = inside.unionByName(outside).withColumn("cell", F.xxhash64("head", "g0", "g1")).drop("g0", "g1")
-    held = held.join(signed, F.col("rep") == F.col("r")).select("cell", "role", *columns, "sig")
+def _tokens(sets: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(rep, token) of the distinct shingles of the sets (rep)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table in groups(batches):
-            role, head, rep, label, i, j = (table[c].to_numpy() for c in ("role", "head", "rep", "label", "i", "j"))
-            sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
-            members, others = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-            # What each row meets is marked by block and leaves the cell once, whatever the number of its partners.
-            (rows_i, at_i), (rows_j, at_j) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
-            met = np.zeros((len(role), max(len(rows_i), len(rows_j))), bool)
-            for lo in range(0, len(others), 16):
-                some = others[lo : lo + 16]
-                for at in range(0, len(members), 1024):
-                    part = members[at : at + 1024]
-                    near = (sig[some][:, None, :] == sig[part][None, :, :]).mean(axis=2) >= least
-                    o, m = np.nonzero(near & (label[some][:, None] != label[part][None, :]) & (head[some][:, None] == head[part][None, :]))
-                    o, m = some[o], part[m]
-                    met[m, at_j[o]] = True
-                    met[o, at_i[m]] = True
-            r, block = np.nonzero(met)
-            if len(r):
-                inside = role[r] == 0
-                own_i = np.where(inside, i[r], rows_i[np.minimum(block, len(rows_i) - 1)])
-                own_j = np.where(inside, rows_j[np.minimum(block, len(rows_j) - 1)], j[r])
-                found = [head[r], own_i, own_j, role[r], rep[r], label[r]]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], ["head", "i", "j", "role", "rep", "label"])
+        for batch in rows_of(batches, 1 << 20):
+            items = [shingles(t.as_py(), width) for t in batch.column(1)]
+            reps = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in items])
+            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(np.concatenate(items).astype(np.int64))], ["rep", "token"])
         give_back()
 
-    spread = held.repartition(shuffle_partitions(placed.sparkSession), "cell").sortWithinPartitions("cell")
-    return spread.mapInArrow(run, "head long, i long, j long, role long, rep long, label long").distinct()
-
-
-def _families(rows: DataFrame, sizes: DataFrame, signed: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int, least: float, scratch: Scratch) -> DataFrame:
-    """Links (a, b) from what is outside the component of its node's pivot to
-    all of the node, on full sets where the signatures leave a pair. Large nodes
-    whose pivots are in one component are one family. A cell compares a block of
-    outsiders with a block of the family, each of about ``BLOCK`` shingles, and
-    gives the links that join components only, so neither the memory of a task
-    nor the rows that leave it grow with the family.
-    """
-    heads = labels.select(F.col("node").alias("pivot"), F.col("component").alias("head"))
-    family = rows.join(heads, "pivot", "left").select(F.coalesce("head", "pivot").alias("head"), "rep", "label").distinct()
-    family = scratch.table(family.join(sizes, F.col("rep") == F.col("s")).drop("s"), "families")
-    blocks_of = lambda n, most: F.ceil(F.sum(n) / float(most)).cast("int")
-    apart = lambda n: F.when(F.col("label") != F.col("head"), n).otherwise(0)
-    blocks = family.groupBy("head").agg(
-        blocks_of("n", BLOCK).alias("wide"), blocks_of(apart(F.col("n")), BLOCK).alias("high"), blocks_of(F.lit(1), SIGNATURES).alias("rows_wide"), blocks_of(apart(F.lit(1)), SIGNATURES).alias("rows_high")
-    )
-    blocks = scratch.table(blocks.where("high > 0").withColumnRenamed("head", "h"), "family-blocks")
-    if blocks.isEmpty():
-        return scratch.spark.createDataFrame([], "a long, b long")
-    block = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(F.col(n), F.lit(1))).cast("int")
-    placed = family.join(blocks, F.col("head") == F.col("h")).withColumn("i", block("wide")).withColumn("j", block("high"))
-    likely = scratch.table(_likely(placed, signed, least), "family-pairs")
-    held = likely.select(F.xxhash64("head", "i", "j").alias("cell"), "role", "rep", "label").join(texts, "rep").select("cell", "role", "rep", "label", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table in groups(rows_of(batches)):
-            role, rep, label = (table[c].to_numpy() for c in ("role", "rep", "label"))
-            sets = [shingles(t.as_py(), width) for t in table["text"]]
-            at = np.flatnonzero(role == 0)
-            if not len(at):
-                continue
-            sizes = np.array([len(sets[i]) for i in at])
-            flat, owner = np.concatenate([sets[i] for i in at]), np.repeat(np.arange(len(at)), sizes)
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            forest, links = Forest(), []
-            for o in np.flatnonzero(role == 1).tolist():
-                mine = sets[o]
-                lo, hi = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
-                n = hi - lo
-                hit = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                shared = np.bincount(owner[hit], minlength=len(at))
-                for i in at[100 * shared >= percent * (sizes + len(mine) - shared)].tolist():
-                    if rep[i] != rep[o] and forest.join(int(label[i]), int(label[o])):
-                        links.append((int(rep[i]), int(rep[o])))
-            if links:
-                a, b = zip(*links)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        give_back()
-
-    spread = held.repartition(shuffle_partitions(rows.sparkSession), "cell").sortWithinPartitions("cell")
-    return scratch.table(spread.mapInArrow(run, "a long, b long"), "family-links")
+    return texts.join(sets, "rep").select("rep", "text").mapInArrow(run, "rep long, token long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", seed: int = 1) -> DataFrame:
@@ -428,7 +343,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     seen = scratch.table(features(docs, width, threshold, seed, key, text), "features")
     sets = seen.where("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sig").alias("sig"), F.first("paths").alias("paths"))
     sets = scratch.table(sets, "sets")
-    small, large = leaves(sets, scratch)
+    small, large = leaves(sets, scratch, SMALL, CHUNK)
     signed = sets.select(F.col("rep").alias("r"), "sig")
 
     def with_sig(rows: DataFrame) -> DataFrame:
@@ -465,17 +380,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         links = links.unionByName(more)
         labels = scratch.table(components(links, scratch), f"labels{turn}")
 
-    # Every estimated pair of a small node whose ends are still apart, and in
-    # large nodes what is outside its pivot's component against all.
+    # Large nodes that hold more than one component: their sets meet by rare
+    # shingles, first the nearest, which joins the parts of dense groups.
+    held = labelled(large).groupBy("leaf").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("leaf")
+    held = scratch.table(large.join(held, "leaf").select("rep").distinct(), "apart")
+    posted = None
+    if not held.isEmpty():
+        tokens = scratch.table(_tokens(held, texts, width), "tokens")
+        posted = scratch.table(rare_prefix.postings(tokens, sets.select("rep", "n"), percent), "postings")
+        scratch.release("tokens")
+        for turn in range(BEST):
+            more = verify(rare_prefix.nearest(labelled(posted), percent), texts, width, percent, scratch, f"nearest{turn}", tried)
+            if more.isEmpty():
+                break
+            links = links.unionByName(more)
+            labels = scratch.table(components(links, scratch), f"joined{turn}")
+
+    # Every estimated pair of a small node whose ends are still apart, and every
+    # possible pair of the large ones.
     bridges = _pairs(with_sig(labelled(small.join(near, "rep"))), least, "all")
+    if posted is not None:
+        bridges = bridges.unionByName(rare_prefix.pairs(labelled(posted), percent)).distinct()
     more = verify(bridges, texts, width, percent, scratch, "bridge", tried)
-    if not large.isEmpty():
-        more = more.unionByName(_families(labelled(large), sets.select(F.col("rep").alias("s"), "n"), signed, labels, texts, width, percent, least, scratch))
     whole = components(links.unionByName(more), scratch)
 
     known = sets.select("h1", "h2", "rep").join(whole, F.col("rep") == F.col("node"), "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("component", "rep").alias("component"))
     known = scratch.table(known, "known")
-    scratch.release("texts", "stars", "leaves", "large", "wanted", "families")
+    scratch.release("texts", "stars", "leaves", "large", "wanted", "apart", "postings")
     mine = seen.select("doc_id", "n", *[F.when(F.col("doc_id").isNotNull(), F.col(h)).alias(h) for h in ("h1", "h2")])
     got = mine.join(known, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
     return got.select(

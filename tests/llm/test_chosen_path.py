@@ -4,6 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from lattica.llm import chosen_path as cp
+from lattica.llm import rare_prefix
 from lattica.llm.common import read
 
 
@@ -87,22 +88,49 @@ def test_same_text_same_id(documents):
     assert cp.keep_first(docs).count() == 2
 
 
-def test_likely_partners_by_block(spark):
+def with_labels(spark, sets, labels):
+    """Postings of the sets with their labels, through the library's own steps."""
+    tokens = spark.createDataFrame([(k, t) for k, s in sets.items() for t in s], "rep long, token long")
+    sizes = spark.createDataFrame([(k, len(s)) for k, s in sets.items()], "rep long, n long")
+    return rare_prefix.postings(tokens, sizes, 85).join(spark.createDataFrame(list(labels.items()), "rep long, label long"), "rep")
+
+
+def test_rare_prefixes_lose_no_pair(spark):
     rng = random.Random(3)
-    kinds = [bytes(rng.randrange(256) for _ in range(cp.COORDINATES)) for _ in range(6)]
+    sets = {}
+    for rep in range(260):  # templates in templates, sizes from 1 to 90, pairs around the threshold
+        base = list(range(rng.choice([1, 5, 40, 60]))) + [1000 + rng.randrange(3)] * (rep % 3)
+        own = [10_000 + rng.randrange(300) for _ in range(rng.randrange(0, 10))]
+        sets[rep] = set(base) | set(own) or {rep}
+    labels = {rep: rep % 50 if rep % 4 else 7 for rep in sets}
+    want = {(a, b) for a in sets for b in sets if a < b and labels[a] != labels[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    rows = with_labels(spark, sets, labels).cache()
+    found = [tuple(r) for r in rare_prefix.pairs(rows, 85).collect()]
+    assert len(want) > 100 and want <= set(found) and len(found) == len(set(found))
+    assert all(a < b and labels[a] != labels[b] for a, b in found)
+    near = [tuple(r) for r in rare_prefix.nearest(rows, 85).collect()]
+    assert near and set(near) <= set(found) and len(near) <= len(sets)
+
+
+def test_unlinked_templates_make_no_pairs(spark):
+    counts = []
+    for n in (100, 400):  # one template of 90, own tokens at Jaccard 0.81, nothing linked
+        sets = {i: set(range(90)) | {1000 + 20 * i + j for j in range(10 + i % 2)} for i in range(n)}
+        counts.append(rare_prefix.pairs(with_labels(spark, sets, {i: i for i in sets}), 85).count())
+    assert counts == [0, 0]
+
+
+def test_large_nodes_of_several_groups(documents, monkeypatch):
+    monkeypatch.setattr(cp, "SMALL", 4)
+    monkeypatch.setattr(cp, "CHUNK", 16)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(110)]
     rows = []
-    for rep in range(150):
-        head = rep % 2
-        label = head if rng.random() < 0.5 else 100 + rng.randrange(8)
-        sig = bytearray(kinds[rng.randrange(6)])
-        for _ in range(rng.randrange(40)):
-            sig[rng.randrange(len(sig))] = rng.randrange(256)
-        rows.append((head, rep, label, rng.randrange(4), rng.randrange(3), 2, 3, bytes(sig)))
-    want = set()
-    for h, m, x, i, _, _, _, s in rows:
-        for g, o, y, _, j, _, _, t in rows:
-            if g == h and y != h and x != y and sum(p == q for p, q in zip(s, t)) / len(s) >= 0.75:
-                want |= {(h, i, j, 0, m, x), (h, i, j, 1, o, y)}
-    table = spark.createDataFrame(rows, "head long, rep long, label long, i int, j int, rows_wide int, rows_high int, sig binary")
-    found = cp._likely(table.drop("sig"), table.select(F.col("rep").alias("r"), "sig"), 0.75).collect()
-    assert want and sorted(map(tuple, found)) == sorted(want)
+    for i in range(360):  # twelve endings of one template, some documents between two of them
+        end = [f"e{i % 12}x{j}" for j in range(14)]
+        if i % 30 == 0:
+            end[7:] = [f"e{(i + 1) % 12}x{j}" for j in range(7, 14)]
+        end[rng.randrange(14)] = f"own{i}"
+        rows.append((i, " ".join(base + end)))
+    rows += [(500 + i, " ".join(base + [f"o{i}x{j}" for j in range(16)])) for i in range(60)]
+    assert got(documents(rows), width=3, percent=85) == brute(rows, 3, 85)
