@@ -16,8 +16,8 @@ most, and a rerun takes the same documents. Weights are rounded to 64ths of the
 greatest, so a source has at most 64 classes; by default a text weighs 1 from
 100 words on, and down to a half below.
 
-Only built-in functions run. Ranks are summed in buckets of the rank before
-the rows of a bucket are ordered, so a source that holds most rows is spread
+Only built-in functions run. Ranks are summed in buckets of the rank, and
+only the rows of the bucket of the cut are ordered, so a source that holds most rows is spread
 over all tasks; only per-source rows meet in one task.
 
 Defined results: null sources are one source, last in order; null and empty
@@ -110,18 +110,20 @@ def plan(sized: DataFrame, seed: int = 11, **parameters) -> DataFrame:
     rates = Scratch(sized.sparkSession, "mixing").table(rated(sized, **parameters), "rates")
     named = rates.withColumnRenamed("source", "s").withColumnRenamed("weight", "w")
     drawn = _beside(sized, named, {"source": "s", "weight": "w"}).where("odds > 0 and size > 0").select("source", "left", "size", uniform(F.col("doc_id"), seed=seed).alias("u"), "odds")
-    # Rows of equal rank are one unit: they stand or fall together. Buckets
-    # follow the odds r/(1+r) of the rank, which lie between 0 and 1.
-    rank = drawn.withColumn("rank", F.col("u") / (1.0 - F.col("u")) / F.col("odds")).withColumn("b", F.floor(F.col("rank") / (1.0 + F.col("rank")) * BUCKETS))
-    unit = rank.groupBy("source", "b", "rank").agg(F.sum("size").alias("size"), F.first("left").alias("left"))
-    filled = rank.groupBy("source", "b").agg(F.sum("size").alias("n"))
+    # Rows of equal rank are one unit: they stand or fall together. Buckets follow
+    # the logarithm of the rank: logit(u) has a density of a quarter at most, so a
+    # bucket holds at most about 1/BUCKETS of any class, however small its odds.
+    rank = drawn.withColumn("rank", F.col("u") / (1.0 - F.col("u")) / F.col("odds")).withColumn("b", F.floor(F.ln("rank") * (BUCKETS / 4)))
+    filled = rank.groupBy("source", "b").agg(F.sum("size").alias("n"), F.first("left").alias("left"))
     ahead = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = filled.select(F.col("source").alias("s"), F.col("b").alias("c"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
-    # Only the bucket in which the target falls (and a neighbour, for the half
-    # document) can hold the cut, but ordering every bucket costs no further shuffle.
+    starts = filled.select(F.col("source").alias("s"), F.col("b").alias("c"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"), "left").where("start <= left")
+    # The last bucket that starts before the target holds the cut, or else the
+    # one before it, whose last unit ends within the target. Only these are ordered.
+    last = F.row_number().over(Window.partitionBy("s").orderBy(F.col("c").desc()))
+    starts = Scratch(sized.sparkSession, "mixing").table(starts.withColumn("last", last).where("last <= 2").select("s", "c", "start", "left"), "starts")
+    unit = _beside(rank.drop("left"), starts, {"source": "s", "b": "c"}).groupBy("source", "b", "rank", "start", "left").agg(F.sum("size").alias("size"))
     within = Window.partitionBy("source", "b").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     placed = unit.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("c")))
     cuts = placed.where(F.col("start") + F.col("inner") + F.col("size") / 2.0 <= F.col("left")).groupBy("source").agg(F.max("rank").alias("cut"))
     cuts = cuts.select(F.col("source").alias("s"), "cut")
     got = rates.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "weight", "source_size", "target", "copies", "odds", "cut")

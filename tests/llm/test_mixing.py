@@ -112,3 +112,22 @@ def test_names_that_clash(documents):
     docs = documents([(i, "a b", "x") for i in range(20)]).withColumn("_mix_copies", F.lit("mine")).withColumn("_deal", F.lit(1)).withColumn("weight", F.lit(9))
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and {r._mix_copies for r in mixed.collect()} == {"mine"}
+
+
+def test_small_odds_are_spread_over_buckets(documents, monkeypatch):
+    """A share of a thousandth: the ranks of a source lie in many buckets, and
+    the cut is that of ordering all of them."""
+    docs = documents([(i, "a b c", "one") for i in range(3000)])
+    sized = mixing.sizes(docs)
+    written = []
+    monkeypatch.setattr(mixing, "_beside", lambda rows, *a, real=mixing._beside, **k: (written.append(rows), real(rows, *a, **k))[1])
+    cut = mixing.plan(sized, share=0.001).first()
+    ranked = next(r for r in written if "rank" in r.columns)
+    per = [r["count"] for r in ranked.groupBy("b").count().collect()]
+    assert max(per) <= 25 and sum(per) == 3000
+    rows, ahead, want = sorted((r["rank"], r["size"]) for r in ranked.select("rank", "size").collect()), 0, None
+    for rank, size in rows:
+        if ahead + size / 2 <= cut.target:
+            want = rank
+        ahead += size
+    assert want is not None and cut.cut == want
