@@ -123,6 +123,8 @@ def test_unlinked_templates_make_no_pairs(spark):
 def test_large_nodes_of_several_groups(documents, monkeypatch):
     monkeypatch.setattr(cp, "SMALL", 4)
     monkeypatch.setattr(cp, "CHUNK", 16)
+    posted = []
+    monkeypatch.setattr(rare_prefix, "pairs", lambda rows, percent, real=rare_prefix.pairs: (posted.append(rows.count()), real(rows, percent))[1])
     rng = random.Random(9)
     base = [f"w{i}" for i in range(110)]
     rows = []
@@ -134,3 +136,4 @@ def test_large_nodes_of_several_groups(documents, monkeypatch):
         rows.append((i, " ".join(base + end)))
     rows += [(500 + i, " ".join(base + [f"o{i}x{j}" for j in range(16)])) for i in range(60)]
     assert got(documents(rows), width=3, percent=85) == brute(rows, 3, 85)
+    assert posted and posted[0] > 0
