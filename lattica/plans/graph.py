@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lattica.plans.labels import LabelIndex
 from lattica.plans.model import FACTS, LABEL, LABELS, TRIPLES, TYPE, TYPES, Vocabulary
@@ -25,32 +26,43 @@ class KnowledgeGraph:
     others: DataFrame
     vocabulary: Vocabulary = Vocabulary()
     index: LabelIndex | None = None
+    #: ``graph`` where the tables hold many graphs side by side (see ``Dataset``).
+    keys: tuple[str, ...] = ()
+    #: Whether ``others`` holds the statements of nodes that are no whole fact.
+    loose: bool = False
 
     @property
     def spark(self) -> SparkSession:
         return self.facts.sparkSession
 
     @classmethod
-    def from_triples(cls, triples: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> KnowledgeGraph:
-        """``triples`` is a set of statements (see ``TRIPLES``)."""
+    def from_triples(cls, triples: DataFrame, vocabulary: Vocabulary = Vocabulary(), keys: tuple[str, ...] = (), loose: bool = False) -> KnowledgeGraph:
+        """``triples`` is a set of statements (see ``TRIPLES``). With ``keys`` the
+        statements of each key are a graph of their own. A node without class,
+        type, source or target is no fact: what it states of them is left out, or
+        kept among the others if ``loose``."""
         v = vocabulary
         parts = {"rel_type": v("relationType"), "source": v("sourceEntity"), "target": v("targetEntity")}
         of = lambda p, value: F.collect_set(F.when(F.col("p") == p, value))
         # One shuffle by subject; several values of a part give a fact for each combination.
         nodes = (
             triples.where(F.col("p").isin(*parts.values()) | ((F.col("p") == TYPE) & (F.col("o") == v("Relation"))))
-            .groupBy("s")
+            .groupBy("s", *keys)
             .agg(F.max(F.col("p") == TYPE).alias("is_fact"), *[of(p, F.struct("o", "o_kind")).alias(c) for c, p in parts.items()])
             .where("is_fact")
         )
         for c in parts:
             nodes = nodes.withColumn(c, F.explode(c))
-        facts = nodes.select(F.col("s").alias("fact_id"), F.col("rel_type.o").alias("rel_type"), F.col("source.o").alias("source"), F.col("target.o").alias("target"), F.col("target.o_kind").alias("target_kind"))
-        labels = triples.where((F.col("p") == LABEL) & (F.col("o_kind") == "literal")).select(F.col("s").alias("node"), F.col("o").alias("label"), F.col("o_lang").alias("lang"))
-        types = triples.where(F.col("p") == TYPE).select(F.col("s").alias("node"), F.col("o").alias("cls"))
+        facts = nodes.select(F.col("s").alias("fact_id"), F.col("rel_type.o").alias("rel_type"), F.col("source.o").alias("source"), F.col("target.o").alias("target"), F.col("target.o_kind").alias("target_kind"), *keys)
+        labels = triples.where((F.col("p") == LABEL) & (F.col("o_kind") == "literal")).select(F.col("s").alias("node"), F.col("o").alias("label"), F.col("o_lang").alias("lang"), *keys)
+        types = triples.where(F.col("p") == TYPE).select(F.col("s").alias("node"), F.col("o").alias("cls"), *keys)
         known = [TYPE, *parts.values()]
         others = triples.where(~F.col("p").isin(*known) & ~((F.col("p") == LABEL) & (F.col("o_kind") == "literal")))
-        return cls(facts, labels, types, others, vocabulary)
+        if loose:
+            parted = triples.where(F.col("p").isin(*parts.values()) | ((F.col("p") == TYPE) & (F.col("o") == v("Relation"))))
+            whole = facts.select(F.col("fact_id").alias("s"), *keys)
+            others = others.unionByName(parted.join(whole, ["s", *keys], "left_anti").select(others.columns))
+        return cls(facts, labels, types, others, vocabulary, keys=keys, loose=loose)
 
     @property
     def persons(self) -> DataFrame:
@@ -71,37 +83,39 @@ class KnowledgeGraph:
 
     def triples(self) -> DataFrame:
         """All statements, unfolded from the tables."""
-        v, none = self.vocabulary, F.lit(None).cast("string")
+        v, none, keys = self.vocabulary, F.lit(None).cast("string"), self.keys
 
         def made(df, s, p, o, kind="iri", lang=none):
-            return df.select(s.alias("s"), F.lit("iri").alias("s_kind"), p.alias("p"), o.alias("o"), (F.lit(kind) if isinstance(kind, str) else kind).alias("o_kind"), none.alias("o_datatype"), lang.alias("o_lang"))
+            return df.select(*keys, s.alias("s"), F.lit("iri").alias("s_kind"), p.alias("p"), o.alias("o"), (F.lit(kind) if isinstance(kind, str) else kind).alias("o_kind"), none.alias("o_datatype"), lang.alias("o_lang"))
 
         c = F.col
         relation = self.types.where(c("cls") != v("Relation"))
         return (
-            made(self.facts.select("fact_id").distinct(), c("fact_id"), F.lit(TYPE), F.lit(v("Relation")))
-            .unionByName(made(self.facts.select("fact_id", "rel_type").distinct(), c("fact_id"), F.lit(v("relationType")), c("rel_type")))
-            .unionByName(made(self.facts.select("fact_id", "source").distinct(), c("fact_id"), F.lit(v("sourceEntity")), c("source")))
-            .unionByName(made(self.facts.select("fact_id", "target", "target_kind").distinct(), c("fact_id"), F.lit(v("targetEntity")), c("target"), c("target_kind")))
+            made(self.facts.select("fact_id", *keys).distinct(), c("fact_id"), F.lit(TYPE), F.lit(v("Relation")))
+            .unionByName(made(self.facts.select("fact_id", "rel_type", *keys).distinct(), c("fact_id"), F.lit(v("relationType")), c("rel_type")))
+            .unionByName(made(self.facts.select("fact_id", "source", *keys).distinct(), c("fact_id"), F.lit(v("sourceEntity")), c("source")))
+            .unionByName(made(self.facts.select("fact_id", "target", "target_kind", *keys).distinct(), c("fact_id"), F.lit(v("targetEntity")), c("target"), c("target_kind")))
             .unionByName(made(relation, c("node"), F.lit(TYPE), c("cls")))
             .unionByName(made(self.labels, c("node"), F.lit(LABEL), c("label"), "literal", c("lang")))
-            .unionByName(self.others.select(TRIPLES.fieldNames()))
+            .unionByName(self.others.select(*TRIPLES.fieldNames(), *keys))
         )
 
     def persist(self) -> KnowledgeGraph:
         """Keep the tables in memory and on disk between queries."""
-        return KnowledgeGraph(*[t.persist() for t in (self.facts, self.labels, self.types, self.others)], self.vocabulary, self.index)
+        return KnowledgeGraph(*[t.persist() for t in (self.facts, self.labels, self.types, self.others)], self.vocabulary, self.index, self.keys, self.loose)
 
     def write(self, path: str) -> None:
-        self.facts.write.mode("overwrite").partitionBy("rel_type").parquet(f"{path}/facts")
-        self.labels.write.mode("overwrite").parquet(f"{path}/labels")
-        self.types.write.mode("overwrite").partitionBy("cls").parquet(f"{path}/types")
-        self.others.write.mode("overwrite").partitionBy("p").parquet(f"{path}/others")
-        self.indexed().write(f"{path}/index")
+        self.facts.write.mode("overwrite").partitionBy(*self.keys, "rel_type").parquet(f"{path}/facts")
+        self.labels.write.mode("overwrite").partitionBy(*self.keys).parquet(f"{path}/labels")
+        self.types.write.mode("overwrite").partitionBy(*self.keys, "cls").parquet(f"{path}/types")
+        self.others.write.mode("overwrite").partitionBy(*self.keys, "p").parquet(f"{path}/others")
+        if not self.keys:  # lookups by label are for one graph
+            self.indexed().write(f"{path}/index")
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str, vocabulary: Vocabulary = Vocabulary()) -> KnowledgeGraph:
+    def read(cls, spark: SparkSession, path: str, vocabulary: Vocabulary = Vocabulary(), keys: tuple[str, ...] = (), loose: bool = False) -> KnowledgeGraph:
         def table(name, schema):
+            schema = StructType([*schema.fields, *[StructField(k, StringType()) for k in keys]])
             return spark.read.schema(schema).parquet(f"{path}/{name}").select(schema.fieldNames())
 
-        return cls(table("facts", FACTS), table("labels", LABELS), table("types", TYPES), table("others", TRIPLES), vocabulary, LabelIndex.read(spark, f"{path}/index"))
+        return cls(table("facts", FACTS), table("labels", LABELS), table("types", TYPES), table("others", TRIPLES), vocabulary, None if keys else LabelIndex.read(spark, f"{path}/index"), keys, loose)

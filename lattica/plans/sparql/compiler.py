@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.lineage import cut
+from lattica.plans.dataset import Dataset
 from lattica.plans.graph import KnowledgeGraph
 from lattica.plans.model import LABEL, TYPE
 from lattica.plans.sparql.expressions import Scope, has_aggregate
@@ -23,6 +24,9 @@ from lattica.plans.sparql.syntax import Aggregate, Exists, Iri, Lit, Path, Query
 
 TERM = "struct<k: string, v: string, d: string, g: string>"
 
+#: The variable that holds the graph inside GRAPH with a variable; no query can name it.
+GRAPH = "#graph"
+
 
 @dataclass
 class Rel:
@@ -55,30 +59,34 @@ def _kind(column: str) -> Column:
     return F.when(F.col(column) == "literal", "l").when(F.col(column) == "bnode", "b").otherwise("i")
 
 
-def doubled(step: DataFrame) -> DataFrame:
-    """(s, o) of all pairs with one or more steps between them.
+def doubled(step: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(s, o), within equal keys, of all pairs with one or more steps between them.
 
     After k rounds all pairs at a distance of up to 2^k are known, with their
     distance. A pair at up to twice that is a known pair followed by one at 2^k
     exactly, so a round joins what is known with the pairs at its greatest
     distance, and rounds grow with the logarithm of the longest way. Cycles have
     no longer shortest ways, so they end too. Each pair is written once."""
-    reach, known = 1, [cut(step.select("s", "o").distinct().withColumn("d", F.lit(1)))]
+    reach, known = 1, [cut(step.select(*keys, "s", "o").distinct().withColumn("d", F.lit(1)))]
     last = known[0]
     while not last.isEmpty():
         seen = reduce(DataFrame.unionByName, known)
-        ahead = last.select(F.col("s").alias("_m"), F.col("o").alias("_o"))
-        met = seen.join(ahead, F.col("o") == F.col("_m")).groupBy("s", F.col("_o").alias("o")).agg((F.min("d") + reach).alias("d"))
-        found = cut(met.join(seen.select("s", "o"), ["s", "o"], "left_anti"))
+        ahead = _ahead(last, keys)
+        met = seen.join(ahead, _on(keys)).groupBy(*keys, "s", F.col("_o").alias("o")).agg((F.min("d") + reach).alias("d"))
+        found = cut(met.join(seen.select(*keys, "s", "o"), [*keys, "s", "o"], "left_anti"))
         reach *= 2
         known.append(found)
         last = found.where(F.col("d") == reach)
-    return reduce(DataFrame.unionByName, known).select("s", "o")
+    return reduce(DataFrame.unionByName, known).select(*keys, "s", "o")
 
 
 class Compiler:
-    def __init__(self, kg: KnowledgeGraph):
-        self.kg, self.v = kg, kg.vocabulary
+    """Patterns over one graph, or over the named graphs side by side if the tables
+    have a graph column: each scan then binds GRAPH, so that joins meet within a
+    graph."""
+
+    def __init__(self, kg: KnowledgeGraph, dataset: Dataset | None = None):
+        self.kg, self.v, self.dataset, self.keys = kg, kg.vocabulary, dataset, kg.keys
         self.fact_parts = {self.v("relationType"): "rel_type", self.v("sourceEntity"): "source", self.v("targetEntity"): "target"}
 
     # --- scans ---------------------------------------------------------------
@@ -87,23 +95,24 @@ class Compiler:
         """(s, o) terms of a constant predicate."""
         kg = self.kg
         if predicate == LABEL:
-            stated = kg.labels.select(term(F.col("node")).alias("s"), term(F.col("label"), F.lit("l"), None, F.col("lang")).alias("o"))
+            stated = kg.labels.select(*self.keys, term(F.col("node")).alias("s"), term(F.col("label"), F.lit("l"), None, F.col("lang")).alias("o"))
             return stated.unionByName(self._others(predicate))
         if predicate in self.fact_parts:
             part = self.fact_parts[predicate]
             kind = _kind("target_kind") if part == "target" else None
-            return kg.facts.select(term(F.col("fact_id")).alias("s"), term(F.col(part), kind).alias("o")).distinct().unionByName(self._others(predicate))
+            return kg.facts.select(*self.keys, term(F.col("fact_id")).alias("s"), term(F.col(part), kind).alias("o")).distinct().unionByName(self._others(predicate))
         if predicate == TYPE:
-            facts = kg.facts.select(term(F.col("fact_id")).alias("s"), term(F.lit(self.v("Relation"))).alias("o")).distinct()
-            return kg.types.where(F.col("cls") != self.v("Relation")).select(term(F.col("node")).alias("s"), term(F.col("cls")).alias("o")).unionByName(facts)
+            facts = kg.facts.select(*self.keys, term(F.col("fact_id")).alias("s"), term(F.lit(self.v("Relation"))).alias("o")).distinct()
+            known = kg.types.where(F.col("cls") != self.v("Relation")).select(*self.keys, term(F.col("node")).alias("s"), term(F.col("cls")).alias("o")).unionByName(facts)
+            return known.unionByName(self._others(TYPE)) if kg.loose else known
         return self._others(predicate)
 
     def _others(self, predicate: str) -> DataFrame:
-        return self.kg.others.where(F.col("p") == predicate).select(term(F.col("s"), _kind("s_kind")).alias("s"), term(F.col("o"), _kind("o_kind"), F.col("o_datatype"), F.col("o_lang")).alias("o"))
+        return self.kg.others.where(F.col("p") == predicate).select(*self.keys, term(F.col("s"), _kind("s_kind")).alias("s"), term(F.col("o"), _kind("o_kind"), F.col("o_datatype"), F.col("o_lang")).alias("o"))
 
     def any_edge(self) -> DataFrame:
         t = self.kg.triples()
-        return t.select(term(F.col("s"), _kind("s_kind")).alias("s"), term(F.col("p"), F.lit("i")).alias("p"), term(F.col("o"), _kind("o_kind"), F.col("o_datatype"), F.col("o_lang")).alias("o"))
+        return t.select(*self.keys, term(F.col("s"), _kind("s_kind")).alias("s"), term(F.col("p"), F.lit("i")).alias("p"), term(F.col("o"), _kind("o_kind"), F.col("o_datatype"), F.col("o_lang")).alias("o"))
 
     def bound(self, df: DataFrame, columns: dict[str, object]) -> Rel:
         """Constants become filters, variables columns (equal if repeated)."""
@@ -115,14 +124,18 @@ class Compiler:
                 df = df.where(F.col(c) == F.col(names[t.name]))
             else:
                 names[t.name] = c
-        return Rel(df.select(*[F.col(c).alias(col(n)) for n, c in names.items()]), set(names))
+        out = [F.col(c).alias(col(n)) for n, c in names.items()]
+        if self.keys:
+            out.append(term(F.col("graph"), F.lit("i")).alias(col(GRAPH)))
+            names[GRAPH] = "graph"
+        return Rel(df.select(*out), set(names))
 
     def triple(self, s, p, o) -> Rel:
         if isinstance(p, Var):
             return self.bound(self.any_edge(), {"s": s, "p": p, "o": o})
         if p.op == "iri":
             if p.args[0] == TYPE and isinstance(o, Iri) and o.value != self.v("Relation"):
-                rows = self.kg.types.where(F.col("cls") == o.value).select(term(F.col("node")).alias("s"))
+                rows = self.kg.types.where(F.col("cls") == o.value).select(*self.keys, term(F.col("node")).alias("s"))
                 return self.bound(rows, {"s": s})
             return self.bound(self.edges(p.args[0]), {"s": s, "o": o})
         return self.bound(self.path(p, s, o).distinct() if p.op in ("star", "plus", "opt") else self.path(p, s, o), {"s": s, "o": o})
@@ -133,12 +146,12 @@ class Compiler:
         if p.op == "iri":
             return self.edges(p.args[0])
         if p.op == "inv":
-            return self.path(p.args[0], o, s).select(F.col("o").alias("s"), F.col("s").alias("o"))
+            return self.path(p.args[0], o, s).select(*self.keys, F.col("o").alias("s"), F.col("s").alias("o"))
         if p.op == "alt":
             return reduce(DataFrame.unionByName, [self.path(a, s, o) for a in p.args])
         if p.op == "seq":
             steps = [self.path(a, Var("_"), Var("_")) for a in p.args]
-            return reduce(_follow, steps)
+            return reduce(lambda a, b: _follow(a, b, self.keys), steps)
         if p.op == "neg":
             ways = []
             for back in (False, True):
@@ -147,7 +160,7 @@ class Compiler:
                     rows = self.any_edge().where(~F.col("p.v").isin(names)) if names else self.any_edge()
                     if not names and any(b for _, b in p.args):
                         continue
-                    ways.append(rows.select(F.col("o").alias("s"), F.col("s").alias("o")) if back else rows.select("s", "o"))
+                    ways.append(rows.select(*self.keys, F.col("o").alias("s"), F.col("s").alias("o")) if back else rows.select(*self.keys, "s", "o"))
             return reduce(DataFrame.unionByName, ways)
         step = self.path(p.args[0], Var("_"), Var("_")).distinct()
         if p.op == "opt":
@@ -159,21 +172,21 @@ class Compiler:
         """A term is at length zero from itself: the given ones, or all nodes."""
         given = [t for t in (s, o) if not isinstance(t, Var)]
         if given:
-            one = self.kg.spark.range(1)
-            return reduce(DataFrame.unionByName, [one.select(constant(t).alias("s"), constant(t).alias("o")) for t in given])
+            one = self.dataset.names() if self.keys else self.kg.spark.range(1)
+            return reduce(DataFrame.unionByName, [one.select(*self.keys, constant(t).alias("s"), constant(t).alias("o")) for t in given])
         edges = self.any_edge()
-        nodes = edges.select("s").unionByName(edges.select(F.col("o").alias("s"))).distinct()
-        return nodes.select("s", F.col("s").alias("o"))
+        nodes = edges.select(*self.keys, "s").unionByName(edges.select(*self.keys, F.col("o").alias("s"))).distinct()
+        return nodes.select(*self.keys, "s", F.col("s").alias("o"))
 
     def closure(self, step: DataFrame, s, o) -> DataFrame:
         """One or more steps: the frontier grows until it finds no new pair, so
         cycles end. From a given end only what it reaches is visited; between
         two variables the steps double."""
         if isinstance(s, Var) and isinstance(o, Var):
-            return doubled(step)
+            return doubled(step, self.keys)
         backward = isinstance(s, Var) and not isinstance(o, Var)
         if backward:
-            step = step.select(F.col("o").alias("s"), F.col("s").alias("o"))
+            step = step.select(*self.keys, F.col("o").alias("s"), F.col("s").alias("o"))
         start = o if backward else s
         step = cut(step)
         frontier = cut(step.where(F.col("s") == constant(start)))
@@ -182,10 +195,10 @@ class Compiler:
             seen = reduce(DataFrame.unionByName, found)
             if len(found) == 16:  # so that the plan stays small and each pair is written twice at most a 16 rounds
                 found = [seen := cut(seen)]
-            frontier = cut(_follow(frontier, step).distinct().join(seen, ["s", "o"], "left_anti"))
+            frontier = cut(_follow(frontier, step, self.keys).distinct().join(seen, [*self.keys, "s", "o"], "left_anti"))
             found.append(frontier)
         seen = reduce(DataFrame.unionByName, found)
-        return seen.select(F.col("o").alias("s"), F.col("s").alias("o")) if backward else seen
+        return seen.select(*self.keys, F.col("o").alias("s"), F.col("s").alias("o")) if backward else seen
 
     # --- patterns ----------------------------------------------------------------
 
@@ -200,13 +213,14 @@ class Compiler:
             for t in own:
                 if isinstance(t[1], Path) and t[1].op == "iri" and t[1].args[0] in self.fact_parts:
                     parts.setdefault(self.fact_parts[t[1].args[0]], t)
-            if len(parts) == 3:
-                used = list(parts.values()) + [t for t in own if isinstance(t[1], Path) and t[1].args == (TYPE,) and t[2] == Iri(self.v("Relation"))]
+            classes = [t for t in own if isinstance(t[1], Path) and t[1].args == (TYPE,) and t[2] == Iri(self.v("Relation"))]
+            if len(parts) == 3 and (classes or not self.kg.loose):
+                used = list(parts.values()) + classes
                 rest = [t for t in rest if not any(t is u for u in used)]
                 facts = self.kg.facts
                 if isinstance(parts["rel_type"][2], Iri):
                     facts = facts.where(F.col("rel_type") == parts["rel_type"][2].value)  # prunes partitions
-                rows = facts.select(term(F.col("fact_id")).alias("s"), term(F.col("rel_type")).alias("r"), term(F.col("source")).alias("a"), term(F.col("target"), _kind("target_kind")).alias("b"))
+                rows = facts.select(*self.keys, term(F.col("fact_id")).alias("s"), term(F.col("rel_type")).alias("r"), term(F.col("source")).alias("a"), term(F.col("target"), _kind("target_kind")).alias("b"))
                 out.append(self.bound(rows, {"s": subject, "r": parts["rel_type"][2], "a": parts["source"][2], "b": parts["target"][2]}))
         return out + [self.triple(*t) for t in rest]
 
@@ -226,7 +240,11 @@ class Compiler:
             elif kind == "group":
                 pending.append(self.group(e[1]))
             elif kind == "sub":
+                if self.keys:
+                    raise SparqlError("a sub-SELECT inside GRAPH with a variable is not supported")
                 pending.append(self.query(e[1]))
+            elif kind == "graph":
+                pending.append(self.in_graph(e[1], e[2]))
             elif kind == "union":
                 pending.append(_union([self.group(a) for a in e[1]]))
             elif kind == "values":
@@ -240,7 +258,7 @@ class Compiler:
             elif kind == "minus":
                 left, right = settle(), self.group(e[1])
                 shared = left.names & right.names
-                if shared:
+                if shared - {GRAPH}:
                     current = Rel(_semi(left, right, shared, "left_anti", at_least_one=True), left.certain, left.maybe)
             elif kind == "bind":
                 left = settle()
@@ -253,6 +271,26 @@ class Compiler:
             out = self.filter(out, f)
         return out
 
+    def in_graph(self, name: Var | Iri, elements: list) -> Rel:
+        """A group over one named graph, or over each of them. What is no named
+        graph has no solution. The variable is bound beside the group's own
+        solutions, so a filter inside the group does not see it."""
+        data = self.dataset
+        if data is None:
+            raise SparqlError("GRAPH needs a dataset of named graphs")
+        names = data.names()
+        if isinstance(name, Iri):
+            inner = Compiler(data.one(name.value), data).group(elements)
+            if any(x[0] == "bgp" for x in elements):
+                return inner  # what it matched is there
+            return Rel(_semi(inner, Rel(names.where(F.col("graph") == name.value)), set(), "left_semi"), inner.certain, inner.maybe)
+        inner = Compiler(data.named, data).group(elements)
+        if GRAPH not in inner.certain:
+            inner = _join(inner, Rel(names.select(term(F.col("graph"), F.lit("i")).alias(col(GRAPH))), {GRAPH}))
+        n, own, graph = name.name, F.col(col(name.name)), F.col(col(GRAPH))
+        df = inner.df.where(own.isNull() | (own == graph)) if n in inner.names else inner.df
+        return Rel(df.withColumn(col(n), graph).drop(col(GRAPH)), (inner.certain - {GRAPH}) | {n}, inner.maybe - {n})
+
     def filter(self, rel: Rel, e) -> Rel:
         if isinstance(e, Exists):
             return self.exists(rel, e)
@@ -416,6 +454,8 @@ def _in_expressions(elements: list) -> set[str]:
         elif x[0] in ("group", "optional", "minus", "union"):
             for arm in x[1] if x[0] == "union" else [x[1]]:
                 found |= _in_expressions(arm) | {v for y in arm if y[0] == "filter" for v in _variables(y[1])}
+        elif x[0] == "graph":
+            found |= _in_expressions(x[2]) | {v for y in x[2] if y[0] == "filter" for v in _variables(y[1])}
     return found
 
 
@@ -428,8 +468,16 @@ def _has_exists(e) -> bool:
 # --- joins of solutions ------------------------------------------------------------------
 
 
-def _follow(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b.select(F.col("s").alias("_m"), F.col("o").alias("_o")), F.col("o") == F.col("_m")).select("s", F.col("_o").alias("o"))
+def _ahead(steps: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return steps.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("s").alias("_m"), F.col("o").alias("_o"))
+
+
+def _on(keys: tuple[str, ...]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(k) == F.col(f"_{k}") for k in keys], F.col("o") == F.col("_m"))
+
+
+def _follow(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    return a.join(_ahead(b, keys), _on(keys)).select(*keys, "s", F.col("_o").alias("o"))
 
 
 def _matched(left: Rel, right: Rel) -> tuple[DataFrame, Column | None, dict[str, Column]]:
@@ -488,8 +536,9 @@ def _semi(left: Rel, right: Rel, shared: set[str], how: str, at_least_one: bool
     if not shared:
         return left.df.join(right.df.limit(1), F.lit(True), how)
     df, on, _ = _matched(left, Rel(right.df.select(*[col(n) for n in sorted(shared)]), right.certain & shared, right.maybe & shared))
-    if at_least_one and not (shared & left.certain & right.certain):
-        on &= reduce(lambda x, y: x | y, [left.df[col(n)].isNotNull() & df[f"r_{n}"].isNotNull() for n in sorted(shared)])
+    linked = shared - {GRAPH}
+    if at_least_one and not (linked & left.certain & right.certain):
+        on &= reduce(lambda x, y: x | y, [left.df[col(n)].isNotNull() & df[f"r_{n}"].isNotNull() for n in sorted(linked)])
     return left.df.join(df, on, how)
 
 
@@ -527,6 +576,11 @@ def _in_order(elements: list) -> list[str]:
     return list(seen)
 
 
-def compile_select(kg: KnowledgeGraph, q: Query) -> DataFrame:
-    rel = Compiler(kg).query(q)
+def compile_select(kg: KnowledgeGraph | Dataset, q: Query) -> DataFrame:
+    data = kg if isinstance(kg, Dataset) else None
+    if q.sources:
+        if data is None:
+            raise SparqlError("FROM needs a dataset of named graphs")
+        data = data.restricted([i for i, named in q.sources if not named], [i for i, named in q.sources if named])
+    rel = Compiler(data.default if data else kg, data).query(q)
     return rel.df.select(*[F.coalesce(F.col(f"{c}.v"), F.lit("")).alias(c.removeprefix("v_")) for c in rel.df.columns])

@@ -75,6 +75,7 @@ class Query:
     limit: int | None = None
     offset: int = 0
     values: tuple | None = None
+    sources: list[tuple[str, bool]] = field(default_factory=list)  # (graph, whether FROM NAMED)
 
 
 # --- tokens --------------------------------------------------------------------------
@@ -209,8 +210,14 @@ class _Parser:
                     break
             if not items:
                 raise SparqlError("SELECT needs variables")
+        sources: list = []
+        while self.take("FROM"):
+            named = self.take("NAMED") is not None
+            if (i := self.iri()) is None:
+                raise SparqlError("FROM needs an address")
+            sources.append((i, named))
         self.take("WHERE")
-        q = Query(items, self.group(), distinct)
+        q = Query(items, self.group(), distinct, sources=sources)
         if self.take("GROUP"):
             self.need("BY")
             while True:
@@ -254,7 +261,9 @@ class _Parser:
         self.need("{")
         out: list = []
         if self.peek("SELECT"):
-            out.append(("sub", self.select()))
+            out.append(("sub", q := self.select()))
+            if q.sources:
+                raise SparqlError("FROM belongs to the outermost SELECT")
             self.need("}")
             return out
         while not self.take("}"):
@@ -280,8 +289,13 @@ class _Parser:
                 while self.take("UNION"):
                     arms.append(self.group())
                 out.append(("union", arms) if len(arms) > 1 else ("group", arms[0]))
-            elif self.peek("GRAPH", "SERVICE"):
-                raise SparqlError("GRAPH and SERVICE are not supported")
+            elif self.take("GRAPH"):
+                name = self.term()
+                if not isinstance(name, (Var, Iri)):
+                    raise SparqlError("GRAPH needs an address or a variable")
+                out.append(("graph", name, self.group()))
+            elif self.peek("SERVICE"):
+                raise SparqlError("SERVICE is not supported")
             else:
                 found: list = []
                 self.triples(found)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lattica.functions.lineage import folder
 from lattica.operators import alignment, extraction, lookups, network, sameas
 from lattica.plans import answers
+from lattica.plans.dataset import Dataset, named
 from lattica.plans.graph import KnowledgeGraph
 from lattica.plans.model import DEFAULT_NAMESPACE as V
 from lattica.plans.model import LABEL, TRIPLES, Vocabulary
@@ -24,7 +25,7 @@ from lattica.plans.sparql import select
 from lattica.plans.sparql.texts import Texts
 from lattica.sources.records import write_json
 from lattica.sources.starkg import NODE, node, star_graph
-from lattica.sources.turtle import read_ntriples, read_turtle, write_turtle
+from lattica.sources.turtle import read_nquads, read_ntriples, read_turtle, write_turtle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -373,14 +374,47 @@ _RANGE = 64 << 10
 _FOUNDERS = f"{_HEAD}\nSELECT ?l ?m WHERE {{ ?f a {_P}:Relation ; {_P}:relationType {_P}:foundsSchool ; {_P}:sourceEntity ?p ; {_P}:targetEntity ?s . ?p rdfs:label ?l . ?s rdfs:label ?m }}"
 
 
-def _turtle_founders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes in one Turtle folder, facts in another, asked as one graph."""
+def _turtle_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes in one Turtle folder, facts in another, read again."""
     nodes, facts = folder(spark, "turtle-nodes"), folder(spark, "turtle-facts")
     triples = star_graph(spark, sf_dir).triples().withColumn("s", F.replace("s", F.lit("|"), F.lit("~")))
     prefixes = Vocabulary().prefixes | {"nation": NODE + "nation/"}
     write_turtle(triples.where(F.col("s").startswith(NODE + "nation/") | F.col("s").startswith(NODE + "supplier/")), nodes, prefixes)
     write_turtle(triples.where(F.col("s").contains("foundsSchool~")), facts, prefixes)
-    return select(KnowledgeGraph.from_triples(read_turtle(spark, [nodes, facts], _RANGE)), _FOUNDERS)
+    return read_turtle(spark, [nodes], _RANGE), read_turtle(spark, [facts], _RANGE)
+
+
+def _turtle_founders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both folders asked as one graph."""
+    nodes, facts = _turtle_parts(spark, sf_dir)
+    return select(KnowledgeGraph.from_triples(nodes.unionByName(facts).distinct()), _FOUNDERS)
+
+
+def _in_graphs(text: str) -> Query:
+    """A query over the same folders as two named graphs of a stored dataset."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        nodes, facts = _turtle_parts(spark, sf_dir)
+        path = folder(spark, "dataset")
+        Dataset.from_quads(named({"urn:graph:nodes": nodes, "urn:graph:facts": facts})).write(path)
+        return select(Dataset.read(spark, path), f"{_HEAD}\n{text}")
+
+    return run
+
+
+def _quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and their nations as N-Quads, a graph a nation: founders by graph."""
+    path = folder(spark, "quads")
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    own = lambda *parts: F.concat(F.lit("<"), *[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit(">"))
+    nation, who = own(NODE, "nation/", F.col("s_nationkey")), own(NODE, "supplier/", F.col("s_suppkey"))
+    founds, label = F.lit(f"<{V}founds>"), F.lit(f"<{LABEL}>")
+    name = F.concat(F.lit('"'), "s_name", F.lit('"'))
+    graph = own("urn:graph:", F.col("s_nationkey"))
+    lines = supplier.select(F.explode(F.array(F.concat_ws(" ", who, founds, nation, graph, F.lit(".")), F.concat_ws(" ", who, label, name, graph, F.lit(".")))).alias("value"))
+    lines.write.text(path)
+    data = Dataset.from_quads(read_nquads(spark, [path]))
+    return select(data, f"{_HEAD}\nSELECT ?g ?l ?n WHERE {{ GRAPH ?g {{ ?p {_P}:founds ?n . ?p rdfs:label ?l }} }}")
 
 
 def _turtle_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -397,6 +431,20 @@ def _turtle_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kg.labels.join(source, "node").select("node", "lang", "source", F.sha2("label", 256).alias("digest"))
 
 
+QUERIES["named_graph_counts"] = _in_graphs("SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?s ?p ?o } } GROUP BY ?g")
+ORACLE["named_graph_counts"] = (
+    "SELECT 'urn:graph:nodes' AS g, (2 * ((SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier)))::VARCHAR AS n"
+    " UNION ALL SELECT 'urn:graph:facts', (4 * count(*))::VARCHAR FROM supplier"
+)
+_SAID = f"?f a {_P}:Relation ; {_P}:relationType {_P}:foundsSchool ; {_P}:sourceEntity ?p ; {_P}:targetEntity ?s"
+QUERIES["named_graph_join"] = _in_graphs(f"SELECT ?l ?m ?g WHERE {{ GRAPH <urn:graph:facts> {{ {_SAID} }} GRAPH ?g {{ ?p rdfs:label ?l . ?s rdfs:label ?m }} }}")
+ORACLE["named_graph_join"] = "SELECT s_name AS l, n_name AS m, 'urn:graph:nodes' AS g FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+QUERIES["dataset_from"] = _in_graphs(f"SELECT ?l ?m FROM <urn:graph:nodes> FROM <urn:graph:facts> WHERE {{ {_SAID} . ?p rdfs:label ?l . ?s rdfs:label ?m }}")
+ORACLE["dataset_from"] = "SELECT s_name AS l, n_name AS m FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+QUERIES["dataset_from_named"] = _in_graphs(f"SELECT ?g ?l FROM <urn:graph:facts> FROM NAMED <urn:graph:nodes> WHERE {{ {_SAID} GRAPH ?g {{ ?s rdfs:label ?l }} }}")
+ORACLE["dataset_from_named"] = "SELECT 'urn:graph:nodes' AS g, n_name AS l FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+QUERIES["quad_graphs"] = _quads
+ORACLE["quad_graphs"] = f"SELECT 'urn:graph:' || s_nationkey::VARCHAR AS g, s_name AS l, {_n('nation', 's_nationkey')} AS n FROM supplier"
 QUERIES |= {"stored_graph": _stored, "parsed_statements": _parsed, "turtle_founders": _turtle_founders, "turtle_documents": _turtle_documents}
 ORACLE["turtle_documents"] = "SELECT 'urn:doc:' || doc_id::VARCHAR AS node, lang, source, sha256(text) AS digest FROM documents WHERE text IS NOT NULL"
 ORACLE["stored_graph"] = ORACLE["courtesy_name"]

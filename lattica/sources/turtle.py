@@ -269,21 +269,39 @@ _LINE = r'^\s*(?:<([^>]*)>|(_:\S+))\s*<([^>]*)>\s*(?:<([^>]*)>|(_:[^\s.]+)|"((?:
 def read_ntriples(spark: SparkSession, paths: list[str]) -> DataFrame:
     """N-Triples files, in parallel by line. A line that is neither blank, a
     comment nor a statement is an error."""
+    return _lines(spark, paths, _LINE)[0].select(TRIPLES.fieldNames()).distinct()
+
+
+#: The same with the address or blank node of a graph before the full stop.
+_QUAD = _LINE.replace(r"\s*\.\s*(?:#", r"\s*(?:<([^>]*)>|(_:[^\s.]+))?\s*\.\s*(?:#")
+
+
+def read_nquads(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """N-Quads files likewise, with a column ``graph``: null for statements of the
+    default graph."""
+    rows, part, blank = _lines(spark, paths, _QUAD)
+    return rows.select(*TRIPLES.fieldNames(), F.coalesce(part(9), blank(10)).alias("graph")).distinct()
+
+
+def _lines(spark: SparkSession, paths: list[str], pattern: str) -> tuple:
+    """The statements of lines beside their text, and what reads further groups."""
     lines = spark.read.text(paths).select("value", F.substring(F.md5(F.input_file_name()), 1, 8).alias("mark")).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
-    part = lambda i: F.nullif(F.regexp_extract("value", _LINE, i), F.lit(""))
+    part = lambda i: F.nullif(F.regexp_extract("value", pattern, i), F.lit(""))
     blank = lambda i: F.concat(F.lit("_:"), F.col("mark"), F.lit("n"), F.substr(part(i), F.lit(3)))
-    text = F.regexp_extract("value", _LINE, 6)
+    text = F.regexp_extract("value", pattern, 6)
     for mark, plain in (("t", "\t"), ("b", "\b"), ("n", "\n"), ("r", "\r"), ("f", "\f"), ('"', '"'), ("'", "'")):
         text = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\" + mark, "$1" + plain)
     text = F.when(text.rlike(r"\\[uU]"), _code_points(text)).otherwise(text)
     text = F.replace(text, F.lit("\\\\"), F.lit("\\"))
-    bad = F.when(~F.col("value").rlike(_LINE), F.raise_error(F.concat(F.lit("no statement: "), F.col("value"))).cast("string"))
+    bad = F.when(~F.col("value").rlike(pattern), F.raise_error(F.concat(F.lit("no statement: "), F.col("value"))).cast("string"))
     o_kind = F.when(part(4).isNotNull(), "iri").when(part(5).isNotNull(), "bnode").otherwise("literal")
-    return lines.select(
+    rows = lines.select(
+        "value", "mark",
         F.coalesce(bad, part(1), blank(2)).alias("s"), F.when(part(1).isNotNull(), "iri").otherwise("bnode").alias("s_kind"), part(3).alias("p"),
         F.when(part(4).isNotNull(), part(4)).when(part(5).isNotNull(), blank(5)).otherwise(text).alias("o"), o_kind.alias("o_kind"),
         F.when(part(8) != XSD + "string", part(8)).alias("o_datatype"), F.lower(part(7)).alias("o_lang"),
-    ).select(TRIPLES.fieldNames()).distinct()
+    )
+    return rows, part, blank
 
 
 def _code_points(text):
