@@ -18,7 +18,7 @@ from lattica.plans import answers
 from lattica.plans.dataset import Dataset, named
 from lattica.plans.graph import KnowledgeGraph
 from lattica.plans.model import DEFAULT_NAMESPACE as V
-from lattica.plans.model import LABEL, TRIPLES, Vocabulary
+from lattica.plans.model import LABEL, TRIPLES, XSD, Vocabulary
 from lattica.plans.routing import route_questions
 from lattica.plans.service import EMPTY, FALLBACK, answer_questions
 from lattica.plans.sparql import select
@@ -350,6 +350,59 @@ ORACLE["sparql_path_pairs"] = (
 )
 
 
+QUERIES["sparql_path_star"] = partial(_descendants, path=f"{_P}:childOf*")
+ORACLE["sparql_path_star"] = f"{ORACLE['sparql_path_plus']} UNION SELECT '{_TREE}'"
+
+
+def _not_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = "|".join(f"{_P}:{n}" for n in ("childOf", "relationType", "sourceEntity", "targetEntity"))
+    return _tree(spark, sf_dir, f"SELECT ?a ?d WHERE {{ ?a !({parts}|rdf:type|rdfs:label) ?d }}")
+
+
+QUERIES["sparql_path_negated"] = _not_named
+ORACLE["sparql_path_negated"] = " UNION ALL ".join(f"SELECT {_n('customer', 'o_custkey')} AS a, strftime({day}, '%Y-%m') AS d FROM {_SPANS} WHERE o_custkey % 2 = 0" for day in ("first", "last"))
+
+
+def _literals(table: str, key: str, predicate: str, value: str, datatype: str | None = None, lang: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    """The statements ``table/key predicate value`` of a table's rows."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").where(F.expr(value).isNotNull())
+        none = F.lit(None).cast("string")
+        return rows.select(
+            F.concat(F.lit(f"urn:{table}:"), F.col(key).cast("string")).alias("s"), F.lit("iri").alias("s_kind"), F.lit(predicate).alias("p"), F.expr(value).cast("string").alias("o"),
+            F.lit("literal").alias("o_kind"), F.lit(datatype).cast("string").alias("o_datatype"), F.col(lang).alias("o_lang") if lang else none.alias("o_lang"),
+        )
+
+    return run
+
+
+def _over(text: str, *statements: Callable[[SparkSession, str], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        triples = reduce(DataFrame.unionByName, [s(spark, sf_dir) for s in statements])
+        return select(KnowledgeGraph.from_triples(triples.distinct()), f"{_HEAD}\n{text}")
+
+    return run
+
+
+_ORDERED = _literals("orders", "o_orderkey", V + "ordered", "date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\")", XSD + "dateTime")
+_PRICE = _literals("orders", "o_orderkey", V + "price", "o_totalprice", XSD + "double")
+QUERIES["sparql_languages"] = _over(
+    'SELECT ?d (LANG(?t) AS ?g) (SHA256(STR(?t)) AS ?h) (STRLEN(STR(?t)) AS ?n) WHERE { ?d rdfs:label ?t FILTER(LANG(?t) = "fr" || LANGMATCHES(LANG(?t), "DE")) }',
+    _literals("documents", "doc_id", LABEL, "text", lang="lang"),
+)
+ORACLE["sparql_languages"] = "SELECT 'urn:documents:' || doc_id::VARCHAR AS d, lang AS g, sha256(text) AS h, length(text)::VARCHAR AS n FROM documents WHERE text IS NOT NULL AND lang IN ('de', 'fr')"
+QUERIES["sparql_dates"] = _over(f"SELECT ?y ?m (COUNT(?o) AS ?n) (MIN(DAY(?d)) AS ?low) WHERE {{ ?o {_P}:ordered ?d }} GROUP BY (YEAR(?d) AS ?y) (MONTH(?d) AS ?m)", _ORDERED)
+ORACLE["sparql_dates"] = "SELECT year(o_orderdate)::VARCHAR AS y, month(o_orderdate)::VARCHAR AS m, count(*)::VARCHAR AS n, min(day(o_orderdate))::VARCHAR AS low FROM orders GROUP BY year(o_orderdate), month(o_orderdate)"
+QUERIES["sparql_numbers"] = _over(
+    f"SELECT ?o (FLOOR(?x) AS ?f) (CEIL(?x) AS ?c) (ROUND(?x) AS ?r) (ABS(FLOOR(?x) - 250000) AS ?a) WHERE {{ ?o {_P}:price ?x ; {_P}:ordered ?d FILTER(MONTH(?d) < 4) }}", _ORDERED, _PRICE
+)
+ORACLE["sparql_numbers"] = (
+    "SELECT 'urn:orders:' || o_orderkey::VARCHAR AS o, floor(o_totalprice)::BIGINT::VARCHAR AS f, ceil(o_totalprice)::BIGINT::VARCHAR AS c, floor(o_totalprice + 0.5)::BIGINT::VARCHAR AS r,"
+    " abs(floor(o_totalprice)::BIGINT - 250000)::VARCHAR AS a FROM orders WHERE month(o_orderdate) < 4"
+)
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lookup over the graph's stored layout, written and read again."""
     path = folder(spark, "stored-graph")
