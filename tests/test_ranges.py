@@ -107,3 +107,26 @@ def test_written_turtle_reads_back(spark, tmp_path):
     got = read_turtle(spark, [str(tmp_path / "out")], range_bytes=50)
     want = {tuple(x.replace("|", "_") if isinstance(x, str) else x for x in r) for r in rows}
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_repeated_directives_come_to_few(tmp_path):
+    """Files whose statements say their prefixes: what a plan holds does not
+    grow with the square of the file."""
+    text = "".join(f'PREFIX a: <urn:a#>\nPREFIX b: <urn:b{i // 900}#>\na:s{i} b:p "{i}" .\n' for i in range(2000))
+    path = tmp_path / "said.ttl"
+    path.write_text(text, encoding="utf-8")
+    parts = planned(str(path), text, 500)
+    assert len(parts) > 200 and max(len(p[3]) for p in parts) < 100
+    assert len(ranges._packed(parts, ranges._ParseReader.coded)) < 100 * len(parts)
+    rows = [r for p in parts for b in ranges._ParseReader({"ranges": "[]"}).read(ranges._Range(*p)) for r in zip(*[c.to_pylist() for c in b.columns])]
+    assert rows == parse_turtle(text, str(path))
+
+
+@pytest.mark.parametrize("size", [1, 9, 50])
+def test_relative_bases_and_prefixes(tmp_path, size):
+    text = "@prefix r: <early/> .\n@base <urn:one/> .\n@prefix p: <x/> .\nbase <two/>\n<a> p:b r:c .\n@prefix q: <y/> . # c\n<d> q:e p:f .\n@base <urn:three/> .\n@prefix p: <z/> .\n<g> p:h q:i .\n<k> p:l [] .\n"
+    path = tmp_path / "based.ttl"
+    path.write_text(text, encoding="utf-8")
+    parts = planned(str(path), text, size)
+    rows = [r for p in parts for b in ranges._ParseReader({"ranges": "[]"}).read(ranges._Range(*p)) for r in zip(*[c.to_pylist() for c in b.columns])]
+    assert rows == parse_turtle(text, str(path)) and ("urn:three/g", "iri", "urn:three/z/h", "urn:one/two/y/i", "iri", None, None) in rows
