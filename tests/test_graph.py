@@ -156,3 +156,15 @@ def test_exists_with_outer_variables(kg):
     labels = [r[0] for r in rows(select(kg, HEADER + "SELECT ?l { ?p a kg:Person ; rdfs:label ?l }"))]
     assert sorted(r[0] for r in rows(select(kg, HEADER + longer))) == sorted(x for x in labels if len(x) == max(map(len, labels)))
     assert rows(select(kg, HEADER + "SELECT ?p { ?p a kg:Person FILTER EXISTS { ?q a kg:Person FILTER(?unbound = ?q) } }")) == []
+
+
+def test_single_facts_unfold_without_distinct(spark):
+    from dataclasses import replace
+
+    from lattica.sources.starkg import star_graph
+
+    kg = star_graph(spark, "/root/testdata/sf0.001")
+    kept = replace(kg, facts=kg.facts_of("hasCourtesyName"))
+    aggregates = lambda g: g.triples().where("s_kind is not null")._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [")
+    assert kg.single and aggregates(kept) == aggregates(replace(kept, single=False)) - 4
+    assert sorted(map(tuple, kept.triples().collect()), key=str) == sorted(map(tuple, replace(kept, single=False).triples().collect()), key=str)
