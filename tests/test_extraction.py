@@ -135,3 +135,18 @@ def test_a_task_goes_on_where_its_earlier_attempt_ended(tmp_path):
     (tmp_path / "part-0" / ".half.parquet").write_bytes(b"PAR1 broken")
     assert sum(responses.send(iter(rows), ask, at)) == 4
     assert sorted(s for s in sent if s != "broken") == sorted(p for _, p in rows) and responses._known(at) == {k for k, _ in rows}
+
+
+def test_prompts_of_a_batch_become_texts_one_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lattica.operators.responses import each
+
+    batch = pa.RecordBatch.from_pydict({"key": [str(i) for i in range(500)], "prompt": ["x" * 100_000] * 500})
+    tracemalloc.start()
+    n = sum(len(prompt) for _, prompt in each(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 50_000_000 and peak < 5_000_000
