@@ -61,3 +61,9 @@ def test_answers_end_to_end(spark):
     assert {r.table for r in health(kg).collect()} == {"facts", "labels", "types", "others"}
     with pytest.raises(ValueError):
         run_sparql(kg, "  ")
+
+
+def test_questions_of_one_file_are_routed_by_many_tasks(spark):
+    from lattica.queries import QUERIES
+
+    assert QUERIES["route_questions"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
