@@ -44,3 +44,12 @@ def test_names_some_edits_apart(spark):
         want = people.crossJoin(external).where(edits <= most).select("node", "ext_id", edits.alias("edits"))
         assert sorted(map(tuple, got.drop("method").collect())) == sorted(map(tuple, want.collect()))
     assert "Cartesian" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_facts_are_joined_once_for_graph_and_provenance(spark):
+    facts = spark.createDataFrame([("1", "r", "b", "c", "iri"), ("2", "r", "x", "b", "iri"), ("3", "r", "x", "a", "iri")], "fact_id string, rel_type string, source string, target string, target_kind string")
+    known = spark.createDataFrame([("b", "a"), ("a", "a")], "node string, canonical string")
+    got = sameas.rewritten(facts, known)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    rows = sorted((r.fact_id, r.source, r.target, r.was_source, r.was_target, r.was_rewritten) for r in got.collect())
+    assert rows == [("1", "a", "c", "b", "c", True), ("2", "x", "a", "x", "b", True), ("3", "x", "a", None, None, False)]
