@@ -8,7 +8,8 @@ from lattica.plans.dataset import Dataset, named
 from lattica.plans.graph import KnowledgeGraph
 from lattica.plans.model import LABEL, TRIPLES, TYPE, Vocabulary
 from lattica.plans.sparql import select
-from lattica.plans.sparql.syntax import SparqlError
+from lattica.plans.sparql.compiler import Compiler
+from lattica.plans.sparql.syntax import SparqlError, parse
 from lattica.sources.turtle import read_nquads
 
 V = Vocabulary("urn:v#", "v")
@@ -130,3 +131,13 @@ def test_what_is_refused(spark, data):
             select(source, text)
     empty = Dataset.from_quads(named({"urn:g": spark.createDataFrame([], TRIPLES)}), V)
     assert rows(empty, "SELECT ?g ?s WHERE { GRAPH ?g { ?s ?p ?o } }") == [] and rows(empty, "SELECT ?l WHERE { ?s <%s> ?l }" % LABEL) == []
+
+
+def test_patterns_in_any_graph_are_linked_from_outside(data, random_graphs):
+    text = "SELECT ?a ?c ?d ?g WHERE { GRAPH <urn:g0> { ?a <urn:p> ?b } GRAPH ?g { ?a <urn:q> ?c . ?b <urn:q> ?d } }"
+    query = parse(text)
+    inside = [e for e in query.where if e[0] == "graph"][1]
+    assert len(Compiler(data.default, data).in_graph(inside[1], inside[2])) == 2  # no product of the graph with itself
+    edges = [(s, o) for s, x, o in random_graphs["urn:g0"] if x == "urn:p"]
+    want = [(a, c, d, g) for g, own in random_graphs.items() for a, b in edges for s, x, c in own if (s, x) == (a, "urn:q") for t, y, d in own if (t, y) == (b, "urn:q")]
+    assert rows(data, text) == sorted(want) != []

@@ -28,3 +28,8 @@ def test_texts_say_what_the_lookups_say(kg, name):
 def test_errors(text):
     with pytest.raises(SparqlError):
         parse(text)
+
+
+def test_arms_of_a_union_meet_a_capped_side_first(kg):
+    plan = select(kg, Texts().related_people(TEN))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2
