@@ -4,10 +4,12 @@ import pytest
 
 from lattica.operators import lookups
 from lattica.plans.graph import KnowledgeGraph
+from lattica.plans.labels import LabelIndex
 from lattica.plans.service import answer_question
 from lattica.plans.sparql import select
 from lattica.plans.sparql.syntax import SparqlError
 from lattica.sources.catalog import Catalog
+from lattica.sources.starkg import star_graph
 from lattica.sources.turtle import TurtleError, parse_turtle, read_ntriples, read_turtle
 
 DATA = Path(__file__).parent / "data"
@@ -168,3 +170,34 @@ def test_single_facts_unfold_without_distinct(spark):
     aggregates = lambda g: g.triples().where("s_kind is not null")._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [")
     assert kg.single and aggregates(kept) == aggregates(replace(kept, single=False)) - 4
     assert sorted(map(tuple, kept.triples().collect()), key=str) == sorted(map(tuple, replace(kept, single=False).triples().collect()), key=str)
+
+
+def test_a_table_of_texts_meets_only_labels_that_hold_them(spark):
+    names = [f"Name{i:03d}" for i in range(200)] + ["", "N", "文彭", "文彭𠀀"]
+    labels = spark.createDataFrame([(f"n{i}", name, None) for i, name in enumerate(names)], "node string, label string, lang string")
+    index = LabelIndex.of(labels, labels.select("node").limit(0))
+    texts = ["Name007", "me1", "07", "文", "彭𠀀", "xName011y", "N", "文彭是谁", "none of them, and longer than all"]
+    met = index.asked(spark.createDataFrame([(t,) for t in texts], "text string"))
+    got = sorted((r.text, r.label, r.forward) for r in met.collect())
+    want = [(t, n, True) for t in texts for n in names if t in n] + [(t, n, False) for t in texts for n in names if n in t and n != t]
+    assert got == sorted(want)
+    assert "gram" not in met._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_side_of_a_pair_is_written_first(spark):
+    kg = star_graph(spark, "/root/testdata/sf0.001")
+    plan = lookups.template_pair(kg, "Customer#000000005", "Customer#000000010")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 2
+
+
+def test_large_buckets_are_dealt_to_several_files(spark, tmp_path):
+    labels = spark.range(20_000).selectExpr("'n' || id AS node", "'Same' || id AS label", "cast(null AS string) AS lang")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.rebalancePartitionsSmallPartitionFactor")}
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32k")
+    try:
+        LabelIndex.of(labels.repartition(8), labels.select("node")).write(str(tmp_path / "index"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    bucket = [p for p in (tmp_path / "index" / "exact").iterdir() if p.is_dir()]
+    assert len(bucket) == 1 and len(list(bucket[0].glob("*.parquet"))) > 1
