@@ -1,5 +1,7 @@
 """Turtle files in ranges give what the whole file gives."""
 
+import json
+import pickle
 import random
 
 import pytest
@@ -130,3 +132,25 @@ def test_relative_bases_and_prefixes(tmp_path, size):
     parts = planned(str(path), text, size)
     rows = [r for p in parts for b in ranges._ParseReader({"ranges": "[]"}).read(ranges._Range(*p)) for r in zip(*[c.to_pylist() for c in b.columns])]
     assert rows == parse_turtle(text, str(path)) and ("urn:three/g", "iri", "urn:three/z/h", "urn:one/two/y/i", "iri", None, None) in rows
+
+
+def test_tasks_get_their_own_ranges_alone(tmp_path):
+    """What goes to every task does not grow with the ranges, and what comes to
+    the driver is a row a task."""
+    path = tmp_path / "long.ttl"
+    path.write_text("PREFIX a: <urn:a#>\n" + "".join(f'a:s{i} a:p """{i}\n""" .\n' for i in range(5_000)), encoding="utf-8")
+    size = path.stat().st_size
+    cut = [(i, str(path), at, min(at + 40, size), size) for i, at in enumerate(range(0, size, 40))]
+    for source, coded, given in ((ranges.TurtleScan, (1,), cut), (ranges.TurtleRanges, (0, 3), [(*r[1:4], "") for r in cut])):
+        made = source({"ranges": ranges._packed(given, coded)})
+        reader = made.reader(None)
+        assert len(pickle.dumps((made, reader))) < 500
+        parts = reader.partitions()
+        assert [tuple(v) for p in parts for v in p.several] == given
+    reader = ranges.TurtleScan({"ranges": ranges._packed(cut, (1,))}).reader(None)
+    parts = reader.partitions()
+    rows = [list(pickle.loads(pickle.dumps(reader)).read(p)) for p in parts]
+    assert len(cut) > 2 * len(parts) and max(map(len, rows)) == 1
+    assert sum(len(r[0][0]) for r in rows if r) < 120 * len(cut) and all(json.loads(r[0][0]) for r in rows if r)
+    read = [row for p in planned(str(path), path.read_text(), 40) for b in ranges._ParseReader({"ranges": "[]"}).read(ranges._Range(*p)) for row in zip(*[c.to_pylist() for c in b.columns])]
+    assert read == parse_turtle(path.read_text(), str(path))
