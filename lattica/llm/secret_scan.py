@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import rows_of, small_batches
+from lattica.llm.common import give_back, rows_of, small_batches
 
 #: The three base kinds, in their listed order.
 BASE_KINDS = ("assign", "access", "hex")
@@ -162,6 +162,10 @@ def _code(gram: str) -> int:
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
+#: Bytes of texts whose trigrams are coded at a time, which takes some twenty
+#: times as many; and of a segment.
+PIECE, SEGMENT = 1 << 18, 1 << 20
+
 
 class Segment:
     """Inverted index over one bounded run of UTF-8 texts."""
@@ -176,14 +180,17 @@ class Segment:
             self.grams = np.empty(0, np.int64)
             self.row = np.empty(0, np.int64)
         else:
-            held = _FOLD[np.frombuffer(raw, dtype=np.uint8)[ends[0] : ends[-1]]].astype(np.uint32)
-            codes = held[:-2] << 16 | held[1:-1] << 8 | held[2:]
-            place = np.searchsorted(known, codes)
-            place[place == len(known)] = 0
-            hits = np.flatnonzero(known[place] == codes)
-            row = np.searchsorted(ends[1:] - ends[0], hits, side="right")
-            inside = hits + 3 <= (ends[1:] - ends[0])[row]
-            pairs = np.unique(place[hits[inside]].astype(np.int64) * self.rows + row[inside])
+            data, ends, found = np.frombuffer(raw, dtype=np.uint8)[ends[0] : ends[-1]], ends[1:] - ends[0], []
+            for lo in range(0, len(data) - 2, PIECE):
+                held = _FOLD[data[lo : lo + PIECE + 2]].astype(np.uint32)
+                codes = held[:-2] << 16 | held[1:-1] << 8 | held[2:]
+                place = np.searchsorted(known, codes)
+                place[place == len(known)] = 0
+                hits = np.flatnonzero(known[place] == codes)
+                row = np.searchsorted(ends, hits + lo, side="right")
+                inside = hits + lo + 3 <= ends[row]
+                found.append(np.unique(place[hits[inside]].astype(np.int64) * self.rows + row[inside]))
+            pairs = np.unique(np.concatenate(found))
             self.grams, self.row = pairs // self.rows, pairs % self.rows
 
     def postings(self, gram: int) -> np.ndarray:
@@ -219,7 +226,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", rules:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _vocabulary(rules)
-        for batch in rows_of(batches):
+        for batch in rows_of(batches, SEGMENT):
             texts = batch.column(1).fill_null("")
             index = Segment(texts, known)
             grams, keys = [], []
@@ -273,10 +280,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
-        for batch in rows_of(batches):
+        for batch in rows_of(batches, SEGMENT):
             found = scanner.spans(batch.column(1).fill_null(""))
             rows = [[{"kind": k, "start": s, "end": e} for s, e, k in spans] for spans in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["doc_id", "spans"])
+        give_back()
 
     small_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, schema)
@@ -309,7 +317,7 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
-        for batch in rows_of(batches):
+        for batch in rows_of(batches, SEGMENT):
             texts = batch.column(at)
             found = scanner.spans(texts.fill_null(""))
             if any(found):
@@ -321,6 +329,7 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
                 columns[at] = pa.array(new, texts.type)
                 batch = pa.RecordBatch.from_arrays(columns, batch.schema.names)
             yield batch
+        give_back()
 
     small_batches(docs.sparkSession)
     out = docs.mapInArrow(run, schema)

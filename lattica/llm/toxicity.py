@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Scratch, rows_of
+from lattica.llm.common import Scratch, give_back, rows_of
 
 SAMPLE = 24_000
 ENTRIES = 6_000
@@ -266,6 +266,7 @@ def _lexicon(rows: DataFrame, most: int) -> dict[str, float]:
                 keys += found
                 ys += [y] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ys, pa.int32())], ["entry", "y"])
+        give_back()
 
     totals = rows.agg(F.sum("y"), F.count("*")).first()
     bad, good = (totals[0] or 0) + 1.0, (totals[1] or 0) - (totals[0] or 0) + 1.0
@@ -283,6 +284,7 @@ def _features(rows: DataFrame, lexicon: dict[str, float]) -> tuple[np.ndarray, n
         for batch in rows_of(batches, 2 << 20):
             x = made.matrix(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], ["y", "x"])
+        give_back()
 
     got = rows.select("text", "y").mapInArrow(run, "y int, x array<double>").toArrow()
     return np.array(got["x"].to_pylist(), float).reshape(-1, len(FEATURES)), got["y"].to_numpy().astype(float)
@@ -329,6 +331,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         for batch in rows_of(batches, 2 << 20):
             s = model.scores(made.matrix(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], ["doc_id", "score"])
+        give_back()
 
     got = docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, score double")
     return got.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -345,5 +348,6 @@ def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         for batch in rows_of(batches, 2 << 20):
             s = model.scores(made.matrix(batch.column(at).to_pylist()))
             yield batch.filter(pa.array(s < threshold))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -103,3 +103,55 @@ def test_no_line_of_a_private_key_survives(documents):
     for text in got.values():
         assert not any(line in text for line in body) and "PRIVATE KEY" not in text
         assert text.startswith("before") and text.endswith("after it")
+
+
+def test_index_takes_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array(["plain words and a token now and then " * 2_000] * 100)
+    known = ss._vocabulary(ss.RULES)
+    tracemalloc.start()
+    index = ss.Segment(texts, known)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(index.postings(ss._code("tok"))) == 100 and peak < 6 * texts.nbytes
+
+
+def test_pieces_of_a_segment_meet(monkeypatch):
+    import pyarrow as pa
+
+    texts, known = pa.array(["a token", "", "tok", "se", "cret AKIAX", "é password=abc"]), ss._vocabulary(ss.RULES)
+    whole = ss.Segment(texts, known)
+    for piece in (1, 2, 3, 5):
+        monkeypatch.setattr(ss, "PIECE", piece)
+        parts = ss.Segment(texts, known)
+        assert (parts.grams.tolist(), parts.row.tolist()) == (whole.grams.tolist(), whole.row.tolist()) and len(whole.grams)
+
+
+def test_scans_go_by_segments(documents, monkeypatch, tmp_path):
+    """A batch of many texts is scanned by the piece, in ``redact`` too."""
+    path, real = tmp_path / "sizes", ss.Scanner.spans
+
+    def seen(self, texts):
+        with path.open("a") as f:
+            f.write(f"{texts.nbytes}\n")
+        return real(self, texts)
+
+    monkeypatch.setattr(ss.Scanner, "spans", seen)
+    docs = documents([(k, "word " * 20_000 + "token=" + "f" * 40) for k in range(60)]).coalesce(1)
+    batch = docs.toArrow().combine_chunks().to_batches()[0]
+    out = [b for f in _tasks(docs, monkeypatch) for b in f(iter([batch]))]
+    assert sum(b.num_rows for b in out) == 120 and max(map(int, path.read_text().split())) <= 1 << 20
+
+
+def _tasks(docs, monkeypatch):
+    """What ``scan`` and ``redact`` run on batches."""
+    found, frame = [], type(docs)
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **k: found.append((self.columns, f)) or self)
+    ss.scan(docs)
+    ss.redact(docs)
+    (_, scan), (columns, redact) = found
+    assert columns == docs.columns
+    return [lambda bs: scan(b.select(["doc_id", "text"]) for b in bs), redact]
